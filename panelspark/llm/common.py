@@ -25,7 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="panelspark-shared-")
         sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/panelspark-{uuid.uuid4().hex}"
+    root = re.sub("^(file:)?/+", "file:///", root.rstrip("/"))  # local paths as URIs that pyarrow reads, too
+    return f"{root}/panelspark-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -9,7 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .setsketch import near_duplicates
 from .token_counts import count_tokens
+from .token_files import token_files as id_files
+
+
+def setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +26,15 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_setsketch_near_dedup": setsketch_near_dedup,
     "op5_best_fit_packing": best_fit_packing,
     "op8_token_counts": token_counts,
+    "op10_token_files": token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
