@@ -8,10 +8,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix
 from .packing import pack_documents
+from .quality_rules import quality_rules as rules_of_quality
+from .secrets import scan
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_files as id_files
+from .urls import Rule, judge_urls
+
+URL_RULES = (
+    Rule.of("block", "com/en/"),
+    Rule.of("allow", "example.com/en/7"),
+    Rule.of("allow", "net/de/"),
+    Rule.of("block", "example.net/de/8"),
+    Rule.of("block", "org/es/"),
+)
 
 
 def setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +34,22 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules_of_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -32,8 +60,12 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_setsketch_near_dedup": setsketch_near_dedup,
+    "op4_quality_rules": quality_rules,
     "op5_best_fit_packing": best_fit_packing,
+    "op6_secret_scan": secret_scan,
+    "op7_url_filter": url_filter,
     "op8_token_counts": token_counts,
+    "op9_poisson_mixing": poisson_mixing,
     "op10_token_files": token_files,
 }
 
