@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .common import table
 from .mixing import mix
 from .packing import pack_documents
@@ -15,6 +16,7 @@ from .secrets import scan
 from .setsketch import near_duplicates
 from .token_counts import count_tokens
 from .token_files import token_files as id_files
+from .toxicity import toxicity
 from .urls import Rule, judge_urls
 
 URL_RULES = (
@@ -26,6 +28,14 @@ URL_RULES = (
 )
 
 
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+def toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
@@ -59,6 +69,8 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_neighbours": nearest_neighbours,
+    "op2_toxicity": toxicity_severity,
     "op3_setsketch_near_dedup": setsketch_near_dedup,
     "op4_quality_rules": quality_rules,
     "op5_best_fit_packing": best_fit_packing,
