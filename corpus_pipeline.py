@@ -1,8 +1,62 @@
-"""The corpus pipeline (under construction)."""
+"""The corpus pipeline: documents without toxic ones, near copies and secrets, mixed to target weights and packed.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+    toxicity     drops the documents that the ordinal severity model rejects (labels: the table `labels`)
+    near_dedup   keeps one document of each group of near copies (5-word shingles, Jaccard index 0.8 or more)
+    secrets      masks secrets in the texts: base kinds, and random-looking values that few owners hold
+    mixing       repeats or leaves out documents so that sources get their target shares, and shuffles
+    packing      packs all that is left into sequences of 1024 tokens
+
+ORACLE_SQL is None, as SQL can express neither the model, the sketches nor the tokenizer; tests/llm tests run() against
+a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import mixing, packing, secrets, setsketch, toxicity
+from panelspark.llm.common import table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = setsketch.near_duplicates(docs, size=5, percent=80)
+    return docs.join(found.where("kept").select(F.col("doc_id")).distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, replica_col=None, key_col=None)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
