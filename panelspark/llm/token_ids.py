@@ -3,7 +3,9 @@
 Texts are cut before a space that follows something that is no white space. Neither kind of tokenizer here has a token
 over such a place (byte-level pre-tokens begin with the space; the word kind drops spaces), so the ids of a text are
 those of its parts in a row, and each worker encodes a part that it has met before only once. Texts that hold one of
-the file's special strings, or white space in other places, are cut by a slower rule or encoded whole.
+the file's special strings, or white space in other places, are cut by a slower rule or encoded whole. A part of letters
+and one mark, or of two lines, is made of its pre-tokens; one of ASCII letters is a pre-token and goes to the model as
+it is.
 """
 
 from __future__ import annotations
@@ -17,14 +19,34 @@ from .common import SegmentCache, safe_chunks
 
 #: Unicode's White_Space, which \s means in the library.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-ENDS_WHITE = re.compile(f"[{WHITE}]$|^$")
+WHITE_CHARS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 PARTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BOUNDARY = re.compile(f"(?<=[^{WHITE}]) ")
 CHUNK_CHARS = 1 << 20
+#: Marks that are a pre-token of their own after letters, in both kinds of file.
+MARKS = frozenset(".,;:!?")
+#: The byte-level sign for a space.
+SPACE = "\u0120"
 
 _loaded: dict[str, TokenIds] = {}
 
 
+class Pieces(SegmentCache):
+    """parts(key): the value put together from parts' values, or None where a key is one piece."""
+
+    def __init__(self, parts, make):
+        super().__init__(make, limit=500_000)
+        self.parts = parts
+
+    def __missing__(self, key):
+        value = self.parts(key)
+        if value is None:
+            return super().__missing__(key)
+        if len(key) <= 10:
+            self.keep(key, value)
+        return value
+
+
 class TokenIds:
     """encode(text) -> bytes of its ids."""
 
@@ -43,15 +65,46 @@ class TokenIds:
         # the word kind: white space is made one space and then dropped
         self.drops = not byte_level and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
         self.cuts = byte_level or self.drops
-        self.first = SegmentCache(self.whole)
-        self.spaced = self.first if self.drops else SegmentCache(self._after_space)
+        self.first = Pieces(self._first_of, self._encode_first)
+        self.spaced = self.first if self.drops else Pieces(self._spaced_of, self._encode_spaced)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _after_space(self, word: str) -> bytes | None:
+    def _word(self, pre_token: str) -> bytes:
+        """Of one pre-token of ASCII letters."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(pre_token)]).tobytes()
+
+    def _first_of(self, word: str) -> bytes | None:
+        if word and word[-1] in MARKS and word[:-1].isalpha():
+            return self.first[word[:-1]] + self.first[word[-1]]
+        if self.drops and word.isascii() and word.isalpha() and word != word.lower():
+            return self.first[word.lower()]
+        at = word.find("\n", 1)
+        if at > 0 and word[at - 1] not in WHITE_CHARS:
+            return self.first[word[:at]] + self.first[word[at:]]
+        if len(word) > 1 and word[0] == "\n" and word[1] not in WHITE_CHARS:
+            return self.first["\n"] + self.first[word[1:]]
+        return None
+
+    def _encode_first(self, word: str) -> bytes:
+        return self._word(word) if word.isascii() and word.isalpha() else self.whole(word)
+
+    def _spaced_of(self, word: str) -> bytes | None:
+        if not word or word[-1] in WHITE_CHARS:
+            return None
+        if word[-1] in MARKS and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.first[word[-1]]
+        at = word.find("\n", 1)
+        if at > 0 and word[at - 1] not in WHITE_CHARS:
+            return self.spaced[word[:at]] + self.first[word[at:]]
+        return None
+
+    def _encode_spaced(self, word: str) -> bytes | None:
         """None: the next space may belong to this part's white space."""
-        return None if ENDS_WHITE.search(word) else self.whole(" " + word)
+        if not word or word[-1] in WHITE_CHARS:
+            return None
+        return self._word(SPACE + word) if word.isascii() and word.isalpha() else self.whole(" " + word)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -69,7 +122,7 @@ class TokenIds:
             return b"".join(map(self.first.__getitem__, words))
         try:
             if starts:
-                if ENDS_WHITE.search(words[0]):
+                if not words[0] or words[0][-1] in WHITE_CHARS:
                     raise TypeError
                 return self.first[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
             return b"".join(map(self.spaced.__getitem__, words))

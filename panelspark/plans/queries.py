@@ -1,0 +1,532 @@
+"""The queries of the panel operators over the driver's tables, and their SQL.
+
+The panel is weekly bars of line items by brand. Doubles are rounded alike in both.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from panelspark.functions.columns import half_up, rounded
+from panelspark.operators import execution, features, inference, learning, metrics, portfolio, quality, regimes, resampling, signals, stationarity, validation
+from panelspark.sources import calendar
+from panelspark.sources.panels import canonical_ticker, lineitem_panel, synthetic_ohlcv
+
+from .research import horizon_profile
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+PANEL = """WITH bars AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, p_brand AS ticker, round(avg(l_extendedprice / l_quantity), 4) AS adj_close,
+ max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, CAST(sum(l_quantity) AS DOUBLE) AS volume
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
+days AS (SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS session_idx FROM (SELECT DISTINCT date FROM bars)),
+panel AS (SELECT bars.*, session_idx FROM bars JOIN days USING (date))"""
+
+
+def spelled(sql: str) -> str:
+    """round(x, d) as floor(x * 10^d + 1/2) / 10^d, as functions.columns.half_up() has it."""
+    while (m := re.search(r"\bround\(", sql)) is not None:
+        depth, k = 1, m.end()
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner, _, digits = sql[m.end() : k - 1].rpartition(",")
+        sql = f"{sql[: m.start()]}(floor(CAST({inner} AS DOUBLE) * 1e{digits.strip()} + 0.5) / 1e{digits.strip()}){sql[k:]}"
+    return sql
+
+
+def query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = spelled(sql)
+        return f
+
+    return register
+
+
+def frame(a: int, b: int) -> str:
+    side = lambda k: "CURRENT ROW" if k == 0 else f"{-k} PRECEDING" if k < 0 else f"{k} FOLLOWING"
+    return f"(PARTITION BY ticker ORDER BY session_idx RANGE BETWEEN {side(a)} AND {side(b)})"
+
+
+def at(c: str, k: int) -> str:
+    return f"first({c}) OVER {frame(k, k)}"
+
+
+def roll(agg: str, c: str, a: int, b: int) -> str:
+    of = f"{agg}({c}) OVER {frame(a, b)}"
+    if agg == "stddev_samp":
+        of = f"CASE WHEN max({c}) OVER {frame(a, b)} = min({c}) OVER {frame(a, b)} THEN 0.0 ELSE {of} END"
+    return f"CASE WHEN count({c}) OVER {frame(a, b)} = {b - a + 1} THEN {of} END"
+
+
+def change(c: str, old: str) -> str:
+    return f"({c} - {old}) / nullif({old}, 0)"
+
+
+def rank_of(c: str, by: str = "date") -> str:
+    r = f"(rank() OVER (PARTITION BY {by}, {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0)"
+    return f"CASE WHEN {c} IS NOT NULL THEN CAST({r} AS DOUBLE) END"
+
+
+def cs_rank(c: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL AND count({c}) OVER (PARTITION BY date) >= 2 THEN ({rank_of(c)} - 1) / (count({c}) OVER (PARTITION BY date) - 1) END"
+
+
+def out(columns: str, *rounded_columns: str, digits: int = 6) -> str:
+    return ", ".join([columns, *(f"round({c}, {digits}) + 0.0 AS {c}" for c in rounded_columns)])
+
+
+# Sources and calendar
+
+
+@query("panel_bars", PANEL + " SELECT date, ticker, session_idx, adj_close, high, low, volume FROM panel")
+def panel_bars(spark, sf):
+    return lineitem_panel(spark, sf).select("date", "ticker", "session_idx", "adj_close", "high", "low", "volume")
+
+
+HOLIDAYS = """WITH y AS (SELECT CAST(range AS INTEGER) AS y FROM range(2014, 2025)),
+nth AS (SELECT y, m, w, n, make_date(y, m, 1) AS d FROM y, (VALUES (1, 1, 3), (2, 1, 3), (9, 1, 1), (11, 4, 4)) v(m, w, n)),
+moving AS (SELECT d + CAST((w - isodow(d) + 7) % 7 + 7 * (n - 1) AS INTEGER) AS date FROM nth),
+memorial AS (SELECT last_day(make_date(y, 5, 1)) - CAST((isodow(last_day(make_date(y, 5, 1))) - 1) AS INTEGER) AS date FROM y),
+fixed AS (SELECT make_date(y, m, d) AS date, m = 1 AS new_year FROM y, (VALUES (1, 1), (7, 4), (12, 25), (6, 19)) v(m, d) WHERE m <> 6 OR y >= 2022),
+observed AS (SELECT CASE isodow(date) WHEN 6 THEN date - 1 WHEN 7 THEN date + 1 ELSE date END AS date FROM fixed WHERE NOT (new_year AND isodow(date) = 6)),
+listed AS (SELECT CAST(unnest(['2014-04-18','2015-04-03','2016-03-25','2017-04-14','2018-03-30','2019-04-19','2020-04-10','2021-04-02','2022-04-15','2023-04-07','2024-03-29','2018-12-05']) AS DATE) AS date),
+closed AS (SELECT date FROM moving UNION SELECT date FROM memorial UNION SELECT date FROM observed UNION SELECT date FROM listed),
+sessions AS (SELECT CAST(d AS DATE) AS date FROM range(DATE '2014-01-01', DATE '2025-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (SELECT date FROM closed))"""
+
+
+@query("calendar_sessions", HOLIDAYS + " SELECT date, CAST(row_number() OVER (ORDER BY date) - 1 AS INTEGER) AS session_idx FROM sessions")
+def calendar_sessions(spark, sf):
+    return calendar.trading_sessions(spark, "2014-01-01", "2024-12-31")
+
+
+@query("calendar_closed", HOLIDAYS + " SELECT CAST(d AS DATE) AS date FROM range(DATE '2014-01-01', DATE '2025-01-01', INTERVAL 1 DAY) t(d) WHERE CAST(d AS DATE) NOT IN (SELECT date FROM sessions)")
+def calendar_closed(spark, sf):
+    return calendar.closed_dates(spark, "2014-01-01", "2024-12-31")
+
+
+@query("ticker_mapping", "SELECT DISTINCT upper(trim(p_brand)) AS ticker FROM part")
+def ticker_mapping(spark, sf):
+    return spark.read.parquet(f"{sf}/part.parquet").select(canonical_ticker(F.col("p_brand")).alias("ticker")).distinct()
+
+
+@query("synthetic_panel")
+def synthetic_panel(spark, sf):
+    days = [r["date"] for r in calendar.trading_sessions(spark, "2014-01-01", "2015-12-31").orderBy("date").collect()]
+    return synthetic_ohlcv(spark, [f"STK_{k}" for k in range(10)], days)
+
+
+# Quality
+
+
+@query("structural_errors", PANEL + """, x AS (SELECT date, ticker, 2 * low AS open, high, CASE WHEN volume < 40 THEN -low ELSE low END AS low, adj_close AS close FROM panel)
+SELECT date, ticker, 'non_positive_price' AS issue FROM x WHERE least(open, high, low, close) <= 0 UNION ALL SELECT date, ticker, 'low_above_high' FROM x WHERE low > high
+UNION ALL SELECT date, ticker, 'open_above_high' FROM x WHERE open > high UNION ALL SELECT date, ticker, 'close_above_high' FROM x WHERE close > high""")
+def structural(spark, sf):
+    df = lineitem_panel(spark, sf).select("date", "ticker", (2 * F.col("low")).alias("open"), "high", F.when(F.col("volume") < 40, -F.col("low")).otherwise(F.col("low")).alias("low"), F.col("adj_close").alias("close"))
+    return quality.structural_errors(df, most=None)
+
+
+@query("large_moves", PANEL + ", r AS (SELECT date, ticker, (adj_close - lag(adj_close) OVER w) / nullif(lag(adj_close) OVER w, 0) AS move FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)) SELECT " + out("date, ticker", "move") + " FROM r WHERE abs(move) > 0.15")
+def moves(spark, sf):
+    return rounded(quality.large_moves(lineitem_panel(spark, sf), 0.15))
+
+
+@query("missing_shares", PANEL + ", n AS (SELECT count(DISTINCT date) AS n FROM panel) SELECT ticker, round((max(n) - count(adj_close)) / CAST(max(n) AS DOUBLE), 6) + 0.0 AS missing FROM panel, n GROUP BY ticker")
+def missing(spark, sf):
+    return rounded(quality.missing_shares(lineitem_panel(spark, sf)))
+
+
+@query("ticker_activity", PANEL + " SELECT ticker, min(date) FILTER (adj_close IS NOT NULL AND volume > 0) AS first_active, max(date) FILTER (adj_close IS NOT NULL AND volume > 0) AS last_active FROM panel GROUP BY ticker")
+def ticker_activity(spark, sf):
+    return quality.activity(lineitem_panel(spark, sf))
+
+
+@query("densified_panel", PANEL + ", l AS (SELECT ticker, max(date) AS last FROM panel WHERE volume > 0 GROUP BY ticker) SELECT d.date, l.ticker, p.adj_close, p.volume FROM days d JOIN l ON d.date <= l.last LEFT JOIN panel p ON p.date = d.date AND p.ticker = l.ticker")
+def densified_panel(spark, sf):
+    df = lineitem_panel(spark, sf)
+    return quality.densified(df, df.select("date").distinct(), quality.activity(df)).select("date", "ticker", "adj_close", "volume")
+
+
+@query("split_volume", PANEL + ", s AS (SELECT *, CASE WHEN session_idx % 50 = 7 THEN 2.0 ELSE 1.0 END AS f FROM panel) SELECT date, ticker, volume * pow(2.0, coalesce(sum((f = 2.0)::INT) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) AS volume_split_adjusted FROM s")
+def split_volume(spark, sf):
+    df = lineitem_panel(spark, sf).withColumn("split_factor", F.when(F.col("session_idx") % 50 == 7, 2.0).otherwise(1.0))
+    return quality.split_adjusted_volume(df).select("date", "ticker", "volume_split_adjusted")
+
+
+# Features
+
+RETURNS = {f"ret_{p}d": change("adj_close", at("adj_close", -p)) for p in (1, 5, 20, 60, 252)} | {"log_ret_1d": f"ln(adj_close / nullif({at('adj_close', -1)}, 0))", "ret_252d_skip21d": change(at("adj_close", -21), at("adj_close", -252))} | {f"fwd_ret_{h}d": change(at("adj_close", h), "adj_close") for h in (1, 5, 20)}
+
+
+@query("returns", PANEL + ", r AS (SELECT date, ticker, " + ", ".join(f"{v} AS {k}" for k, v in RETURNS.items()) + " FROM panel) SELECT " + out("date, ticker", *RETURNS) + " FROM r")
+def returns(spark, sf):
+    return rounded(features.compute_features(lineitem_panel(spark, sf)).select("date", "ticker", *RETURNS))
+
+
+ROLLING = {
+    "sma_20": roll("avg", "adj_close", -19, 0), "sma_60": roll("avg", "adj_close", -59, 0), "rolling_std_price_20": roll("stddev_samp", "adj_close", -19, 0),
+    "rolling_std_ret_20": roll("stddev_samp", "ret_1d", -19, 0), "rolling_std_ret_60": roll("stddev_samp", "ret_1d", -59, 0),
+    "realized_vol_20": f"({roll('stddev_samp', 'ret_1d', -19, 0)}) * sqrt(252.0)", "realized_vol_60": f"({roll('stddev_samp', 'ret_1d', -59, 0)}) * sqrt(252.0)",
+    "zscore_price_20": f"(adj_close - ({roll('avg', 'adj_close', -19, 0)})) / nullif(({roll('stddev_samp', 'adj_close', -19, 0)}), 0)",
+    "volume_sma_20": roll("avg", "volume", -19, 0), "relative_volume": f"volume / nullif(({roll('avg', 'volume', -20, -1)}), 0)",
+    "volume_zscore_20": f"(volume - ({roll('avg', 'volume', -20, -1)})) / nullif(({roll('stddev_samp', 'volume', -20, -1)}), 0)",
+}
+BASE = PANEL + f", b AS (SELECT *, {RETURNS['ret_1d']} AS ret_1d, {RETURNS['ret_20d']} AS ret_20d, {RETURNS['ret_252d_skip21d']} AS ret_252d_skip21d, {RETURNS['fwd_ret_1d']} AS fwd_ret_1d, {RETURNS['fwd_ret_5d']} AS fwd_ret_5d FROM panel), f0 AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in ROLLING.items()) + " FROM b), f AS (SELECT *, realized_vol_20 / nullif(realized_vol_60, 0) AS vol_ratio FROM f0)"
+
+
+ROLLED = {"rolling_std_price_20": 4}
+
+
+@query("rolling_features", BASE + " SELECT date, ticker, " + ", ".join(f"round({c}, {ROLLED.get(c, 6)}) AS {c}" for c in (*ROLLING, "vol_ratio")) + " FROM f")
+def rolling_features(spark, sf):
+    return rounded(features.compute_features(lineitem_panel(spark, sf)).select("date", "ticker", *ROLLING, "vol_ratio"), **ROLLED)
+
+
+RANKED = {"rank_ret_20d": "ret_20d", "rank_ret_252d_skip21d": "ret_252d_skip21d", "rank_vol_20": "realized_vol_20"}
+
+
+@query("cross_sectional_ranks", BASE + ", r AS (SELECT date, ticker, " + ", ".join(f"{cs_rank(v)} AS {k}" for k, v in RANKED.items()) + " FROM f) SELECT " + out("date, ticker", *RANKED) + " FROM r")
+def cross_sectional_ranks(spark, sf):
+    return rounded(features.compute_features(lineitem_panel(spark, sf)).select("date", "ticker", *RANKED))
+
+
+@query("cross_sectional_zscores", BASE + ", r AS (SELECT date, ticker, CASE WHEN count(ret_20d) OVER d < 2 THEN NULL WHEN min(ret_20d) OVER d = max(ret_20d) OVER d THEN 0.0 ELSE (ret_20d - avg(ret_20d) OVER d) / stddev_samp(ret_20d) OVER d END AS z FROM f WINDOW d AS (PARTITION BY date)) SELECT " + out("date, ticker", "z") + " FROM r")
+def cross_sectional_zscores(spark, sf):
+    df = features.compute_features(lineitem_panel(spark, sf))
+    return rounded(df.select("date", "ticker", features.cross_sectional_zscore("ret_20d").alias("z")))
+
+
+@query("lagged_features", BASE + " SELECT date, ticker, round(lag(ret_1d, 1) OVER w, 6) + 0.0 AS ret_1d, round(lag(sma_20, 1) OVER w, 6) + 0.0 AS sma_20 FROM f WINDOW w AS (PARTITION BY ticker ORDER BY date)")
+def lagged_features(spark, sf):
+    return rounded(features.compute_features(lineitem_panel(spark, sf), lag=1).select("date", "ticker", "ret_1d", "sma_20"))
+
+
+@query("average_daily_volume", PANEL + f" SELECT date, ticker, round(avg(volume) OVER {frame(-19, 0)}, 6) + 0.0 AS adv FROM panel")
+def adv(spark, sf):
+    return rounded(lineitem_panel(spark, sf).select("date", "ticker", features.average_daily_volume("volume").alias("adv")))
+
+
+# Signals
+
+SIGNAL_SQL = BASE + f""", s0 AS (SELECT date, session_idx, ticker, adj_close, realized_vol_20, realized_vol_60, fwd_ret_1d, fwd_ret_5d, ret_1d, ret_252d_skip21d AS m, -zscore_price_20 AS r, -realized_vol_60 AS v,
+ CASE WHEN relative_volume IS NOT NULL THEN sign(ret_1d) * ln(greatest(relative_volume, 1e-4)) END AS q FROM f),
+s1 AS (SELECT *, 2 * ({cs_rank('m')}) - 1 AS momentum_signal, 2 * ({cs_rank('r')}) - 1 AS mean_reversion_signal, 2 * ({cs_rank('v')}) - 1 AS volatility_signal, 2 * ({cs_rank('q')}) - 1 AS abnormal_volume_signal FROM s0),
+s2 AS (SELECT *, round(0.25 * momentum_signal + 0.25 * mean_reversion_signal + 0.25 * volatility_signal + 0.25 * abnormal_volume_signal, 12) AS c FROM s1),
+s AS (SELECT *, 2 * ({cs_rank('c')}) - 1 AS combined_signal FROM s2)"""
+SIGNALS = ("momentum_signal", "mean_reversion_signal", "volatility_signal", "abnormal_volume_signal", "combined_signal")
+
+
+def _signals(spark, sf):
+    return signals.CombinedSignal().compute(features.compute_features(lineitem_panel(spark, sf)))
+
+
+@query("signals", SIGNAL_SQL + " SELECT " + out("date, ticker", *SIGNALS) + " FROM s")
+def all_signals(spark, sf):
+    return rounded(_signals(spark, sf).select("date", "ticker", *SIGNALS))
+
+
+@query("signal_zscore_momentum", SIGNAL_SQL + " SELECT date, ticker, round(CASE WHEN count(m) OVER d < 2 THEN NULL WHEN min(m) OVER d = max(m) OVER d THEN 0.0 WHEN m IS NULL THEN NULL ELSE greatest(-1.0, least(1.0, (m - avg(m) OVER d) / stddev_samp(m) OVER d / 3.0)) END, 6) + 0.0 AS momentum_signal FROM s WINDOW d AS (PARTITION BY date)")
+def zscore_momentum(spark, sf):
+    return rounded(signals.MomentumSignal(method="zscore").compute(features.compute_features(lineitem_panel(spark, sf))).select("date", "ticker", "momentum_signal"))
+
+
+# Inference
+
+IC_SQL = SIGNAL_SQL + f""", p AS (SELECT date, mean_reversion_signal AS x0, fwd_ret_1d AS y0 FROM s WHERE mean_reversion_signal IS NOT NULL AND fwd_ret_1d IS NOT NULL),
+pr AS (SELECT date, {rank_of('x0')} AS x, {rank_of('y0')} AS y FROM p),
+ic AS (SELECT date, CASE WHEN count(*) >= 5 THEN CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END END AS ic, count(*) AS n FROM pr GROUP BY date)"""
+
+
+def _ic(spark, sf, method="spearman"):
+    return inference.daily_ic(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d", method)
+
+
+@query("daily_ic", IC_SQL + " SELECT " + out("date, n", "ic") + " FROM ic")
+def daily_ic(spark, sf):
+    return rounded(_ic(spark, sf).select("date", "n", "ic"))
+
+
+@query("daily_ic_pearson", IC_SQL.replace(f"{rank_of('x0')} AS x", "x0 AS x").replace(f"{rank_of('y0')} AS y", "y0 AS y") + " SELECT " + out("date, n", "ic") + " FROM ic")
+def daily_ic_pearson(spark, sf):
+    return rounded(_ic(spark, sf, "pearson").select("date", "n", "ic"))
+
+
+def hac_sql(source: str, value: str, lags: int) -> str:
+    ls = ", ".join(f"lag(e, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, lags + 1))
+    omega = "sum(e * e) / count(*)" + "".join(f" + 2 * (CASE WHEN {k} <= least({lags}, count(*) - 1) THEN 1 - {k} / (least({lags}, count(*) - 1) + 1.0) ELSE 0 END) * coalesce(sum(e * l{k}), 0) / count(*)" for k in range(1, lags + 1))
+    return f", h0 AS (SELECT date, CAST({value} AS DOUBLE) AS v, {value} - avg({value}) OVER () AS e FROM {source} WHERE {value} IS NOT NULL), h1 AS (SELECT *, {ls} FROM h0), h AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, sqrt(greatest(CAST({omega} AS DOUBLE), 1e-14) / count(*)) AS hac_se FROM h1)"
+
+
+@query("ic_summary", IC_SQL + hac_sql("ic", "ic", 5) + ", g AS (SELECT avg((ic > 0)::INT) AS hit_rate FROM ic WHERE ic IS NOT NULL) SELECT n, round(mean, 6) AS mean_ic, round(std, 6) AS std_ic, round(mean / std, 6) AS ic_ir, round(mean * sqrt(n) / std, 5) AS naive_t, round(hac_se, 6) AS hac_se, round(mean / hac_se, 5) AS hac_t, round(hit_rate, 6) AS hit_rate FROM h, g")
+def ic_summary(spark, sf):
+    x = inference.ic_statistics(_ic(spark, sf), 5)
+    return x.select("n", *(half_up(c, 5 if c.endswith("_t") else 6).alias(c) for c in x.columns if c != "n"))
+
+
+@query("hac_standard_error", IC_SQL + hac_sql("ic", "ic", 8) + " SELECT n, round(mean, 6) AS mean, round(std, 6) AS std, round(hac_se, 6) AS hac_se FROM h")
+def hac(spark, sf):
+    return rounded(inference.hac_variance(_ic(spark, sf), "ic", 8))
+
+
+QUINTILE = SIGNAL_SQL + """, q0 AS (SELECT date, ticker, mean_reversion_signal AS x, fwd_ret_1d AS y, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY mean_reversion_signal, ticker) AS r FROM s WHERE mean_reversion_signal IS NOT NULL AND fwd_ret_1d IS NOT NULL),
+q1 AS (SELECT *, greatest(1, CAST(ceil((r - 1) * 5 / CAST(n - 1 AS DOUBLE)) AS INTEGER)) AS bin FROM q0 WHERE n >= 5),
+q AS (SELECT date, """ + ", ".join(f"avg(y) FILTER (bin = {k}) AS q{k}" for k in range(1, 6)) + " FROM q1 GROUP BY date)"
+
+
+@query("quintile_spread", QUINTILE + " SELECT date, " + ", ".join(f"round(q{k}, 6) + 0.0 AS q{k}" for k in range(1, 6)) + ", round(q5 - q1, 6) + 0.0 AS spread FROM q")
+def quintile_spread(spark, sf):
+    return rounded(inference.quantile_spread(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d"))
+
+
+TESTS = "WITH t AS (SELECT 'T' || c_mktsegment AS hypothesis, round(least(1.0, avg(abs(c_acctbal)) / 1e5), 6) AS p_value FROM customer GROUP BY 1), m AS (SELECT *, count(p_value) OVER () AS m, row_number() OVER (ORDER BY p_value, hypothesis) AS r FROM t)"
+
+
+def _tests(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.concat(F.lit("T"), "c_mktsegment").alias("hypothesis")).agg(F.round(F.least(F.lit(1.0), F.avg(F.abs("c_acctbal")) / 1e5), 6).alias("p_value"))
+
+
+@query("bonferroni", TESTS + " SELECT hypothesis, p_value, round(least(1.0, p_value * m), 6) AS p_bonferroni, least(1.0, p_value * m) < 0.25 AS reject_bonferroni FROM m")
+def bonferroni(spark, sf):
+    return rounded(inference.bonferroni(_tests(spark, sf), alpha=0.25))
+
+
+@query("benjamini_hochberg", TESTS + ", b AS (SELECT *, least(1.0, min(p_value * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM m) SELECT hypothesis, p_value, round(q, 6) AS q_bh, q < 0.05 AS reject_bh FROM b")
+def benjamini_hochberg(spark, sf):
+    return rounded(inference.benjamini_hochberg(_tests(spark, sf)))
+
+
+@query("horizon_profile", SIGNAL_SQL + ", z AS (" + " UNION ALL ".join(f"SELECT '{sig}' AS signal, {h} AS horizon, date, {sig} AS x0, {change(at('adj_close', h), 'adj_close')} AS y0 FROM s" for sig in ("mean_reversion_signal", "abnormal_volume_signal") for h in (1, 5, 20)) + f"), zp AS (SELECT * FROM z WHERE x0 IS NOT NULL AND y0 IS NOT NULL), zr AS (SELECT signal, horizon, date, {rank_of('x0', 'signal, horizon, date')} AS x, {rank_of('y0', 'signal, horizon, date')} AS y FROM zp), zi AS (SELECT signal, horizon, date, CASE WHEN count(*) >= 5 THEN CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END END AS ic FROM zr GROUP BY ALL) SELECT signal, horizon, count(ic) AS n, round(avg(ic), 6) + 0.0 AS mean_ic FROM zi GROUP BY ALL")
+def profile(spark, sf):
+    ics = horizon_profile(_signals(spark, sf), ["mean_reversion_signal", "abnormal_volume_signal"], horizons=(1, 5, 20))
+    return rounded(ics.groupBy("signal", "horizon").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean_ic")))
+
+
+@query("permutation_test")
+def permutation(spark, sf):
+    return resampling.permutation_ics(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d", 200)
+
+
+@query("bootstrap_mean")
+def bootstrap(spark, sf):
+    ic = [r["ic"] for r in _ic(spark, sf).where("ic is not null").orderBy("date").collect()]  # a row a session
+    return resampling.bootstrap_means(spark, ic, 2000, 5)
+
+
+@query("null_simulation")
+def null_simulation(spark, sf):
+    return resampling.null_simulation(spark, 200, 30, 50)
+
+
+@query("stationarity_tests")
+def stationarity_tests(spark, sf):
+    ic = [r["ic"] for r in _ic(spark, sf).where("ic is not null").orderBy("date").collect()]  # a row a session
+    rows = [(k, float(v["statistic"]), float(v["p_value"]), bool(v["stationary"])) for k, v in (("adf", stationarity.adf_test(ic)), ("kpss", stationarity.kpss_test(ic)))]
+    return spark.createDataFrame(rows, "test string, statistic double, p_value double, stationary boolean")
+
+
+# Portfolios and execution
+
+EQUAL = SIGNAL_SQL + """, e AS (SELECT date, ticker, adj_close, mean_reversion_signal AS x, count(*) OVER d AS n, row_number() OVER (d ORDER BY mean_reversion_signal DESC, ticker) AS top, row_number() OVER (d ORDER BY mean_reversion_signal, ticker DESC) AS bottom, min(mean_reversion_signal) OVER d = max(mean_reversion_signal) OVER d AS flat
+ FROM s WINDOW d AS (PARTITION BY date, mean_reversion_signal IS NULL)), ek AS (SELECT *, least(CASE WHEN n >= 10 THEN greatest(greatest(1, CAST(floor(n * 0.2) AS INTEGER)), 5) ELSE greatest(1, CAST(floor(n * 0.2) AS INTEGER)) END, n // 2) AS k FROM e),
+ew AS (SELECT date, ticker, CASE WHEN x IS NULL THEN NULL WHEN n < 5 OR flat THEN 0.0 WHEN top <= k THEN 0.5 / k WHEN bottom <= k THEN -0.5 / k ELSE 0.0 END AS target_weight FROM ek)"""
+
+
+@query("weights_equal", EQUAL + " SELECT date, ticker, round(CAST(target_weight AS DOUBLE), 6) + 0.0 AS target_weight FROM ew")
+def weights_equal(spark, sf):
+    return rounded(portfolio.EqualWeightLongShort().construct(_signals(spark, sf), "mean_reversion_signal", constrain=False).select("date", "ticker", "target_weight"))
+
+
+@query("weights_signal", SIGNAL_SQL + ", w0 AS (SELECT date, ticker, combined_signal AS x, combined_signal - avg(combined_signal) OVER d AS e, count(combined_signal) OVER d AS n FROM s WINDOW d AS (PARTITION BY date)), w1 AS (SELECT *, sum(abs(e)) OVER (PARTITION BY date) AS g FROM w0) SELECT date, ticker, round(CASE WHEN x IS NOT NULL THEN CASE WHEN n < 5 OR g < 1e-12 THEN 0.0 ELSE e / g END END, 6) + 0.0 AS target_weight FROM w1")
+def weights_signal(spark, sf):
+    return rounded(portfolio.SignalWeightedLongShort().construct(_signals(spark, sf), "combined_signal", constrain=False).select("date", "ticker", "target_weight"))
+
+
+@query("weights_inverse_volatility", SIGNAL_SQL + ", w0 AS (SELECT date, ticker, realized_vol_60 AS vol, CASE WHEN realized_vol_60 >= 0 THEN mean_reversion_signal END AS x FROM s), w1 AS (SELECT *, (x - avg(x) OVER d) / greatest(vol, 0.05) AS r, count(x) OVER d AS n FROM w0 WINDOW d AS (PARTITION BY date)), w2 AS (SELECT *, CASE WHEN x IS NOT NULL THEN r - avg(r) OVER d END AS e, sum(abs(r)) OVER d AS l FROM w1 WINDOW d AS (PARTITION BY date)), w3 AS (SELECT *, sum(abs(e)) OVER (PARTITION BY date) AS g FROM w2) SELECT date, ticker, round(CASE WHEN x IS NOT NULL THEN CASE WHEN n < 5 OR l < 1e-12 OR g < 1e-12 THEN 0.0 ELSE e / g END END, 6) + 0.0 AS target_weight FROM w3")
+def weights_inverse_volatility(spark, sf):
+    return rounded(portfolio.InverseVolatilitySignalWeighted().construct(_signals(spark, sf), "mean_reversion_signal", constrain=False).select("date", "ticker", "target_weight"))
+
+
+def _weights(spark, sf):
+    return portfolio.SignalWeightedLongShort().construct(_signals(spark, sf), "mean_reversion_signal").select("date", "ticker", "adj_close", "target_weight")
+
+
+@query("weights_projected")
+def weights_projected(spark, sf):
+    return portfolio.SignalWeightedLongShort(max_position=0.05).construct(_signals(spark, sf), "mean_reversion_signal").select("date", "ticker", "target_weight")
+
+
+@query("cost_fills", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in {"fill_price": "CASE WHEN l_returnflag = 'R' THEN greatest((l_extendedprice / l_quantity) * (1 - 0.001), 0.01) ELSE (l_extendedprice / l_quantity) * (1 + 0.001) END", "commission": "(l_extendedprice / l_quantity) * l_quantity * 0.0005", "spread_cost": "(l_extendedprice / l_quantity) * l_quantity * 0.0005", "slippage_cost": "(l_extendedprice / l_quantity) * l_quantity * 0.0005"}.items()) + " FROM lineitem")
+def cost_fills(spark, sf):
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    cost = execution.CostModel().columns(F.when(F.col("l_returnflag") == "R", -1).otherwise(1), F.col("l_quantity"), price)
+    return rounded(items.select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in cost.items())), 5)
+
+
+@query("backtest_ledger")
+def backtest_ledger(spark, sf):
+    return execution.run_backtests(_weights(spark, sf)).snapshots
+
+
+@query("backtest_fills")
+def backtest_fills(spark, sf):
+    return execution.run_backtests(_weights(spark, sf)).fills
+
+
+@query("backtest_metrics")
+def backtest_metrics(spark, sf):
+    return metrics.performance(execution.run_backtests(_weights(spark, sf)).snapshots)
+
+
+@query("cost_sensitivity")
+def cost_sensitivity(spark, sf):
+    return validation.cost_sensitivity(_weights(spark, sf))
+
+
+@query("asset_drop_stability")
+def asset_drop(spark, sf):
+    return validation.asset_drop_stability(_weights(spark, sf))
+
+
+@query("subperiods")
+def subperiods(spark, sf):
+    return validation.subperiods(_weights(spark, sf), "1999-01-01")
+
+
+def _windows():
+    return tuple(validation.WalkForwardWindow(k, "1995-01-01", f"{1996 + k}-12-31", f"{1997 + k}-01-01", f"{1997 + k}-12-31", k == 3) for k in (1, 2, 3))
+
+
+@query("walk_forward")
+def walk_forward(spark, sf):
+    return validation.walk_forward(_weights(spark, sf), _windows()).metrics
+
+
+@query("sharpe_probabilities")
+def sharpe(spark, sf):
+    return validation.walk_forward(_weights(spark, sf), _windows(), trials=10).probabilities
+
+
+# Metrics and regimes over the market proxy
+
+MARKET = PANEL + ", mr AS (SELECT date, ticker, (adj_close - lag(adj_close) OVER w) / nullif(lag(adj_close) OVER w, 0) AS r FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)), mm AS (SELECT date, avg(r) AS market_return FROM mr GROUP BY date), mk AS (SELECT *, 100 * product(1 + coalesce(market_return, 0)) OVER (ORDER BY date) AS market_price FROM mm)"
+
+
+@query("market_proxy", MARKET + " SELECT date, round(market_return, 6) + 0.0 AS market_return, round(ln(market_price), 6) AS log_price FROM mk")
+def market(spark, sf):
+    m = regimes.market_proxy(lineitem_panel(spark, sf))
+    return m.select("date", half_up("market_return").alias("market_return"), half_up(F.ln("market_price")).alias("log_price"))
+
+
+def _run(spark, sf):
+    """A hundredth of the market's changes, compounded: bars of noise change by half a day by day."""
+    m = regimes.market_proxy(lineitem_panel(spark, sf)).withColumn("daily_return", F.col("market_return") / 100.0)
+    grown = F.product(1.0 + F.coalesce("daily_return", F.lit(0.0))).over(Window.partitionBy(F.lit(0)).orderBy("date"))
+    return m.select(F.lit("market").alias("run_id"), "date", "daily_return", grown.alias("equity"))
+
+
+SMALL = MARKET.replace("avg(r) AS market_return", "avg(r) / 100.0 AS market_return").replace("100 * product", "product")
+
+
+@query("drawdowns", SMALL + ", dd AS (SELECT date, market_price / max(market_price) OVER (ORDER BY date) - 1 AS drawdown FROM mk) SELECT date, round(drawdown, 6) + 0.0 AS drawdown FROM dd")
+def drawdown(spark, sf):
+    return rounded(metrics.drawdowns(_run(spark, sf)).select("date", "drawdown"))
+
+
+@query("performance_metrics", SMALL + """, x AS (SELECT date, market_return AS r, market_price AS e FROM mk WHERE market_return IS NOT NULL), dd AS (SELECT *, e / max(e) OVER (ORDER BY date) - 1 AS f FROM x), isl AS (SELECT *, sum((f >= 0)::INT) OVER (ORDER BY date) AS i FROM dd),
+runs AS (SELECT i, min(f) AS low, count(*) FILTER (f < 0) AS days FROM isl GROUP BY i), rr AS (SELECT min(low) AS mdd, max(days) AS dur FROM runs),
+b AS (SELECT count(*) AS t, avg(r) AS m, stddev_samp(r) AS sd, arg_min(e, date) AS e0, arg_max(e, date) AS e1, sqrt(avg(r * r) FILTER (r < 0)) * sqrt(252.0) AS down, avg((r > 0)::INT) AS hit, sum(r) FILTER (r > 0) AS g, -sum(r) FILTER (r < 0) AS l FROM x),
+c AS (SELECT *, pow(e1 / e0, 252.0 / t) - 1 AS cagr FROM b, rr)
+SELECT 'market' AS run_id, round(cagr, 5) + 0.0 AS cagr, round(m * 252, 5) + 0.0 AS annualized_return, round(sd * sqrt(252.0), 5) + 0.0 AS annualized_volatility, round(m / sd * sqrt(252.0), 5) + 0.0 AS sharpe_ratio, round(m * 252 / down, 5) + 0.0 AS sortino_ratio, round(mdd, 5) + 0.0 AS max_drawdown, dur AS max_drawdown_duration_days,
+round(cagr / abs(mdd), 5) + 0.0 AS calmar_ratio, round(hit, 5) + 0.0 AS daily_hit_rate, round(g / l, 5) + 0.0 AS profit_factor, 0e0 AS average_daily_turnover, 0e0 AS annualized_turnover, 0e0 AS total_cost_usd, 0e0 AS cost_drag_bps, t AS total_trading_days FROM c""")
+def performance_metrics(spark, sf):
+    return rounded(metrics.performance(_run(spark, sf)), 5)
+
+
+@query("return_moments", SMALL + ", x AS (SELECT market_return AS r, avg(market_return) OVER () AS m FROM mk WHERE market_return IS NOT NULL) SELECT 'market' AS run_id, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5), 5) + 0.0 AS skew, round(avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2), 5) AS kurtosis FROM x")
+def moments(spark, sf):
+    x = metrics.return_moments(_run(spark, sf))
+    return x.select("run_id", "n", half_up("mean").alias("mean"), half_up("std").alias("std"), half_up("skew", 5).alias("skew"), half_up("kurtosis", 5).alias("kurtosis"))
+
+
+def back(n: int) -> str:
+    return f"(ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+VOL_REGIME = MARKET + f", v AS (SELECT *, CASE WHEN count(market_return) OVER {back(20)} >= 10 THEN stddev_samp(market_return) OVER {back(20)} * sqrt(252.0) END AS vol FROM mk), vq AS (SELECT *, quantile_cont(vol, 0.4) OVER () AS lo, quantile_cont(vol, 0.6) OVER () AS hi FROM v), vr AS (SELECT date, market_return, CASE WHEN vol IS NULL THEN NULL WHEN vol <= lo THEN 'LOW_VOL' WHEN vol > hi THEN 'HIGH_VOL' ELSE 'NORMAL_VOL' END AS regime FROM vq)"
+
+
+@query("volatility_regime", VOL_REGIME + " SELECT date, regime FROM vr")
+def volatility_regime(spark, sf):
+    return regimes.volatility_regime(regimes.market_proxy(lineitem_panel(spark, sf))).select("date", "regime")
+
+
+@query("trend_regime", MARKET + f", t AS (SELECT date, CASE WHEN count(market_price) OVER {back(50)} >= 25 THEN avg(market_price) OVER {back(50)} END AS f, CASE WHEN count(market_price) OVER {back(200)} >= 100 THEN avg(market_price) OVER {back(200)} END AS s FROM mk) SELECT date, CASE WHEN f <= s THEN 'BEAR_TREND' WHEN f IS NOT NULL AND s IS NOT NULL THEN 'BULL_TREND' END AS regime FROM t")
+def trend_regime(spark, sf):
+    return regimes.trend_regime(regimes.market_proxy(lineitem_panel(spark, sf))).select("date", "regime")
+
+
+@query("composite_regime", MARKET + f""", v AS (SELECT *, CASE WHEN count(market_return) OVER {back(20)} >= 20 THEN stddev_samp(market_return) OVER {back(20)} * sqrt(252.0) END AS vol FROM mk),
+q AS (SELECT *, CASE WHEN count(vol) OVER {back(252)} >= 60 THEN quantile_cont(vol, 0.25) OVER {back(252)} END AS q1, CASE WHEN count(vol) OVER {back(252)} >= 60 THEN quantile_cont(vol, 0.75) OVER {back(252)} END AS q3, CASE WHEN count(market_return) OVER {back(60)} >= 60 THEN product(1 + market_return) OVER {back(60)} - 1 END AS g FROM v),
+k AS (SELECT date, CASE WHEN vol IS NOT NULL THEN CASE WHEN vol < q1 THEN 'low' WHEN vol > q3 THEN 'high' ELSE 'medium' END END AS vol_regime, CASE WHEN g > 0 THEN 'trending' WHEN g IS NOT NULL THEN 'non_trending' END AS trend_regime FROM q) SELECT *, vol_regime || '_' || trend_regime AS regime_composite FROM k""")
+def composite_regime(spark, sf):
+    return regimes.composite_regime(regimes.market_proxy(lineitem_panel(spark, sf))).select("date", "vol_regime", "trend_regime", "regime_composite")
+
+
+@query("regime_performance", VOL_REGIME + " SELECT regime, count(*) AS total_trading_days, round(avg(market_return) * 252, 5) + 0.0 AS annualized_return, round(stddev_samp(market_return) * sqrt(252.0), 5) AS annualized_volatility FROM vr WHERE regime IS NOT NULL AND market_return IS NOT NULL GROUP BY regime HAVING count(*) >= 5")
+def regime_performance(spark, sf):
+    m = regimes.market_proxy(lineitem_panel(spark, sf))
+    out = regimes.performance_by_regime(m.select("date", F.col("market_return").alias("daily_return")), regimes.volatility_regime(m))
+    return rounded(out.select("regime", "total_trading_days", "annualized_return", "annualized_volatility"), 5)
+
+
+@query("extreme_days_removed", MARKET + ", x AS (SELECT market_return AS r, row_number() OVER (ORDER BY market_return DESC, date) AS b, row_number() OVER (ORDER BY market_return, date) AS w FROM mk WHERE market_return IS NOT NULL) SELECT count(*) AS total_trading_days, round(avg(r) * 252, 5) + 0.0 AS annualized_return FROM x WHERE b > 5 AND w > 5")
+def extreme_days(spark, sf):
+    m = regimes.market_proxy(lineitem_panel(spark, sf)).select("date", F.col("market_return").alias("daily_return"))
+    return rounded(validation.extreme_days_removed(m).select("total_trading_days", "annualized_return"), 5)
+
+
+# Learning
+
+
+def _split(spark, sf):
+    return "1998-12-31", "1999-01-01", "2000-12-31"
+
+
+@query("ols_univariate", BASE + " SELECT round(regr_slope(fwd_ret_1d, zscore_price_20), 6) AS slope, round(regr_intercept(fwd_ret_1d, zscore_price_20), 6) AS intercept FROM f WHERE fwd_ret_1d IS NOT NULL AND zscore_price_20 IS NOT NULL")
+def ols_univariate(spark, sf):
+    df = features.compute_features(lineitem_panel(spark, sf)).dropna(subset=["zscore_price_20", "fwd_ret_1d"])
+    m = learning.LinearModel().fit(df, ["zscore_price_20"], "fwd_ret_1d")
+    return spark.createDataFrame([tuple(math.floor(float(x) * 1e6 + 0.5) / 1e6 for x in (m.coefficients[0], m.intercept))], "slope double, intercept double")
+
+
+def _learned(model):
+    def run(spark, sf):
+        df = features.compute_features(lineitem_panel(spark, sf))
+        return learning.train_and_predict(df, model, *_split(spark, sf), target="fwd_ret_5d", features=("ret_20d", "zscore_price_20", "realized_vol_60", "relative_volume")).select("date", "ticker", "prediction", "ml_signal")
+
+    return run
+
+
+for _name in ("ols", "ridge", "lasso", "xgboost"):
+    query(f"ml_{_name}")(_learned(_name))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily rank IC of one-session reversal against the next session's return."""
+    df = lineitem_panel(spark, sf)
+    df = df.withColumns({"reversal": -features.simple_return("adj_close", 1), "fwd_ret_1d": features.forward_return("adj_close", 1)})
+    return rounded(inference.daily_ic(df, "reversal", "fwd_ret_1d").select("date", "n", "ic"))
+
+
+query("reversal_ic", PANEL + f", b AS (SELECT date, -({RETURNS['ret_1d']}) AS x0, {RETURNS['fwd_ret_1d']} AS y0 FROM panel), p AS (SELECT * FROM b WHERE x0 IS NOT NULL AND y0 IS NOT NULL), pr AS (SELECT date, {rank_of('x0')} AS x, {rank_of('y0')} AS y FROM p), ic AS (SELECT date, CASE WHEN count(*) >= 5 THEN CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END END AS ic, count(*) AS n FROM pr GROUP BY date) SELECT date, n, round(ic, 6) + 0.0 AS ic FROM ic")(flagship)
