@@ -4,8 +4,8 @@ Texts are cut before a space that follows something that is no white space. Neit
 over such a place (byte-level pre-tokens begin with the space; the word kind drops spaces), so the ids of a text are
 those of its parts in a row, and each worker encodes a part that it has met before only once. Texts that hold one of
 the file's special strings, or white space in other places, are cut by a slower rule or encoded whole. A part of letters
-and one mark, or of two lines, is made of its pre-tokens; one of ASCII letters is a pre-token and goes to the model as
-it is.
+and one mark, or of two lines, is made of its pre-tokens; one of letters is a pre-token, whose bytes' signs go to the
+model.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ BOUNDARY = re.compile(f"(?<=[^{WHITE}]) ")
 CHUNK_CHARS = 1 << 20
 #: Marks that are a pre-token of their own after letters, in both kinds of file.
 MARKS = frozenset(".,;:!?")
-#: The byte-level sign for a space.
-SPACE = "\u0120"
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The byte-level signs: printable Latin-1 bytes stand for themselves, the others for 256 and up, in order.
+SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
+SPACE = SIGNS[32]
 
 _loaded: dict[str, TokenIds] = {}
 
@@ -71,14 +73,20 @@ class TokenIds:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _word(self, pre_token: str) -> bytes:
-        """Of one pre-token of ASCII letters."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(pre_token)]).tobytes()
+    def _word(self, letters: str, before: str = "") -> bytes:
+        """Of a pre-token of letters."""
+        signs = letters if letters.isascii() else "".join(map(SIGNS.__getitem__, letters.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(before + signs)]).tobytes()
+
+    def _plain(self, word: str) -> bool:
+        """One pre-token of letters. The word kind also lower-cases and composes: there, only Latin letters that stay as they are."""
+        return word.isalpha() and (not self.drops or (max(word) <= "\u017f" and word == word.lower()))
 
     def _first_of(self, word: str) -> bytes | None:
-        if word and word[-1] in MARKS and word[:-1].isalpha():
+        simple = not self.drops or (word and max(word) <= "\u017f" and "\u0130" not in word)  # lower-cased letter by letter
+        if word and word[-1] in MARKS and word[:-1].isalpha() and simple:
             return self.first[word[:-1]] + self.first[word[-1]]
-        if self.drops and word.isascii() and word.isalpha() and word != word.lower():
+        if self.drops and word.isalpha() and simple and word != word.lower():
             return self.first[word.lower()]
         at = word.find("\n", 1)
         if at > 0 and word[at - 1] not in WHITE_CHARS:
@@ -88,7 +96,7 @@ class TokenIds:
         return None
 
     def _encode_first(self, word: str) -> bytes:
-        return self._word(word) if word.isascii() and word.isalpha() else self.whole(word)
+        return self._word(word) if self._plain(word) else self.whole(word)
 
     def _spaced_of(self, word: str) -> bytes | None:
         if not word or word[-1] in WHITE_CHARS:
@@ -104,7 +112,7 @@ class TokenIds:
         """None: the next space may belong to this part's white space."""
         if not word or word[-1] in WHITE_CHARS:
             return None
-        return self._word(SPACE + word) if word.isascii() and word.isalpha() else self.whole(" " + word)
+        return self._word(word, SPACE) if self._plain(word) else self.whole(" " + word)
 
     def encode(self, text: str) -> bytes:
         if not text:
