@@ -81,4 +81,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+NEAREST_SQL = """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+x AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM x)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+#: Seed 20240; a source's weight is the square root of its size, and as many rows are wanted as there are.
+MIXING_SQL = """WITH n AS (SELECT coalesce(source, chr(0)) AS s, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT sum(sqrt(n)) AS w, CAST(sum(n) AS DOUBLE) AS n FROM n),
+rates AS (SELECT s, sqrt(n.n) * (t.n / t.w) / n.n AS rate FROM n, t),
+d AS (SELECT documents.*, rate, CAST(CAST('0x' || substr(md5('20240:1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496 AS u FROM documents JOIN rates ON coalesce(source, chr(0)) = s),
+k AS (SELECT * EXCLUDE (rate, u), len(list_filter(range(0, 60), lambda j: list_sum(list_transform(range(0, j + 1), lambda i: exp(-rate + i * ln(rate) - lgamma(i + 1)))) <= u)) AS k FROM d),
+e AS (SELECT * EXCLUDE (k), CAST(unnest(range(1, k + 1)) AS INTEGER) AS replica FROM k)
+SELECT *, CAST('0x' || substr(md5('20240:order:' || replica || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS shuffle_key FROM e"""
+
+ORACLE_SQL: dict[str, str] = {"op1_nearest_neighbours": NEAREST_SQL, "op9_poisson_mixing": MIXING_SQL}
