@@ -4,11 +4,11 @@ P(severity >= k) = sigmoid(w.x - t_k) for k = 1..GRADES: one weight vector, orde
 expected severity is the sum of these. x holds log(1 + count) of sparse text features: words, and their first four and
 five letters, which inflected forms share.
 
-Training takes at most max_train labelled rows of each class (those with the least hashes of their ids); only their
-feature counts come to the driver. Features are kept whose document frequency differs between the classes far beyond
-chance, at most max_features. Labels say toxic or not; the severity of a toxic row in training is 1, 2 or 3 by the
+Training takes at most max_train labelled rows of each class (those with the least hashes of their ids). Features are
+kept whose document frequency differs between the classes far beyond chance, at most max_features; only their counts
+come to the driver. Labels say toxic or not; the severity of a toxic row in training is 1, 2 or 3 by the
 terciles of how many kept features it holds. Weights are fitted by accelerated gradient steps with an L2 penalty, and
-the cut on P(severity >= 1) is set midway between the classes on a held-back fifth.
+the cut on P(severity >= 1) is where a held-back fifth loses least, clean documents counting CLEAN_LOST times.
 
 Defined results: a null or empty text has no features, and so the severity of the thresholds alone; a null id is
 scored and returned; repeated rows are scored each; labels that are null take no part, and of several for one id the
@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentCache, type_of
+from .common import SegmentCache, type_of, written
 
 GRADES = 3
 WORD = re.compile(r"\w+")
 OUT_ROWS = 2000
+#: How much worse it is to reject a share of the clean documents than to miss that share of the toxic ones.
+CLEAN_LOST = 5.0
 
 
 def features_of(part: str) -> tuple[int, ...]:
@@ -80,7 +82,7 @@ class OrdinalModel:
     def margin(self, text: str | None) -> float:
         if self._cache is None:
             known = self.features
-            self._cache = SegmentCache(lambda part: tuple(known[h] for h in features_of(part) if h in known))
+            self._cache = SegmentCache(lambda part: tuple(known[h] for h in features_of(part) if h in known), limit=60_000)
         found = counted(text, self._cache)
         return float(sum(self.weights[k] * np.log1p(n) for k, n in sorted(found.items())))
 
@@ -91,7 +93,7 @@ class OrdinalModel:
         return p.sum(axis=1), p[:, 0], each.argmax(axis=1)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds; rows of each class count alike in sum."""
     n, d = x.shape
     positive = grade > 0
@@ -123,23 +125,12 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-3, steps:
     return z[:d], thresholds(z)
 
 
-def learn(rows: list[tuple[dict[int, int], int]], max_features: int = 512, least_z: float = 4.0) -> OrdinalModel:
-    """rows: feature counts and 0 or 1."""
+def learn(rows: list[tuple[dict[int, int], int]], chosen: list[int]) -> OrdinalModel:
+    """rows: counts of the chosen features, and 0 or 1."""
     y = np.array([t for _, t in rows], int)
     if min((y == 1).sum(), (y == 0).sum()) < 2:
         return OrdinalModel({}, np.zeros(0), np.arange(1.0, GRADES + 1) * 10)
-    with_it = [Counter(), Counter()]
-    for found, t in rows:
-        with_it[t].update(found.keys())
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    scored = []
-    for h, a in with_it[1].items():
-        b = with_it[0][h]
-        p, q, both = a / n1, b / n0, (a + b) / (n1 + n0)
-        z = (p - q) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-        if z >= least_z and a >= 3 and p >= 4 * (b + 0.5) / n0:
-            scored.append((-z, h))
-    features = {h: k for k, (_, h) in enumerate(sorted(scored)[:max_features])}
+    features = {h: k for k, h in enumerate(chosen)}
     x = np.zeros((len(rows), len(features)))
     for i, (found, _) in enumerate(rows):
         for h, n in found.items():
@@ -155,20 +146,33 @@ def learn(rows: list[tuple[dict[int, int], int]], max_features: int = 512, least
     p = _sigmoid(x[held] @ w - t[0])
     tries = np.unique(np.concatenate([p, [0.5]]))
     tries = (tries[1:] + tries[:-1]) / 2
-    worth = [((p >= c) & (y[held] == 1)).sum() / (y[held] == 1).sum() - ((p >= c) & (y[held] == 0)).sum() / (y[held] == 0).sum() for c in tries]
+    worth = [((p >= c) & (y[held] == 1)).sum() / (y[held] == 1).sum() - CLEAN_LOST * ((p >= c) & (y[held] == 0)).sum() / (y[held] == 0).sum() for c in tries]
     best = max(worth, default=0)
     cuts = [c for c, v in zip(tries, worth) if v >= best - 1e-12]
     return OrdinalModel(features, w, t, float(np.median(cuts)) if cuts else 0.5)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> OrdinalModel:
+def telling(sample: DataFrame, max_features: int, least_z: float) -> list[int]:
+    """The features whose document frequencies in the two classes of (y, features) differ most."""
+    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    if min(n1, n0) < 2:
+        return []
+    found = sample.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 3")
+    p, q, both = F.col("a") / n1, F.col("b") / n0, (F.col("a") + F.col("b")) / (n1 + n0)
+    z = (p - q) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+    found = found.select("f", z.alias("z")).where((F.col("z") >= least_z) & (p >= 10 * (F.col("b") + 0.5) / n0))
+    return [r["f"] for r in found.orderBy(F.desc("z"), "f").limit(max_features).collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, max_features: int = 512, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
     """A model of at most max_train labelled rows of each class."""
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     some = [named.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for k in (0, 1)]
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = SegmentCache(features_of)
+        cache = SegmentCache(features_of, limit=60_000)
         for b in batches:
             for at in range(0, b.num_rows, OUT_ROWS):
                 part = b.slice(at, OUT_ROWS)
@@ -176,12 +180,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, id_col: str =
                 key = pa.array([xxhash.xxh3_64_intdigest(str(d)) >> 1 for d in part.column("doc_id").to_pylist()], pa.int64())
                 yield pa.RecordBatch.from_arrays([key, part.column("y"), pa.array([[*f] for f in found], pa.list_(pa.int64())), pa.array([[*f.values()] for f in found], pa.list_(pa.int32()))], ["key", "y", "features", "counts"])
 
-    got = sample.mapInArrow(counts, "key long, y int, features array<long>, counts array<int>").toArrow().sort_by("key")
-    rows = []
-    for b in got.to_batches():
-        for y, f, n in zip(b.column("y").to_pylist(), b.column("features"), b.column("counts")):
-            rows.append((dict(zip(f.values.to_numpy().tolist(), n.values.to_numpy().tolist())), y))
-    return learn(rows, **options)
+    counted_rows = written(sample.mapInArrow(counts, "key long, y int, features array<long>, counts array<int>"))
+    chosen = telling(counted_rows, max_features, least_z)
+    known = set(chosen)
+
+    def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [[(f, n) for f, n in zip(fs, ns) if f in known] for fs, ns in zip(b.column("features").to_pylist(), b.column("counts").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array([[f for f, _ in r] for r in rows], pa.list_(pa.int64())), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], ["key", "y", "features", "counts"])
+
+    got = counted_rows.mapInArrow(only_chosen, counted_rows.schema).orderBy("key").collect()
+    return learn([(dict(zip(r["features"], r["counts"])), r["y"]) for r in got], chosen)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
