@@ -11,11 +11,12 @@ likelihood of each Jaccard value (Ertl, SetSketch: Filling the Gap between MinHa
 dropped only if its best value lies below the threshold and is likelier by far (LIKELIHOOD_RATIO).
 
 Links. First each node is held against one node of its buckets: the least of a bucket stands for it. Their sets are
-compared in full, and connected nodes become components. Then every pair of nodes of one bucket and different
-components is tested: in blocks of at most BLOCK nodes a side, and never within a component, so that a large group of
-near copies, which is one component by then, costs no pairs. What passes is compared in full again. No bucket,
-candidate or partner is capped; only pairs that differ in all bands or by the likelihood are missed. With 32 bands of 4
-registers a link at exactly 0.8 is missed with probability below 1e-7.
+compared in full, and connected nodes become components. Then the nodes of each bucket are tested across components, in
+blocks of at most about BLOCK nodes a side; likely pairs put components into one cluster. Last, all likely pairs of a
+cluster are compared in full, block against block of CLUSTER_BLOCK nodes, until their components are joined. Pairs
+within a component, as most of a large group of near copies are by then, cost nothing, and a block returns only as many
+links as join its components. No bucket, candidate or partner is capped; only pairs that differ in all bands or by the
+likelihood are missed. With 32 bands of 4 registers a link at exactly 0.8 shares no band with probability below 1e-7.
 
 Sets are 64-bit hashes, and so are class ids: the chance that two of n shingles of a pair collide is n^2 / 2^65.
 
@@ -39,13 +40,16 @@ from .common import SegmentCache, type_of, written
 
 REGISTERS = 128
 BAND = 4
+BANDS = 32
 BASE = 1.02
 RATE = 20.0
 LIKELIHOOD_RATIO = 30.0
 BLOCK = 1024
+CLUSTER_BLOCK = 512
+CLUSTER_SHINGLES = 2 << 20
 #: Bits of the filter that says which documents may be candidates: 4 MB at most, whatever the input.
 FILTER_BITS = 1 << 25
-GRID = 48
+GRID = 24
 CHUNK = 2048
 OUT_ROWS = 2000
 
@@ -70,7 +74,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of size words."""
     global _words
     if _words is None:
-        _words = SegmentCache(xxhash.xxh3_64_intdigest)
+        _words = SegmentCache(xxhash.xxh3_64_intdigest, limit=60_000)
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
@@ -164,9 +168,8 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(test, "a long, b long, jaccard double")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, members) of the nodes of wanted (node, rep), as a table in the shared folder."""
     # a filter of fixed size finds their texts without moving the others; the join below is exact
     bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
     bitmap = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
@@ -184,7 +187,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(node, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "node", "members"])
 
     full = texts.mapInArrow(sets, f"rep {type_of(docs, id_col)}, node long, members binary").join(wanted, ["rep", "node"], "left_semi").select("node", "members")
-    full = written(full.groupBy("node").agg(F.first("members").alias("members")))
+    return written(full.groupBy("node").agg(F.first("members").alias("members")))
+
+
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * both >= percent * (len(s) + len(t) - both)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+    full = full_sets(wanted, docs, size, id_col, text_col)
     # b's set is sent ahead of the sets to hold against it; one with many partners is sent to several places
     many = pairs.groupBy("b").agg(F.ceil(F.count("*") / 4096).cast("int").alias("places"))
     first = many.join(full, many.b == full.node).select("b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("a"), "members")
@@ -202,8 +216,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
                     continue
                 if of[k] != key:
                     raise ValueError("a set is missing")
-                both = len(np.intersect1d(s, held, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(held) - both):
+                if alike(s, held, percent):
                     keep.append((a[k], key))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in keep], pa.int64()), pa.array([x for _, x in keep], pa.int64())], ["a", "b"])
 
@@ -238,8 +251,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rows = written(sketches(docs, size, id_col, text_col))
     known = rows.where("node is not null and doc_id is not null")
     nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    bands = [F.xxhash64(F.expr(f"substring(sig, {1 + 2 * BAND * k}, {2 * BAND})"), F.lit(k)) for k in range(REGISTERS // BAND)]
-    dealt = nodes.select("node", "n_shingles", F.explode(F.array(*bands)).alias("bucket"))
+    bands = [F.xxhash64(F.expr(f"substring(sig, {1 + 2 * BAND * k}, {2 * BAND})"), F.lit(k)) for k in range(BANDS)]
+    dealt = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
     # all that may be linked at all; every later step reads only these
     dealt = written(dealt.join(shared, "bucket"))
@@ -250,10 +263,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = written(verified(pairs, nodes, docs, size, percent, id_col, text_col))
     found = components(links)
 
-    named = dealt.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    rest = written(_between(named, nodes, threshold))
-    more = verified(rest, nodes, docs, size, percent, id_col, text_col)
-    found = components(links.union(more))
+    near = written(_likely_links(dealt, found, nodes, threshold))
+    links = links.union(_cluster_links(links, near, found, nodes, docs, size, percent, id_col, text_col))
+    found = components(links)
 
     ids = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     ids = ids.join(ids.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
@@ -263,35 +275,118 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.withColumnRenamed("doc_id", id_col)
 
 
-def _between(named: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Likely pairs (a, b) of nodes of one bucket (bucket, node, component) and different components."""
+class Joined:
+    """Sets of components that have been joined."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _open_pairs(t: pa.Table, left: np.ndarray, right: np.ndarray, within: bool, threshold: float, joined: Joined) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of likely pairs of components that are still apart when the pair comes up."""
+    node, comp, n = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
+    sig = _sigs(t.column("sig").combine_chunks())
+    kinds, kind = np.unique(comp, return_inverse=True)
+    for at in range(0, len(left), 64):
+        part = left[at : at + 64, None]
+        roots = np.array([joined.root(c) for c in kinds.tolist()])[kind]
+        apart = (roots[part] != roots[right]) & (np.minimum(n[part], n[right]) >= threshold * np.maximum(n[part], n[right]) - 1e-9)
+        if within:
+            apart &= node[part] > node[right]
+        rows, cols = np.nonzero(apart)
+        for k in range(0, len(rows), 4096):
+            i, j = part[rows[k : k + 4096], 0], right[cols[k : k + 4096]]
+            roots = np.array([joined.root(c) for c in kinds.tolist()])[kind]
+            still = roots[i] != roots[j]
+            i, j = i[still], j[still]
+            if len(i):
+                ok, jaccard = likely(sig[i], sig[j], n[i], n[j], threshold)
+                order = np.flatnonzero(ok)[np.argsort(-jaccard[ok], kind="stable")]
+                for x, y in zip(i[order].tolist(), j[order].tolist()):
+                    if joined.root(int(comp[x])) != joined.root(int(comp[y])):
+                        yield x, y
+
+
+def _tiles(rows: DataFrame, key: str, blocks, *columns: str) -> DataFrame:
+    """rows dealt to (key, x, y) for x <= y of the blocks of a key: each row meets all others of its key, itself once."""
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda y: F.struct(F.least(own, y).alias("x"), F.greatest(own, y).alias("y"), (y < own).cast("int").alias("side")))
+    return rows.select(key, *columns, F.explode(to).alias("t")).select(key, "t.x", "t.y", "t.side", *columns)
+
+
+def _sides(key, t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    if key[1].as_py() == key[2].as_py():
+        return np.arange(t.num_rows), np.arange(t.num_rows), True
+    side = t.column("side").to_numpy()
+    return np.flatnonzero(side == 0), np.flatnonzero(side == 1), False
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _likely_links(dealt: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): of each bucket as many likely pairs of nodes of different components as join all that are likely."""
+    named = dealt.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("kinds")).where("kinds > 1")
     rows = named.join(sizes, "bucket").join(nodes.select("node", "n_shingles", "sig"), "node")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    main, rest = blocks(F.col("n_main")), blocks(F.col("n_all") - F.col("n_main"))
+    main, rest = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_main"), F.col("n_all") - F.col("n_main")))
     row = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     # the largest component's blocks meet the others' blocks (x < 0), and these meet each other (x >= 0)
     of_main = F.transform(F.sequence(F.lit(0), rest - 1), lambda y: F.struct((-1 - row(main)).alias("x"), y.alias("y"), F.lit(0).alias("side")))
     to_main = F.transform(F.sequence(F.lit(0), main - 1), lambda x: F.struct((-1 - x).alias("x"), row(rest).alias("y"), F.lit(1).alias("side")))
     to_rest = F.transform(F.sequence(F.lit(0), rest - 1), lambda y: F.struct(F.least(row(rest), y).alias("x"), F.greatest(row(rest), y).alias("y"), (y < row(rest)).cast("int").alias("side")))
     tiles = rows.select("bucket", "node", "component", "n_shingles", "sig", F.explode(F.when(F.col("component") == F.col("main"), of_main).otherwise(F.concat(to_main, to_rest))).alias("t"))
+    tiles = tiles.select("bucket", "t.x", "t.y", "t.side", "node", "component", "n_shingles", "sig")
+
+    def test(key, t):
+        joined, out = Joined(), []
+        node, comp = t.column("node").to_pylist(), t.column("component").to_pylist()
+        left, right, within = _sides(key, t)
+        for i, j in _open_pairs(t, right, left, within, threshold, joined):
+            joined.join(comp[i], comp[j])
+            out.append((node[i], node[j]))
+        return _pairs(out)
+
+    return tiles.groupBy("bucket", "x", "y").applyInArrow(test, "a long, b long").distinct()
+
+
+def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links that join all components that are linked within a cluster. Clusters are what links and likely
+    links connect; each block of a cluster meets each other one with full sets."""
+    threshold = percent / 100
+    clusters = components(links.union(near)).select("node", F.col("component").alias("cluster"))
+    named = clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
+    every = written(named.join(nodes.select("node", "rep", "n_shingles", "sig"), "node"))
+    # blocks are bounded by nodes and by what their sets hold
+    blocks = F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int")
+    sizes = every.groupBy("cluster").agg(blocks.alias("blocks"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("cluster", "blocks")
+    rows = every.join(sizes, "cluster")
+    rows = rows.join(full_sets(rows.select("node", "rep"), docs, size, id_col, text_col), "node")
+    tiles = _tiles(rows, "cluster", F.col("blocks"), "node", "component", "n_shingles", "sig", "members")
 
     def test(key, t):
-        node, comp, n, side = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "side"))
-        sig = _sigs(t.column("sig").combine_chunks())
-        within = key[1].as_py() == key[2].as_py()  # a block with itself
-        left, right = (np.arange(len(node)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        out_a, out_b = [], []
-        for i in left:
-            to = right[(comp[right] != comp[i]) & ((node[right] < node[i]) if within else True)]
-            to = to[(np.minimum(n[to], n[i]) >= threshold * np.maximum(n[to], n[i]) - 1e-9)]
-            if len(to):
-                ok, _ = likely(np.broadcast_to(sig[i], (len(to), REGISTERS)), sig[to], np.full(len(to), n[i]), n[to], threshold)
-                out_a += [node[i]] * int(ok.sum())
-                out_b += node[to[ok]].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    tiles = tiles.select("bucket", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "node", "component", "n_shingles", "sig")
-    found = tiles.groupBy("bucket", "x", "y").applyInArrow(test, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        joined, out = Joined(), []
+        node, comp = t.column("node").to_pylist(), t.column("component").to_pylist()
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("members")]
+        left, right, within = _sides(key, t)
+        for i, j in _open_pairs(t, left, right, within, threshold, joined):
+            if alike(sets[i], sets[j], percent):
+                joined.join(comp[i], comp[j])
+                out.append((node[i], node[j]))
+        return _pairs(out)
+
+    return written(tiles.groupBy("cluster", "x", "y").applyInArrow(test, "a long, b long").distinct())
