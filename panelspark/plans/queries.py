@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,10 +120,17 @@ def ticker_mapping(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(canonical_ticker(F.col("p_brand")).alias("ticker")).distinct()
 
 
+#: The frozen universe (sp100_20140101), and its members that end early.
+UNIVERSE = """AAPL ABBV ABT ACN AEP AIG ALL AMGN AMZN APA APC AXP BA BAC BAX BK BMY BRK.B C CAT CL CMCSA COF COP COST CSCO CVS CVX DD DIS DOW DVN EBAY EMC
+EMR EXC F FB FCX FDX FOXA GD GE GILD GM GOOG GS HAL HD HON HPQ IBM INTC JNJ JPM KO LLY LMT LOW MA MCD MDLZ MDT MET MMM MO MON MRK MS MSFT NKE NOV NSC ORCL
+OXY PEP PFE PG PM QCOM RTN SBUX SLB SO SPG T TGT TWX TXN UNH UNP UPS USB UTX V VZ WAG WFC WMT XOM""".split()
+TERMINATIONS = {"EMC": date(2016, 9, 7), "MON": date(2018, 6, 7), "TWX": date(2018, 6, 14)}
+
+
 @query("synthetic_panel")
 def synthetic_panel(spark, sf):
-    days = [r["date"] for r in calendar.trading_sessions(spark, "2014-01-01", "2015-12-31").orderBy("date").collect()]
-    return synthetic_ohlcv(spark, [f"STK_{k}" for k in range(10)], days)
+    days = [r["date"] for r in calendar.trading_sessions(spark, "2014-01-01", "2024-12-31").orderBy("date").collect()]
+    return synthetic_ohlcv(spark, UNIVERSE, days, terminations=TERMINATIONS)
 
 
 # Quality
@@ -305,26 +313,36 @@ def benjamini_hochberg(spark, sf):
     return rounded(inference.benjamini_hochberg(_tests(spark, sf)))
 
 
-@query("horizon_profile", SIGNAL_SQL + ", z AS (" + " UNION ALL ".join(f"SELECT '{sig}' AS signal, {h} AS horizon, date, {sig} AS x0, {change(at('adj_close', h), 'adj_close')} AS y0 FROM s" for sig in ("mean_reversion_signal", "abnormal_volume_signal") for h in (1, 5, 20)) + f"), zp AS (SELECT * FROM z WHERE x0 IS NOT NULL AND y0 IS NOT NULL), zr AS (SELECT signal, horizon, date, {rank_of('x0', 'signal, horizon, date')} AS x, {rank_of('y0', 'signal, horizon, date')} AS y FROM zp), zi AS (SELECT signal, horizon, date, CASE WHEN count(*) >= 5 THEN CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END END AS ic FROM zr GROUP BY ALL) SELECT signal, horizon, count(ic) AS n, round(avg(ic), 6) + 0.0 AS mean_ic FROM zi GROUP BY ALL")
-def profile(spark, sf):
-    ics = horizon_profile(_signals(spark, sf), ["mean_reversion_signal", "abnormal_volume_signal"], horizons=(1, 5, 20))
+def profile_sql(names, horizons) -> str:
+    return SIGNAL_SQL + ", z AS (" + " UNION ALL ".join(f"SELECT '{sig}' AS signal, {h} AS horizon, date, {sig} AS x0, {change(at('adj_close', h), 'adj_close')} AS y0 FROM s" for sig in names for h in horizons) + f"), zp AS (SELECT * FROM z WHERE x0 IS NOT NULL AND y0 IS NOT NULL), zr AS (SELECT signal, horizon, date, {rank_of('x0', 'signal, horizon, date')} AS x, {rank_of('y0', 'signal, horizon, date')} AS y FROM zp), zi AS (SELECT signal, horizon, date, CASE WHEN count(*) >= 5 THEN CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END END AS ic FROM zr GROUP BY ALL) SELECT signal, horizon, count(ic) AS n, round(avg(ic), 6) + 0.0 AS mean_ic FROM zi GROUP BY ALL"
+
+
+@query("horizon_profile", profile_sql(("mean_reversion_signal", "abnormal_volume_signal"), (1, 5, 20)))
+def profile(spark, sf, names=("mean_reversion_signal", "abnormal_volume_signal"), horizons=(1, 5, 20)):
+    ics = horizon_profile(_signals(spark, sf), list(names), horizons=horizons)
     return rounded(ics.groupBy("signal", "horizon").agg(F.count("ic").alias("n"), F.avg("ic").alias("mean_ic")))
 
 
+@query("horizon_profile_all", profile_sql(SIGNALS[:4], (1, 5, 10, 20, 40, 60)))
+def profile_all(spark, sf):
+    """All four signals and six horizons; horizon_profile has those of its SQL."""
+    return profile(spark, sf, SIGNALS[:4], (1, 5, 10, 20, 40, 60))
+
+
 @query("permutation_test")
 def permutation(spark, sf):
-    return resampling.permutation_ics(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d", 200)
+    return resampling.permutation_ics(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d")
 
 
 @query("bootstrap_mean")
 def bootstrap(spark, sf):
     ic = [r["ic"] for r in _ic(spark, sf).where("ic is not null").orderBy("date").collect()]  # a row a session
-    return resampling.bootstrap_means(spark, ic, 2000, 5)
+    return resampling.bootstrap_means(spark, ic, block=5)
 
 
 @query("null_simulation")
 def null_simulation(spark, sf):
-    return resampling.null_simulation(spark, 200, 30, 50)
+    return resampling.null_simulation(spark)
 
 
 @query("stationarity_tests")
