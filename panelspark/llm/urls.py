@@ -4,11 +4,15 @@ Rules: a rule is a host and a path (`example.com/en/`). It fits urls of its host
 starts with its own; of several that fit, the longest decides.
 
 Model: urls that a rule allows are the accepted ones, those that a rule blocks the rejected ones. For each class a
-character Markov model of variable order (0 to 2) is estimated from counts over all such urls, with Witten-Bell
-smoothing: each order is mixed with the next lower one, by how many different symbols followed the context. Symbols
-are letters, one sign for digits, the usual marks, and one sign for the rest, so that a model is a table of
-39 ** 3 numbers, whatever the input. The table of log ratios goes into the plan as one constant array; a url's score is
-the mean of the entries of its trigrams, row by row, without a join or shuffle.
+character Markov model of variable order is estimated from counts over all such urls, with Witten-Bell smoothing: each
+order is mixed with the next lower one, by how many different symbols followed the context; a context that a class has
+not seen leaves it to the lower order. Symbols are the characters as they stand (A-Z of hosts lower-cased). The highest
+order grows with the logarithm of the characters counted, so that contexts of that length outnumber them. Counts and
+probabilities are tables of a row for each string seen, and grow with the corpus; only sizes come to the driver.
+
+Scores: a url's score is the mean log ratio of its symbols. It is joined by the longest context of each symbol; the
+contexts that are a thousandth of all or more (so 1000 at most) are broadcast, as one key would else fill a task.
+Ratios are whole millionths, so that sums do not depend on the order of rows.
 
 Calibration: a fifth of the ruled urls (by hash) is held back; the threshold is the one that tells the classes apart
 best there (true less false rejections). A url without a rule is blocked if its score lies above it.
@@ -23,18 +27,23 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, written
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 MARKS = "./-:?=&#%_"
 EDGE, DIGIT, OTHER = "$", "0", "~"
 SYMBOLS = EDGE + DIGIT + OTHER + LETTERS + MARKS
 A = len(SYMBOLS)
+START, END = "\x02", "\x03"
 BINS = 100
+FOLDS = 5
+MILLION = 1_000_000
+OFTEN = 1000
 
 
 @dataclass(frozen=True)
@@ -72,16 +81,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def trigrams(url: Column) -> Column:
-    """Codes of the trigrams of a url; two edges stand before it and one after."""
-    text = F.regexp_replace(F.translate(ascii_lower(F.substring_index(url, "://", -1)), "123456789", "0" * 9), f"[^{LETTERS}{DIGIT}{MARKS.replace('-', chr(92) + '-')}]", OTHER)
-    codes = lambda t: F.transform(F.split(F.concat(F.lit(EDGE * 2), t, F.lit(EDGE)), ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    grams = lambda c: F.transform(F.slice(c, F.lit(1), F.size(c) - 2), lambda x, i: (x * A + F.get(c, i + 1)) * A + F.get(c, i + 2))
-    return let(text, lambda t: let(codes(t), grams))
-
-
 def witten_bell(counts: dict[int, int]) -> list[float]:
-    """P(c | a b) of all trigrams, from their counts."""
+    """P(c | a b) of all trigrams over A symbols, from their counts: the dense form of the tables of log_ratios()."""
     of2: dict[int, int] = {}
     of1: dict[int, int] = {}
     for g, n in counts.items():
@@ -109,39 +110,83 @@ def witten_bell(counts: dict[int, int]) -> list[float]:
     return mixed(counts, p2, A * A * A)
 
 
-@dataclass(frozen=True)
-class UrlModel:
-    ratios: tuple[float, ...] | None  # log P(rejected) - log P(accepted)
-    threshold: float = math.inf
-
-    def score(self, url: Column) -> Column:
-        if self.ratios is None:
-            return F.lit(None).cast("double")
-        table = F.split(F.lit(",".join(f"{x:.4f}" for x in self.ratios)), ",").cast("array<double>")
-        of = lambda g: F.aggregate(g, F.lit(0.0), lambda a, x: a + F.get(table, x)) / F.size(g)
-        return F.when(F.coalesce(url, F.lit("")) != "", let(trigrams(url), of))
-
-
-def fit(urls: DataFrame, folds: int = 5) -> UrlModel:
-    """urls: (url, rejected). All rows count; what comes to the driver is at most 2 * 39 ** 3 counts."""
-    ruled = urls.where("rejected is not null and url is not null and url != ''").withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(folds)))
-    grams = ruled.where("fold != 0").select("rejected", F.explode(trigrams(F.col("url"))).alias("g"))
-    counts: dict[bool, dict[int, int]] = {False: {}, True: {}}
-    for r in grams.groupBy("rejected", "g").agg(F.count("*").alias("n")).collect():
-        counts[r["rejected"]][r["g"]] = r["n"]
-    if not counts[False] or not counts[True]:
-        return UrlModel(None)
-    good, bad = witten_bell(counts[False]), witten_bell(counts[True])
-    model = UrlModel(tuple(math.log(b) - math.log(g) for g, b in zip(good, bad)))
-    bins = F.greatest(F.lit(-10 * BINS), F.least(F.lit(10 * BINS), F.floor(model.score(F.col("url")) * BINS)))
-    held = ruled.where("fold = 0").groupBy("rejected", bins.alias("bin")).agg(F.count("*").alias("n")).collect()
+def symbols(url: Column) -> Column:
+    """The characters after the scheme, between edges."""
+    text = F.substring_index(url, "://", -1)
+    lowered = lambda t: let(F.regexp_extract(t, "^[^/?#]*", 0), lambda h: F.concat(ascii_lower(h), F.substr(t, F.char_length(h) + 1)))
+    return F.concat(F.array(F.lit(START)), F.regexp_extract_all(let(text, lowered), F.lit("(?s)."), 0), F.array(F.lit(END)))
+
+
+def windows(url: Column, order: int) -> Column:
+    """Each symbol but the first edge, after the order symbols before it, or all there are."""
+    one = lambda s, i: F.array_join(F.slice(s, F.greatest(F.lit(1), i - order), F.least(i, F.lit(order + 1))), "")
+    return let(symbols(url), lambda s: F.transform(F.sequence(F.lit(2), F.size(s)), lambda i: one(s, i)))
+
+
+def order_for(characters: int) -> int:
+    """The logarithm to base 8, rounded up."""
+    return max(2, -(-(characters - 1).bit_length() // 3))
+
+
+def log_ratios(seen: DataFrame, order: int) -> DataFrame:
+    """(w, ratio): log P(rejected) - log P(accepted), in millionths, of windows (w, good, bad) with their counts."""
+    spread = seen.select(F.explode(F.sequence(F.lit(1), F.char_length("w"))).alias("size"), "w", "good", "bad")
+    grams = spread.groupBy(F.expr("right(w, size)").alias("gram"), "size").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    grams = written(grams.withColumn("context", F.expr("left(gram, size - 1)")))
+    of = grams.groupBy("context").agg(
+        F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"), F.count_if(F.col("good") > 0).alias("kinds_good"), F.count_if(F.col("bad") > 0).alias("kinds_bad"),
+    )
+    grams = written(grams.join(of, "context"))
+    u = 1.0 / (grams.where("size = 1").count() + 1)
+
+    def mixed(k: str, below: Column) -> Column:
+        total, kinds = F.col(f"all_{k}"), F.col(f"kinds_{k}")
+        return F.when(total > 0, (F.col(k) + kinds * below) / (total + kinds)).otherwise(below).alias(f"p_{k}")
+
+    lower, out = None, []
+    for size in range(1, order + 2):
+        level = grams.where(F.col("size") == size)
+        if lower is None:
+            level = level.withColumns({"below_good": F.lit(u), "below_bad": F.lit(u)})
+        else:
+            below = lower.select(F.col("gram").alias("rest"), F.col("p_good").alias("below_good"), F.col("p_bad").alias("below_bad"))
+            level = level.withColumn("rest", F.expr("right(gram, size - 1)")).join(below, "rest")
+        lower = written(level.select("gram", mixed("good", F.col("below_good")), mixed("bad", F.col("below_bad"))))
+        whole = lower if size == order + 1 else lower.where(F.col("gram").startswith(START))
+        out.append(whole.select(F.col("gram").alias("w"), F.round((F.ln("p_bad") - F.ln("p_good")) * MILLION).cast("long").alias("ratio")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def scores(rows: DataFrame) -> DataFrame | None:
+    """(row, score) of the rows (row, url, counts, rejected) whose url is not empty; the model is that of those that
+    count. None if a class has none."""
+    rows = rows.where("url is not null and url != ''")
+    sizes = rows.where("counts").agg(F.count_if("rejected").alias("bad"), F.count_if(~F.col("rejected")).alias("good"), F.sum(F.char_length("url")).alias("characters")).first()
+    if not sizes["bad"] or not sizes["good"]:
+        return None
+    order = order_for(sizes["characters"])
+    each = rows.select("row", "counts", "rejected", F.explode(windows(F.col("url"), order)).alias("w"))
+    seen = written(each.groupBy("w").agg(F.count("*").alias("n"), F.count_if(F.col("counts") & ~F.col("rejected")).alias("good"), F.count_if(F.col("counts") & F.col("rejected")).alias("bad")))
+    ratios = log_ratios(seen, order)
+    total = seen.agg(F.sum("n")).first()[0]
+    often = F.broadcast(written(ratios.join(F.broadcast(seen.where(F.col("n") * OFTEN >= total).select("w")), "w")))
+    each = each.select("row", "w").join(often, "w", "left")
+    rest = each.where("ratio is null").select("row", "w").join(ratios, "w")
+    both = each.where("ratio is not null").select("row", "ratio").unionByName(rest.select("row", "ratio"))
+    return written(both.groupBy("row").agg((F.sum("ratio") / F.count("*") / MILLION).alias("score")))
+
+
+def threshold(held: DataFrame) -> float:
+    """The cut of (rejected, score) rows that tells the classes apart best."""
+    bins = F.greatest(F.lit(-10 * BINS), F.least(F.lit(10 * BINS), F.floor(F.col("score") * BINS)))
+    held = held.groupBy("rejected", bins.alias("bin")).agg(F.count("*").alias("n")).collect()
     total = {k: max(1, sum(r["n"] for r in held if r["rejected"] == k)) for k in (False, True)}
     best, at = -1.0, 0.0
     for cut in sorted({r["bin"] + 1 for r in held} | {0}, key=lambda c: (abs(c), c)):
         worth = sum((1 if r["rejected"] else -1) * r["n"] / total[r["rejected"]] for r in held if r["bin"] >= cut)
         if worth > best + 1e-12:
             best, at = worth, cut / BINS
-    return UrlModel(model.ratios, at)
+    return at
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -152,8 +197,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     said = F.lit(None).cast("string")
     for r in rules:
         said = F.when(F.col("rule") == r.text, r.verdict).otherwise(said)
-    rows = rows.withColumn("said", said)
-    model = fit(rows.select("url", (F.col("said") == "block").alias("rejected")))
-    rows = rows.withColumn("score", model.score(F.col("url")))
-    by_model = F.when(F.coalesce(F.col("score") > F.lit(model.threshold), F.lit(False)), "block").otherwise("allow")
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "*", said.alias("said"), (fold != 0).alias("learns")))
+    rejected = F.col("said") == "block"
+    found = scores(rows.select("row", "url", (F.col("said").isNotNull() & F.col("learns")).alias("counts"), rejected.alias("rejected")))
+    if found is None:
+        rows, most = rows.withColumn("score", F.lit(None).cast("double")), math.inf
+    else:
+        rows = rows.join(found, "row", "left")
+        most = threshold(rows.where("said is not null and score is not null and not learns").select(rejected.alias("rejected"), "score"))
+    by_model = F.when(F.coalesce(F.col("score") > F.lit(most), F.lit(False)), "block").otherwise("allow")
     return rows.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("said", by_model).alias("verdict"), "score")
