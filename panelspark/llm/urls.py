@@ -111,8 +111,9 @@ def witten_bell(counts: dict[int, int]) -> list[float]:
 
 
 def symbols(url: Column) -> Column:
-    """The characters after the scheme, between edges."""
-    text = F.substring_index(url, "://", -1)
+    """The characters after the first `://`, or all, between edges."""
+    at = F.instr(url, "://")
+    text = F.when(at == 0, url).otherwise(F.substr(url, at + 3))
     lowered = lambda t: let(F.regexp_extract(t, "^[^/?#]*", 0), lambda h: F.concat(ascii_lower(h), F.substr(t, F.char_length(h) + 1)))
     return F.concat(F.array(F.lit(START)), F.regexp_extract_all(let(text, lowered), F.lit("(?s)."), 0), F.array(F.lit(END)))
 

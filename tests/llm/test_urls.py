@@ -64,3 +64,10 @@ def test_digits_and_long_words_are_told_apart(spark):
 
 def test_order_grows():
     assert [urls.order_for(8**k) for k in (1, 5, 9)] == [2, 5, 9]
+
+
+def test_urls_within_urls(spark):
+    given = [f"http://bad.com/casino{k}" for k in range(200)] + [f"http://good.com/garden{k}" for k in range(200)]
+    given += ["http://casino.org/go?u=https://good.com/garden7", "http://garden.org/go?u=https://good.com/garden7"]
+    got = [x["score"] for x in urls.judge_urls(pages(spark, given), RULES).orderBy("page_id").collect()][-2:]
+    assert got[0] > got[1] + 1e-3
