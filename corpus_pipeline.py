@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and re
 Parquet and read again as the next one's docs. All but the last return the columns of documents.
 
     toxicity     drops the documents that the ordinal severity model rejects (labels: the table `labels`)
-    near_dedup   keeps one document of each group of near copies (5-word shingles, Jaccard index 0.8 or more)
+    near_dedup   keeps one row of each group of near copies (5-word shingles, Jaccard index 0.8 or more): that of
+                 the least doc_id, nulls last, then the first as read; rows may share an id or have none
     secrets      masks secrets in the texts: base kinds, and random-looking values that few owners hold
     mixing       repeats or leaves out documents so that sources get their target shares, and shuffles
     packing      packs all that is left into sequences of 1024 tokens
@@ -28,8 +29,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = setsketch.near_duplicates(docs, size=5, percent=80)
-    return docs.join(found.where("kept").select(F.col("doc_id")).distinct(), "doc_id", "left_semi").select(*docs.columns)
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = setsketch.near_duplicates(rows, size=5, percent=80, id_col="__row")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(first).alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,15 @@ def test_pipeline(spark, tmp_path):
     assert ids["mixing"] <= ids["secrets"] and ids["packing"] == ids["mixing"]
     assert out["packing"].where("piece = 0").count() == out["mixing"].count()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == out["packing"].count()
+
+
+def test_near_dedup_decides_by_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    a, b, c, d = (" ".join(f"word{r.randrange(300)}" for _ in range(50)) for _ in range(4))
+    rows = [(None, a), (None, a), (1, b), (1, b), (2, b + " tail"), (2, c), (None, c + " tail"), (3, ""), (3, None), (4, "alone"), (9, d), (8, d)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    firsts = [(x["doc_id"], x["text"]) for x in kept]
+    assert sorted(firsts, key=repr) == sorted([(None, a), (1, b), (2, c), (3, ""), (3, None), (4, "alone"), (8, d)], key=repr)
