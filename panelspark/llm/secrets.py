@@ -149,16 +149,16 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """docs with its secrets masked in the text, and n_chars, where there is one, set anew. Only texts that hold
-    candidates are joined with the counts; base spans are masked in place."""
+    """docs with its secrets masked in the text, and n_chars, where there is one, set anew. Values of all spans are
+    counted, as in scan(); only texts that hold candidates are joined with the counts; base spans are masked in place."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = let(base_spans(text), lambda b: F.struct(b.alias("base"), candidate_spans(text, b).alias("more")))
-    rows = docs.withColumn("__spans", spans)
+    rows = written(docs.withColumns({"__spans": spans, "__row": F.monotonically_increasing_id()}))
     plain = rows.where(F.size("__spans.more") == 0).withColumn("__all", F.col("__spans.base"))
-    hard = rows.where(F.size("__spans.more") > 0).withColumn("__row", F.monotonically_increasing_id())
-    hard = written(hard)
-    each = hard.select("__row", F.col(id_col).alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode("__spans.more").alias("s")).select("__row", "repo", "owner", "s", F.sha2("s.value", 256).alias("hash"))
-    counts = ownership(each.select("hash", "owner", "repo"))
+    hard = rows.where(F.size("__spans.more") > 0)
+    found = lambda s: rows.select("__row", F.col(id_col).alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode(s).alias("s")).withColumn("hash", F.sha2("s.value", 256))
+    counts = ownership(found(F.concat("__spans.base", "__spans.more")).select("hash", "owner", "repo"))
+    each = found(F.col("__spans.more")).select("__row", "s", "hash")
     owned = each.join(counts, "hash").where(F.col("n_owners") < example_owners).groupBy("__row").agg(F.collect_list("s").alias("__added"))
     hard = hard.join(owned, "__row", "left").withColumn("__all", F.concat("__spans.base", F.coalesce("__added", F.array().cast(hard.schema["__spans"].dataType["more"].dataType))))
     both = plain.unionByName(hard.select(*plain.columns))

@@ -302,3 +302,17 @@ def test_poisson_quantiles(spark):
     df = spark.createDataFrame([(x,) for x in u], "u double").select(mixing.poisson(F.lit(2.5), F.col("u")).alias("k"))
     k = np.array([r["k"] for r in df.collect()])
     assert k.mean() == pytest.approx(2.5, abs=0.01) and k.var() == pytest.approx(2.5, abs=0.02)
+
+
+def test_redact_counts_all_spans_as_scan(spark):
+    value, live = "Ab3dEf6hIj9kLmNoPq" + "Z7x", "Zk3pW" + "aB9xQ7" * 4
+    texts = [f"token={value}"] * 3 + [f"bare {value} here", f"bare {live} here", "none", None]
+    df = docs(spark, texts, ["s0", "s1", "s2", "s3"])
+    scanned = {x["doc_id"]: x["spans"] for x in secrets.scan(df).collect()}
+    assert scanned[3] == "" and scanned[4] == f"owned:5:{5 + len(live)}"
+    for x in secrets.redact(df).collect():
+        t = texts[x["doc_id"]]
+        for span in reversed([s for s in scanned[x["doc_id"]].split(",") if s]):
+            a, b = map(int, span.split(":")[1:])
+            t = t[:a] + secrets.MARK + t[b:]
+        assert x["text"] == t
