@@ -10,8 +10,8 @@ Parquet and read again as the next one's docs. All but the last return the colum
     mixing       repeats or leaves out documents so that sources get their target shares, and shuffles
     packing      packs all that is left into sequences of 1024 tokens
 
-ORACLE_SQL is None, as SQL can express neither the model, the sketches nor the tokenizer; tests/llm tests run() against
-a brute-force version.
+ORACLE_SQL is None, as SQL can express neither the model, the sketches nor the tokenizer; tests/llm tests which
+documents each stage keeps, and the number of rows of run(); there is no brute-force version yet.
 """
 
 from __future__ import annotations
