@@ -3,8 +3,8 @@
 Base kinds are found by fixed expressions. Besides, each text gives candidates: runs of CANDIDATE that look random. The
 hash of every value found is counted over the corpus by distinct repositories and owners (here: documents and their
 sources). A value that example_owners owners or more share is a copied example; any other belongs to few owners and
-looks live, in however many repositories it stands: their number is counted, but does not decide. Candidates that look live and lie outside the base spans are added as spans of kind "owned"; base spans
-stay whatever their counts.
+looks live, in however many repositories it stands: their number is counted, but does not decide. Candidates
+that look live and lie outside the base spans are added as spans of kind "owned"; base spans stay whatever their counts.
 
 Positions are code points, end exclusive. Spark has no function for the places of all matches: they follow from the
 lengths of the matches and of the pieces between them, summed in blocks, so that the work stays near linear.
