@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,25 +21,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+#: Bits of with_maybe()'s filter: 4 MB at most, whatever the input.
+FILTER_BITS = 1 << 25
+
+
+def application_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that driver and executors share (spark.checkpoint.dir)."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="panelspark-shared-")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="panelspark-shared-")  # one machine, as in tests
         sc.setCheckpointDir(root)
     root = re.sub("^(file:)?/+", "file:///", root.rstrip("/"))  # local paths as URIs that pyarrow reads, too
-    return f"{root}/panelspark-{uuid.uuid4().hex}"
+    return f"{root}/panelspark-{sc.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{application_folder(spark)}/{uuid.uuid4().hex}"
+
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-def written(df: DataFrame) -> DataFrame:
+
+def remove_tables(spark: SparkSession) -> None:
+    """Removes all tables that the operators have written for this application. Results that are not yet written out
+    are read from them: call it when the results of all queries are."""
+    remove_folder(spark, application_folder(spark))
+
+
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_folder(spark)
+    path = f"{folder}/{uuid.uuid4().hex}" if folder else shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only the steps up to a written result need; remove() removes them all."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_folder(spark)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        return written(df, self.folder)
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.folder)
+
+
+#: Spark's own bound on the bytes that a Python worker is sent at once, and ours.
+BATCH_DEFAULT, BATCH_BYTES = "67108864b", "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's bound on Arrow batches, unless it was set to another than Spark's: each task holds a batch
+    several times over, in the JVM and in Python, and 64 MB of texts each time are too much beside its other needs."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def with_maybe(rows: DataFrame, key: Column, wanted: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column name: false only where key is none of the values of wanted's only column. What is
+    broadcast is a bitmap of FILTER_BITS bits."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bitmap = wanted.select(bit(F.col(wanted.columns[0])).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("__f_bucket"))
+    bitmap = bitmap.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("__f_bits"))
+    out = rows.withColumn("__f_bit", bit(key)).withColumns({"__f_bucket": F.expr("bitmap_bucket_number(__f_bit)"), "__f_at": F.expr("bitmap_bit_position(__f_bit)")})
+    out = out.join(F.broadcast(bitmap), "__f_bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__f_bits, cast(__f_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.expr("shiftleft(1, cast(__f_at % 8 as int))")) != 0
+    return out.withColumn(name, F.coalesce(found, F.lit(False))).drop("__f_bit", "__f_bucket", "__f_at", "__f_bits")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -75,11 +139,12 @@ def byte_batches(items: Iterable[str], most: int) -> Iterator[list[str]]:
 
 
 class SegmentCache(dict):
-    """Values of text segments: two generations of at most limit entries each; long segments are not kept."""
+    """Values of text segments: two generations of at most limit bytes each, as keys and values take them (values:
+    bytes, or tuples of whole numbers); long segments are not kept."""
 
-    def __init__(self, make: Callable, limit: int = 400_000, longest: int = 64):
+    def __init__(self, make: Callable, limit: int = 32 << 20, longest: int = 64):
         super().__init__()
-        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
+        self.make, self.limit, self.longest, self.old, self.held = make, limit, longest, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key, self)
@@ -91,7 +156,25 @@ class SegmentCache(dict):
         return value
 
     def keep(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        size = 100 + getsizeof(key) + getsizeof(value)  # with the place in the table
+        if type(value) is tuple:
+            size += 36 * len(value)
+        if self.held + size > self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += size
         self[key] = value
+
+
+_worker: dict = {}
+
+
+def only_in_worker(key, make: Callable):
+    """make(), kept by this Python process until it is asked for another key: processes outlive tasks and stages, and
+    what an earlier stage has kept must not stay beside what a later one keeps."""
+    if key not in _worker:
+        _worker.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _worker[key] = make()
+    return _worker[key]

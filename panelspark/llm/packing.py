@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import type_of
+from .common import bound_batches, type_of
 from .token_ids import token_ids
 
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long, salt long"
@@ -35,6 +35,7 @@ OUT_ROWS = 20_000
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece. A longer document is cut so that all pieces but the first are full."""
+    bound_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = token_ids(tokenizer_path).encode

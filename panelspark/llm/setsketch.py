@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentCache, type_of, written
+from .common import Scratch, SegmentCache, bound_batches, only_in_worker, type_of, with_maybe, written
 
 REGISTERS = 128
 BAND = 4
@@ -47,14 +47,11 @@ LIKELIHOOD_RATIO = 30.0
 BLOCK = 1024
 CLUSTER_BLOCK = 512
 CLUSTER_SHINGLES = 2 << 20
-#: Bits of the filter that says which documents may be candidates: 4 MB at most, whatever the input.
-FILTER_BITS = 1 << 25
 GRID = 24
 CHUNK = 2048
 OUT_ROWS = 2000
 
 _U = np.uint64
-_words: SegmentCache | None = None
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -72,14 +69,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct shingles of size words."""
-    global _words
-    if _words is None:
-        _words = SegmentCache(xxhash.xxh3_64_intdigest, limit=60_000)
+    known = only_in_worker("words", lambda: SegmentCache(xxhash.xxh3_64_intdigest, limit=16 << 20))
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, n)
     size = min(size, n)
     out = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
@@ -168,15 +163,11 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(test, "a long, b long, jaccard double")
 
 
-def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(node, members) of the nodes of wanted (node, rep), as a table in the shared folder."""
     # a filter of fixed size finds their texts without moving the others; the join below is exact
-    bit = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-    bitmap = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), bit.alias("bit")).where(F.col("rep").isNotNull())
-    texts = texts.withColumns({"bucket": F.expr("bitmap_bucket_number(bit)"), "at": F.expr("bitmap_bit_position(bit)")}).join(F.broadcast(bitmap), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    texts = texts.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")) != 0).select("rep", "text")
+    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where(F.col("rep").isNotNull())
+    texts = with_maybe(texts, F.col("rep"), wanted.select("rep"), "wanted").where("wanted").select("rep", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +178,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_c
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(node, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "node", "members"])
 
     full = texts.mapInArrow(sets, f"rep {type_of(docs, id_col)}, node long, members binary").join(wanted, ["rep", "node"], "left_semi").select("node", "members")
-    return written(full.groupBy("node").agg(F.first("members").alias("members")))
+    return scratch.written(full.groupBy("node").agg(F.first("members").alias("members")))
 
 
 def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
@@ -195,12 +186,12 @@ def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-    full = full_sets(wanted, docs, size, id_col, text_col)
+    full = full_sets(wanted, docs, size, id_col, text_col, scratch)
     # b's set is sent ahead of the sets to hold against it; one with many partners is sent to several places
-    many = pairs.groupBy("b").agg(F.ceil(F.count("*") / 4096).cast("int").alias("places"))
+    many = scratch.written(pairs.groupBy("b").agg(F.ceil(F.count("*") / 4096).cast("int").alias("places")))
     first = many.join(full, many.b == full.node).select("b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("a"), "members")
     rest = pairs.select("a", "b").join(many, "b").join(full, F.col("a") == full.node).select("b", F.pmod(F.xxhash64("a"), F.col("places")).cast("int").alias("place"), "a", "members")
 
@@ -224,21 +215,22 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge (a, b): the least node reachable. Large-star and small-star steps."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of every node with an edge (a, b): the least node reachable. Large-star and small-star steps
+    over edges a > b; what is joined with them by a node that may have many is a table."""
 
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = scratch.written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(now)
     while True:
-        both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # the larger neighbours of b go to b's least neighbour, or stay with b if it has none that is less
+        least = scratch.written(now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")))
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        now = written(small)
+        now = scratch.written(small)
         was, seen = seen, state(now)
         if was == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
@@ -247,28 +239,33 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs; documents whose shingle sets (size words) have a
     Jaccard index of at least percent / 100 are linked; component_id is the least id reachable, which is kept."""
+    bound_batches(docs.sparkSession)
     threshold = percent / 100
+    scratch = Scratch(docs.sparkSession)
     rows = written(sketches(docs, size, id_col, text_col))
     known = rows.where("node is not null and doc_id is not null")
-    nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    nodes = scratch.written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     bands = [F.xxhash64(F.expr(f"substring(sig, {1 + 2 * BAND * k}, {2 * BAND})"), F.lit(k)) for k in range(BANDS)]
     dealt = nodes.select("node", F.explode(F.array(*bands)).alias("bucket"))
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
+    shared = scratch.written(dealt.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b"))
     # all that may be linked at all; every later step reads only these
-    dealt = written(dealt.join(shared, "bucket"))
+    dealt = scratch.written(dealt.join(shared, "bucket"))
 
     pairs = dealt.where("node != b").select(F.col("node").alias("a"), "b").distinct()
     pairs = likely_pairs(pairs, nodes, threshold)
-    pairs = written(pairs.groupBy("a").agg(F.min_by("b", F.struct(F.col("jaccard") < threshold + 0.03, "b")).alias("b")))
-    links = written(verified(pairs, nodes, docs, size, percent, id_col, text_col))
-    found = components(links)
-
-    near = written(_likely_links(dealt, found, nodes, threshold))
-    links = links.union(_cluster_links(links, near, found, nodes, docs, size, percent, id_col, text_col))
-    found = components(links)
-
-    ids = nodes.select("node", "rep").join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    ids = ids.join(ids.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("node", "component_id")
+    pairs = scratch.written(pairs.groupBy("a").agg(F.min_by("b", F.struct(F.col("jaccard") < threshold + 0.03, "b")).alias("b")))
+    links = scratch.written(verified(pairs, nodes, docs, size, percent, id_col, text_col, scratch))
+    found = components(links, scratch)
+
+    near = scratch.written(_likely_links(dealt, found, nodes, threshold, scratch))
+    links = links.union(_cluster_links(links, near, found, nodes, docs, size, percent, id_col, text_col, scratch))
+    found = components(links, scratch)
+
+    # what a component, or a text, with many rows is joined with is a table each time
+    firsts = scratch.written(found.join(nodes, "node").groupBy("component").agg(F.min("rep").alias("component_id")))
+    found = found.join(firsts, "component").select("node", "component_id")
+    ids = written(nodes.select("node", "rep").join(found, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id")))
+    scratch.remove()
     linked = known.select("doc_id", "n_shingles", "node").join(ids, "node").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -337,11 +334,12 @@ def _pairs(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def _likely_links(dealt: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _likely_links(dealt: DataFrame, found: DataFrame, nodes: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(a, b): of each bucket as many likely pairs of nodes of different components as join all that are likely."""
     named = dealt.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
     sizes = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     sizes = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"), F.count("*").alias("kinds")).where("kinds > 1")
+    sizes = scratch.written(sizes)
     rows = named.join(sizes, "bucket").join(nodes.select("node", "n_shingles", "sig"), "node")
     main, rest = (F.ceil(n / BLOCK).cast("int") for n in (F.col("n_main"), F.col("n_all") - F.col("n_main")))
     row = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
@@ -364,18 +362,19 @@ def _likely_links(dealt: DataFrame, found: DataFrame, nodes: DataFrame, threshol
     return tiles.groupBy("bucket", "x", "y").applyInArrow(test, "a long, b long").distinct()
 
 
-def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(a, b): links that join all components that are linked within a cluster. Clusters are what links and likely
     links connect; each block of a cluster meets each other one with full sets."""
     threshold = percent / 100
-    clusters = components(links.union(near)).select("node", F.col("component").alias("cluster"))
+    clusters = components(links.union(near), scratch).select("node", F.col("component").alias("cluster"))
     named = clusters.join(found, "node", "left").select("node", "cluster", F.coalesce("component", "node").alias("component"))
-    every = written(named.join(nodes.select("node", "rep", "n_shingles", "sig"), "node"))
+    every = scratch.written(named.join(nodes.select("node", "rep", "n_shingles", "sig"), "node"))
     # blocks are bounded by nodes and by what their sets hold
     blocks = F.ceil(F.greatest(F.count("*") / CLUSTER_BLOCK, F.sum("n_shingles") / CLUSTER_SHINGLES)).cast("int")
     sizes = every.groupBy("cluster").agg(blocks.alias("blocks"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("cluster", "blocks")
+    sizes = scratch.written(sizes)
     rows = every.join(sizes, "cluster")
-    rows = rows.join(full_sets(rows.select("node", "rep"), docs, size, id_col, text_col), "node")
+    rows = rows.join(full_sets(rows.select("node", "rep"), docs, size, id_col, text_col, scratch), "node")
     tiles = _tiles(rows, "cluster", F.col("blocks"), "node", "component", "n_shingles", "sig", "members")
 
     def test(key, t):
@@ -389,4 +388,4 @@ def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: D
                 out.append((node[i], node[j]))
         return _pairs(out)
 
-    return written(tiles.groupBy("cluster", "x", "y").applyInArrow(test, "a long, b long").distinct())
+    return scratch.written(tiles.groupBy("cluster", "x", "y").applyInArrow(test, "a long, b long").distinct())

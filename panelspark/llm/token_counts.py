@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentCache, byte_batches, safe_chunks, type_of
+from .common import SegmentCache, bound_batches, byte_batches, only_in_worker, safe_chunks, type_of
 
 GROUP_BYTES = 2 << 20
 BATCH_BYTES = 256 << 10
@@ -28,8 +28,6 @@ CHUNK_CHARS = 1 << 20
 META = "▁"
 BOUNDARY = re.compile("(?<=[^ ]) ")
 
-_loaded: dict[str, PieceCounter] = {}
-
 
 class PieceCounter:
     def __init__(self, path: str):
@@ -80,13 +78,12 @@ class PieceCounter:
 
 
 def counter(path: str) -> PieceCounter:
-    if path not in _loaded:
-        _loaded[path] = PieceCounter(path)
-    return _loaded[path]
+    return only_in_worker(("counts", path), lambda: PieceCounter(path))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every row of docs, by the sentencepiece model at model_path."""
+    bound_batches(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(model_path).counts

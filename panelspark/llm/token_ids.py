@@ -15,7 +15,7 @@ import os
 import re
 from array import array
 
-from .common import SegmentCache, safe_chunks
+from .common import SegmentCache, only_in_worker, safe_chunks
 
 #: Unicode's White_Space, which \s means in the library.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -30,14 +30,12 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTABLE}))}
 SPACE = SIGNS[32]
 
-_loaded: dict[str, TokenIds] = {}
-
 
 class Pieces(SegmentCache):
     """parts(key): the value put together from parts' values, or None where a key is one piece."""
 
     def __init__(self, parts, make):
-        super().__init__(make, limit=350_000)
+        super().__init__(make, limit=48 << 20)
         self.parts = parts
 
     def __missing__(self, key):
@@ -139,6 +137,4 @@ class TokenIds:
 
 
 def token_ids(path: str) -> TokenIds:
-    if path not in _loaded:
-        _loaded[path] = TokenIds(path)
-    return _loaded[path]
+    return only_in_worker(("ids", path), lambda: TokenIds(path))
