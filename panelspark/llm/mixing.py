@@ -1,16 +1,20 @@
 """Mixing sources to target weights by Poisson replication. DataFrame functions only.
 
 A source of n rows and weight w gets the mean repetition rate budget * w / n (weights sum to 1). Each row's count is
-the Poisson quantile of a uniform number made from an md5 of seed and id: the same for the same row wherever and
-however often it is computed. Rows are exploded by their counts and dealt to partitions, and sorted in them, by an md5
-of seed, id and replica: a shuffle over all sources without a driver's or a task's view of the whole.
+the Poisson quantile of a uniform number made from an md5 of seed and name: the same for the same row wherever and
+however often it is computed. A row's name is its id; rows without an id, or that share one, are named by an md5 of all
+their columns and a number among equal rows, too, so that each draws by itself. Rows are exploded by their counts and
+dealt to partitions, and sorted in them, by an md5 of seed, name and replica: a shuffle over all sources without a
+driver's or a task's view of the whole.
 
 The rates' table has a row a source. Its rows are counted first: up to MOST_BROADCAST they are broadcast, so that texts
-move once, in the shuffle, and a source that holds a third of all rows is nowhere together.
+move once, in the shuffle, and a source that holds a third of all rows is nowhere together. Ids that are shared are
+found by counting ids alone; only rows with such an id (by a filter of fixed size) move once more: equal rows become a
+row and a count where they stand, and are numbered by exploding it, so that no group of them meets in a task.
 
-Defined results: a null source is a source; a null id has the uniform number of its own; rows that share an id get the
-same count; a source without a weight, or of weight 0, is left out; null and empty texts count as rows; other columns
-are kept, so names of the form __mix_* are not allowed; an empty table gives no rows.
+Defined results: a null source is a source; null and repeated ids draw as said above, equal rows each; a source without
+a weight, or of weight 0, is left out; null and empty texts count as rows; other columns are kept, so names of the form
+__mix_* and __f_* are not allowed; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, with_maybe, written
 
 SEED = 20_240
 #: Quantiles are found by adding up probabilities; rates above this are split over so many draws.
@@ -60,12 +64,29 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, po
     return F.broadcast(rates) if total["sources"] <= MOST_BROADCAST else rates
 
 
+def named(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with __mix_name, by which a row draws."""
+    ident = F.col(id_col).cast("string")
+    shared = docs.groupBy(ident.alias("__mix_id")).agg(F.count("*").alias("n"))
+    shared = written(shared.where("n > 1 or __mix_id is null").select(F.coalesce("__mix_id", F.lit("\0")).alias("__mix_id")))
+    if shared.isEmpty():
+        return docs.withColumn("__mix_name", ident)
+    key = F.coalesce(ident, F.lit("\0"))
+    rows = with_maybe(docs, key, shared, "__mix_maybe")
+    plain = rows.where(~F.col("__mix_maybe")).select(*docs.columns, ident.alias("__mix_name"))
+    hard = rows.where("__mix_maybe").select(key.alias("__mix_id"), F.md5(F.to_json(F.struct(*docs.columns))).alias("__mix_hash"), F.struct(*docs.columns).alias("__mix_row"))
+    hard = hard.groupBy("__mix_id", "__mix_hash").agg(F.first("__mix_row").alias("__mix_row"), F.count("*").alias("__mix_n"))
+    hard = hard.join(shared.withColumn("__mix_shared", F.lit(True)), "__mix_id", "left").withColumn("__mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n"))))
+    name = F.when(F.col("__mix_shared"), F.concat_ws(":", "__mix_id", "__mix_hash", "__mix_k")).otherwise(F.col("__mix_id"))
+    return plain.unionByName(hard.select("__mix_row.*", name.alias("__mix_name")))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, budget: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", replica_col: str | None = "replica", key_col: str | None = "shuffle_key") -> DataFrame:
     """docs' rows, each as often as drawn, globally shuffled; with the replica's number and the shuffle's key."""
     rates = source_rates(docs, weights, power, budget, source_col)
-    rows = docs.withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))
+    rows = named(docs, id_col).withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))
     rows = rows.join(rates, "__mix_source").where("__mix_rate > 0")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    name = F.col("__mix_name")
     parts = F.greatest(F.ceil(F.col("__mix_rate") / MOST_RATE), F.lit(1))
     draw = lambda k: poisson(F.col("__mix_rate") / parts, uniform(F.lit(str(seed)), k.cast("string"), name))
     count = F.aggregate(F.transform(F.sequence(F.lit(1).cast("long"), parts), draw), F.lit(0), lambda a, x: a + x)
