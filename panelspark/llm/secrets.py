@@ -1,16 +1,18 @@
 """Secret scans with corpus-wide ownership frequency. DataFrame functions only.
 
 Base kinds are found by fixed expressions. Besides, each text gives candidates: runs of CANDIDATE that look random. The
-hash of every value found is counted over the corpus by distinct repositories and owners (here: documents and their
-sources). A value that example_owners owners or more share is a copied example; any other belongs to few owners and
-looks live, in however many repositories it stands: their number is counted, but does not decide. Candidates
-that look live and lie outside the base spans are added as spans of kind "owned"; base spans stay whatever their counts.
+hash of every value found, base or candidate, is counted over the corpus by distinct repositories and owners (here:
+documents and their sources). A value that example_owners owners or more share, or that stands in example_repos
+repositories or more, is a copied example; any other is specific to its few owners and looks live. Candidates that look
+live and lie outside the base spans are added as spans of kind "owned"; base spans stay whatever their counts, and are
+told apart in a column of their own.
 
 Positions are code points, end exclusive. Spark has no function for the places of all matches: they follow from the
 lengths of the matches and of the pieces between them, summed in blocks, so that the work stays near linear.
 
 The counts are pre-aggregated, by value, owner and repository first, so that a value that a third of all rows hold is
-a few rows. What is joined is a row for each span, never a text.
+a few rows. They are written before they are joined: both sides of the join are then plain tables, and Spark splits
+the partition of a value with many spans. What is joined is a row for each span, never a text.
 
 Defined results: a null or empty text has no spans; a null owner counts as one owner, null ids as one repository;
 repeated rows are scanned each and are one repository; other columns are not read; an empty table gives no rows.
@@ -18,6 +20,8 @@ repeated rows are scanned each and are one repository; other columns are not rea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +34,24 @@ CANDIDATE = r"[A-Za-z0-9_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 LEAST_ASSIGNED = 12
 BLOCK = 256
+LARGER = lambda a, x: F.greatest(a, x)
 MARK = "<SECRET>"
+MOST = (1 << 31) - 1
+CUT = 1024
+SPANS = "array<struct<start:int,end:int,kind:int>>"
 
 
-def _before(lengths: Column) -> Column:
-    """For each element the sum of those before it."""
-    add = lambda a, x: a + x
-    total = lambda a: F.aggregate(a, F.lit(0), add)
+def _before(numbers: Column, put: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For each element the sum of those before it, or what put makes of two of them; 0 before the first."""
+    total = lambda a: F.aggregate(a, F.lit(0), put)
 
     def of(n: Column) -> Column:
         last = F.floor((F.size(n) - 1) / BLOCK).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice(n, b * BLOCK + 1, F.lit(BLOCK))))
         starts = let(blocks, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
-        return let(starts, lambda s: F.transform(n, lambda _, i: F.get(s, F.floor(i / BLOCK).cast("int")) + total(F.slice(n, i - i % BLOCK + 1, i % BLOCK))))
+        return let(starts, lambda s: F.transform(n, lambda _, i: put(F.get(s, F.floor(i / BLOCK).cast("int")), total(F.slice(n, i - i % BLOCK + 1, i % BLOCK)))))
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(lengths, of))
+    return F.when(F.size(numbers) == 0, F.array().cast("array<int>")).otherwise(let(numbers, of))
 
 
 def matches(text: Column, pattern: str, kind: str, value_group: int = 0) -> Column:
@@ -79,8 +86,19 @@ def base_spans(text: Column) -> Column:
     return F.concat(assigned, matches(text, ACCESS, "access"), matches(text, HEX, "hex"))
 
 
-def _overlaps(base: Column, s: Column) -> Column:
-    return F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+def _outside(base: Column, more: Column) -> Column:
+    """Those of more that overlap none of base: by the ends of base spans that begin before, and the starts of those
+    that begin after, in order of all starts."""
+    owned = KINDS.index("owned")
+
+    def of(s: Column) -> Column:
+        ends = _before(F.transform(s, lambda x: F.when(x["kind"] < owned, x["end"]).otherwise(0)), LARGER)
+        # distances from the largest number, so that the least start is a maximum
+        starts = F.reverse(_before(F.reverse(F.transform(s, lambda x: F.when(x["kind"] < owned, MOST - x["start"]).otherwise(0))), LARGER))
+        free = lambda e, a: F.filter(s, lambda x, i: (x["kind"] == owned) & (F.get(e, i) <= x["start"]) & (MOST - F.get(a, i) >= x["end"]))
+        return let(ends, lambda e: let(starts, lambda a: free(e, a)))
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(let(F.sort_array(F.concat(base, more)), of))
 
 
 def looks_random(value: Column) -> Column:
@@ -88,7 +106,7 @@ def looks_random(value: Column) -> Column:
 
 
 def candidate_spans(text: Column, base: Column) -> Column:
-    return F.filter(matches(text, CANDIDATE, "owned"), lambda s: looks_random(s["value"]) & ~_overlaps(base, s))
+    return let(F.filter(matches(text, CANDIDATE, "owned"), lambda s: looks_random(s["value"])), lambda more: _outside(base, more))
 
 
 def ordered(spans: Column) -> Column:
@@ -115,51 +133,66 @@ def ownership(found: DataFrame) -> DataFrame:
     return a.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_copied) of every row of docs."""
+def copied_values(found: DataFrame, example_owners: int, example_repos: int) -> DataFrame:
+    """(hash, copied, n_repos, n_owners) of all values of (hash, owner, repo) rows, as a table in the shared folder."""
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    return written(ownership(found).select("hash", copied.alias("copied"), "n_repos", "n_owners"))
+
+
+def scan(docs: DataFrame, example_owners: int = 3, example_repos: int = 20, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, live, n_owned, n_copied, n_repos, n_owners) of every row of
+    docs. live: the spans whose values look live, written as spans; n_copied: the other spans and candidates; n_repos
+    and n_owners: of the row's value that is copied most."""
     rows = written(_scanned(docs, id_col, text_col, owner_col))
     each = rows.select("row", "repo", "owner", F.explode(F.concat("base", "more")).alias("s")).select("row", "repo", "owner", "s.*")
-    counts = ownership(each.select("hash", "owner", "repo"))
-    copied = F.col("n_owners") >= example_owners
-    known = each.join(counts, "hash").groupBy("row").agg(
-        F.collect_list(F.when((F.col("kind") == KINDS.index("owned")) & ~copied, F.struct("start", "end", "kind"))).alias("added"),
-        F.count(F.when(copied, 1)).alias("n_copied"),
-    )
-    out = rows.join(known, "row", "left")
+    counts = copied_values(each.select("hash", "owner", "repo"), example_owners, example_repos)
+    known = each.select("row", "start", "end", "kind", "hash").join(counts, "hash").groupBy("row").agg(
+        F.collect_list(F.when(~F.col("copied"), F.struct("start", "end", "kind"))).alias("live"),
+        F.count_if("copied").alias("n_copied"), F.max("n_repos").alias("n_repos"), F.max("n_owners").alias("n_owners"),
+    )
+    out = rows.join(known, "row", "left").withColumn("live", F.coalesce("live", F.array().cast(SPANS)))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    added = F.filter("live", lambda s: s["kind"] == KINDS.index("owned"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(
         F.col("repo").alias(id_col), count("assign"), count("access"), count("hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
-        joined(F.concat(plain, F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:int>>")))).alias("spans"),
-        F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_owned"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        joined(F.concat(plain, added)).alias("spans"), joined(F.col("live")).alias("live"), F.size(added).cast("long").alias("n_owned"), number("n_copied"), number("n_repos"), number("n_owners"),
     )
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """text with each stretch of overlapping spans replaced by MARK."""
+    """text with each stretch of overlapping spans replaced by MARK. The text is taken as pieces of CUT code points, so
+    that a cut reads a piece, not all that stands before it."""
 
-    def of(s: Column) -> Column:
-        n = F.size(s)
-        ends = F.aggregate(s, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.greatest(F.element_at(a, -1), x["end"]))))
-        fresh = lambda e, i: F.get(s, i)["start"] >= F.get(e, i)
-        parts = lambda e: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(fresh(e, i), F.concat(F.substr(text, F.get(e, i) + 1, F.get(s, i)["start"] - F.get(e, i)), F.lit(MARK))).otherwise(""))
-        return let(ends, lambda e: F.concat(F.array_join(parts(e), ""), F.substr(text, F.get(e, n) + 1)))
+    def of(s: Column, pieces: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CUT).cast("int"), F.floor(b / CUT).cast("int")
+            piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+            many = F.concat(F.substr(piece(first), a % CUT + 1), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substr(piece(last), F.lit(1), b % CUT))
+            return F.when(first == last, F.substr(piece(first), a % CUT + 1, b - a)).otherwise(many)
+
+        ends = _before(F.transform(s, lambda x: x["end"]), LARGER)
+        part = lambda e: F.transform(s, lambda x, i: F.when(x["start"] >= F.get(e, i), F.concat(cut(F.get(e, i), x["start"]), F.lit(MARK))).otherwise(""))
+        last = F.array_max(F.transform(s, lambda x: x["end"]))
+        return F.concat(let(ends, lambda e: F.array_join(part(e), "")), cut(last, F.char_length(text)))
 
-    return F.when(F.size(spans) > 0, let(ordered(spans), of)).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), 0)
+    return F.when(F.size(spans) > 0, let(ordered(spans), lambda s: let(pieces, lambda p: of(s, p)))).otherwise(text)
 
 
-def redact(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """docs with its secrets masked in the text, and n_chars, where there is one, set anew. Values of all spans are
-    counted, as in scan(); only texts that hold candidates are joined with the counts; base spans are masked in place."""
+def redact(docs: DataFrame, example_owners: int = 3, example_repos: int = 20, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+    """docs with the spans that scan() gives masked in the text, and n_chars, where there is one, set anew. Only texts
+    that hold candidates are joined with the counts; base spans are masked in place."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = let(base_spans(text), lambda b: F.struct(b.alias("base"), candidate_spans(text, b).alias("more")))
     rows = written(docs.withColumns({"__spans": spans, "__row": F.monotonically_increasing_id()}))
     plain = rows.where(F.size("__spans.more") == 0).withColumn("__all", F.col("__spans.base"))
     hard = rows.where(F.size("__spans.more") > 0)
     found = lambda s: rows.select("__row", F.col(id_col).alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode(s).alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    counts = ownership(found(F.concat("__spans.base", "__spans.more")).select("hash", "owner", "repo"))
+    counts = copied_values(found(F.concat("__spans.base", "__spans.more")).select("hash", "owner", "repo"), example_owners, example_repos)
     each = found(F.col("__spans.more")).select("__row", "s", "hash")
-    owned = each.join(counts, "hash").where(F.col("n_owners") < example_owners).groupBy("__row").agg(F.collect_list("s").alias("__added"))
+    owned = each.join(counts.where("not copied"), "hash").groupBy("__row").agg(F.collect_list("s").alias("__added"))
     hard = hard.join(owned, "__row", "left").withColumn("__all", F.concat("__spans.base", F.coalesce("__added", F.array().cast(hard.schema["__spans"].dataType["more"].dataType))))
     both = plain.unionByName(hard.select(*plain.columns))
     masks = {text_col: F.when(F.size("__all") > 0, masked(F.col(text_col), F.col("__all"))).otherwise(F.col(text_col))}
