@@ -4,16 +4,20 @@ P(severity >= k) = sigmoid(w.x - t_k) for k = 1..GRADES: one weight vector, orde
 expected severity is the sum of these. x holds log(1 + count) of sparse text features: words, and their first four and
 five letters, which inflected forms share.
 
-Training takes at most max_train labelled rows of each class (those with the least hashes of their ids). Features are
-kept whose document frequency differs between the classes far beyond chance, at most max_features; only their counts
-come to the driver. Labels say toxic or not; the severity of a toxic row in training is 1, 2 or 3 by the
-terciles of how many kept features it holds. Weights are fitted by accelerated gradient steps with an L2 penalty, and
-the cut on P(severity >= 1) is where a held-back fifth loses least, clean documents counting CLEAN_LOST times.
+Training takes at most max_train labelled rows of each class (those with the least hashes of id and text; equal rows
+once). A feature is kept if its document frequency differs between the classes far beyond chance; only the counts of
+such features in these rows come to the driver. Rows fall in FOLDS parts by their hash. For each part, features are
+chosen and a model of one threshold is fitted on the others, and the part is scored by it. Labels say toxic or not: the
+severity of a toxic row in training is 1, 2 or 3 by the terciles of that score for each unit of log(1 + words), which a
+model that has not seen the row gives, so that it is not what the row's own weights repeat, nor the text's length. The
+cut on P(severity >= 1) is where ordinal models, fitted likewise, lose least on the parts they have not seen, clean
+documents counting CLEAN_LOST times. The model that is used is then fitted on all rows, with features chosen on all.
+Fits take accelerated gradient steps with an L2 penalty; all features of all rows are held as triples.
 
 Defined results: a null or empty text has no features, and so the severity of the thresholds alone; a null id is
 scored and returned; repeated rows are scored each; labels that are null take no part, and of several for one id the
-largest counts; with fewer than two rows of either class nothing is toxic; a tie at the cut is toxic; other columns
-are not read (drop_toxic keeps them as they are); an empty table gives no rows.
+largest counts; with fewer than two rows of either class in and out of each part nothing is toxic; a tie at the cut is
+toxic; other columns are not read (drop_toxic keeps them as they are); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentCache, type_of, written
+from .common import SegmentCache, bound_batches, type_of, written
 
 GRADES = 3
 WORD = re.compile(r"\w+")
-OUT_ROWS = 2000
+TEXTS = 500
+FOLDS = 5
+LEAST_GAP = 1e-3
 #: How much worse it is to reject a share of the clean documents than to miss that share of the toxic ones.
 CLEAN_LOST = 5.0
 
@@ -82,7 +88,7 @@ class OrdinalModel:
     def margin(self, text: str | None) -> float:
         if self._cache is None:
             known = self.features
-            self._cache = SegmentCache(lambda part: tuple(known[h] for h in features_of(part) if h in known), limit=60_000)
+            self._cache = SegmentCache(lambda part: tuple(known[h] for h in features_of(part) if h in known))
         found = counted(text, self._cache)
         return float(sum(self.weights[k] * np.log1p(n) for k, n in sorted(found.items())))
 
@@ -93,112 +99,164 @@ class OrdinalModel:
         return p.sum(axis=1), p[:, 0], each.argmax(axis=1)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
+class Sparse:
+    """A matrix of (row, column, value) triples."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.value, self.shape = row, column, value, shape
+
+    @classmethod
+    def of(cls, rows: list[dict[int, int]], columns: dict[int, int]) -> Sparse:
+        """log(1 + count) of the features that have a column."""
+        found = [(i, columns[h], n) for i, r in enumerate(rows) for h, n in r.items() if h in columns]
+        row, column, n = (np.array(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+        return cls(row, column, np.log1p(n), (len(rows), len(columns)))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def transposed_times(self, e: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.value * e[self.row], self.shape[1])
+
+
+def fit_ordinal(x: Sparse, grade: np.ndarray, grades: int = GRADES, penalty: float = 1e-4, steps: int = 800) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds; rows of each class count alike in sum."""
-    n, d = x.shape
+    d = x.shape[1]
     positive = grade > 0
     row = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum()))
-    reached = (grade[:, None] >= np.arange(1, GRADES + 1)).astype(float)
-    # thresholds as the first one and steps exp(g) > 0 between them
-    z = np.zeros(d + GRADES)
-    z[d] = 1.0
+    reached = (grade[:, None] >= np.arange(1, grades + 1)).astype(float)
+    # thresholds as the first one and the gaps between them, which stay at LEAST_GAP or more
+    z = np.zeros(d + grades)
+    z[d:] = 1.0
 
     def thresholds(v):
-        return v[d] + np.concatenate([[0.0], np.cumsum(np.exp(v[d + 1 :]))])
+        return np.cumsum(v[d:])
 
     def gradient(v):
-        err = (_sigmoid((x @ v[:d])[:, None] - thresholds(v)) - reached) * row[:, None]
+        err = (_sigmoid(x.times(v[:d])[:, None] - thresholds(v)) - reached) * row[:, None]
         by_threshold = -err.sum(axis=0)
         g = np.empty_like(v)
-        g[:d] = x.T @ err.sum(axis=1) + penalty * v[:d]
-        g[d] = by_threshold.sum()
-        g[d + 1 :] = np.exp(v[d + 1 :]) * by_threshold[::-1].cumsum()[::-1][1:]
+        g[:d] = x.transposed_times(err.sum(axis=1)) + penalty * v[:d]
+        g[d:] = by_threshold[::-1].cumsum()[::-1]
         return g
 
-    rate = 1.0 / (0.25 * GRADES * (np.square(x).sum(axis=1) @ row + GRADES) + penalty)
+    square = np.bincount(x.row, np.square(x.value), x.shape[0])
+    rate = 1.0 / (0.25 * grades * (square @ row + grades) + penalty)
     before, y, momentum = z.copy(), z.copy(), 1.0
     for _ in range(steps):
         z = y - rate * gradient(y)
+        z[d + 1 :] = np.maximum(z[d + 1 :], LEAST_GAP)
         nxt = 0.5 * (1.0 + np.sqrt(1.0 + 4.0 * momentum**2))
         y = z + (momentum - 1.0) / nxt * (z - before)
         before, momentum = z, nxt
     return z[:d], thresholds(z)
 
 
-def learn(rows: list[tuple[dict[int, int], int]], chosen: list[int]) -> OrdinalModel:
-    """rows: counts of the chosen features, and 0 or 1."""
-    y = np.array([t for _, t in rows], int)
-    if min((y == 1).sum(), (y == 0).sum()) < 2:
+@dataclass(frozen=True)
+class Example:
+    counts: dict[int, int]  # of the features that any fit takes
+    words: int
+    toxic: int
+    fold: int
+
+
+def learn(rows: list[Example], chosen: list[list[int]]) -> OrdinalModel:
+    """chosen: the features without each fold, and at last those of all."""
+    y, fold = np.array([r.toxic for r in rows], int), np.array([r.fold for r in rows], int)
+    few = lambda some: min((y[some] == 1).sum(), (y[some] == 0).sum()) < 2
+    if any(few(fold != k) or few(fold == k) for k in range(FOLDS)):
         return OrdinalModel({}, np.zeros(0), np.arange(1.0, GRADES + 1) * 10)
-    features = {h: k for k, h in enumerate(chosen)}
-    x = np.zeros((len(rows), len(features)))
-    for i, (found, _) in enumerate(rows):
-        for h, n in found.items():
-            if h in features:
-                x[i, features[h]] = np.log1p(n)
-    hits = np.expm1(x).sum(axis=1)
-    low, high = np.quantile(hits[y == 1], [1 / 3, 2 / 3])
-    grade = np.where(y == 1, 1 + (hits > low) + (hits > high), 0)
-    held = np.arange(len(rows)) % 5 == 0
-    if min((y[held] == 1).sum(), (y[held] == 0).sum()) < 2:
-        held[:] = True
-    w, t = fit_ordinal(x[~held] if not held.all() else x, grade[~held] if not held.all() else grade)
-    p = _sigmoid(x[held] @ w - t[0])
+
+    def unseen(grade: np.ndarray, grades: int) -> np.ndarray:
+        """Of each row w.x less the first threshold, by the model of the other folds."""
+        out = np.zeros(len(rows))
+        for k in range(FOLDS):
+            columns = {h: i for i, h in enumerate(chosen[k])}
+            own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+            w, t = fit_ordinal(Sparse.of([rows[i].counts for i in rest], columns), grade[rest], grades)
+            out[own] = Sparse.of([rows[i].counts for i in own], columns).times(w) - t[0]
+        return out
+
+    severity = unseen(y, 1) / np.log1p(np.maximum(1, [r.words for r in rows]))
+    low, high = np.quantile(severity[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (severity > low) + (severity > high), 0)
+    p = _sigmoid(unseen(grade, GRADES))
     tries = np.unique(np.concatenate([p, [0.5]]))
     tries = (tries[1:] + tries[:-1]) / 2
-    worth = [((p >= c) & (y[held] == 1)).sum() / (y[held] == 1).sum() - CLEAN_LOST * ((p >= c) & (y[held] == 0)).sum() / (y[held] == 0).sum() for c in tries]
-    best = max(worth, default=0)
-    cuts = [c for c, v in zip(tries, worth) if v >= best - 1e-12]
-    return OrdinalModel(features, w, t, float(np.median(cuts)) if cuts else 0.5)
-
-
-def telling(sample: DataFrame, max_features: int, least_z: float) -> list[int]:
-    """The features whose document frequencies in the two classes of (y, features) differ most."""
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if min(n1, n0) < 2:
-        return []
-    found = sample.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a >= 3")
-    p, q, both = F.col("a") / n1, F.col("b") / n0, (F.col("a") + F.col("b")) / (n1 + n0)
-    z = (p - q) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-    found = found.select("f", z.alias("z")).where((F.col("z") >= least_z) & (p >= 10 * (F.col("b") + 0.5) / n0))
-    return [r["f"] for r in found.orderBy(F.desc("z"), "f").limit(max_features).collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, max_features: int = 512, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
+    at = lambda some: len(some) - np.searchsorted(np.sort(some), tries)  # noqa: E731  how many reach each cut
+    worth = at(p[y == 1]) / (y == 1).sum() - CLEAN_LOST * at(p[y == 0]) / (y == 0).sum()
+    cuts = tries[worth >= worth.max(initial=0) - 1e-12]
+    columns = {h: i for i, h in enumerate(chosen[-1])}
+    w, t = fit_ordinal(Sparse.of([r.counts for r in rows], columns), grade)
+    return OrdinalModel(columns, w, t, float(np.median(cuts)) if len(cuts) else 0.5)
+
+
+def telling(sample: DataFrame, least_z: float) -> list[list[int]]:
+    """The features whose document frequencies in the two classes of (y, fold, features) differ: without each fold's
+    rows, and in all."""
+    part = lambda name, y: [F.count_if((F.col("y") == y) & (F.col("fold") == k)).alias(f"{name}{k}") for k in range(FOLDS)]
+    sizes = sample.agg(*part("a", 1), *part("b", 0)).first()
+    found = sample.select("y", "fold", F.explode("features").alias("f")).groupBy("f").agg(*part("a", 1), *part("b", 0))
+
+    def tells(without: int | None) -> Column:
+        total = lambda of, name: sum((of(f"{name}{k}") for k in range(FOLDS) if k != without), F.lit(0))
+        n1, n0 = (sum(sizes[f"{x}{k}"] for k in range(FOLDS) if k != without) for x in "ab")
+        if min(n1, n0) < 2:
+            return F.lit(False)
+        a, b = total(F.col, "a"), total(F.col, "b")
+        p, q, both = a / n1, b / n0, (a + b) / (n1 + n0)
+        z = (p - q) / F.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
+        return (a >= 3) & (z >= least_z) & (p >= 10 * (b + 0.5) / n0)
+
+    verdicts = [tells(k).alias(f"v{k}") for k in (*range(FOLDS), None)]
+    told = found.select("f", *verdicts).where(" or ".join(f"v{k}" for k in (*range(FOLDS), None))).orderBy("f").collect()
+    return [[r["f"] for r in told if r[f"v{k}"]] for k in (*range(FOLDS), None)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
     """A model of at most max_train labelled rows of each class."""
+    bound_batches(docs.sparkSession)
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     some = [named.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for k in (0, 1)]
     sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(some[0].union(some[1])), "doc_id")
+    sample = sample.select(F.xxhash64("doc_id", "text").alias("key"), "y", "text")
+    schema = "key long, y int, words int, features array<long>, counts array<int>"
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = SegmentCache(features_of, limit=60_000)
+        cache = SegmentCache(features_of)
         for b in batches:
-            for at in range(0, b.num_rows, OUT_ROWS):
-                part = b.slice(at, OUT_ROWS)
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
                 found = [counted(t.as_py(), cache) for t in part.column("text")]
-                key = pa.array([xxhash.xxh3_64_intdigest(str(d)) >> 1 for d in part.column("doc_id").to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, part.column("y"), pa.array([[*f] for f in found], pa.list_(pa.int64())), pa.array([[*f.values()] for f in found], pa.list_(pa.int32()))], ["key", "y", "features", "counts"])
+                words = [len(t.as_py().split()) if t.is_valid else 0 for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("y"), pa.array(words, pa.int32()), pa.array([[*f] for f in found], pa.list_(pa.int64())), pa.array([[*f.values()] for f in found], pa.list_(pa.int32()))], ["key", "y", "words", "features", "counts"])
 
-    counted_rows = written(sample.mapInArrow(counts, "key long, y int, features array<long>, counts array<int>"))
-    chosen = telling(counted_rows, max_features, least_z)
-    known = set(chosen)
+    rows = written(sample.mapInArrow(counts, schema))
+    # ids may stand for many rows: the bound is on rows
+    kept = rows.select("y", "key").distinct()
+    kept = kept.where("y = 0").orderBy("key").limit(max_train).union(kept.where("y = 1").orderBy("key").limit(max_train))
+    rows = written(rows.join(F.broadcast(kept), ["y", "key"]).dropDuplicates(["y", "key"]).withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int")))
+    chosen = telling(rows, least_z)
+    known, names = set().union(*chosen), rows.columns
 
     def only_chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[(f, n) for f, n in zip(fs, ns) if f in known] for fs, ns in zip(b.column("features").to_pylist(), b.column("counts").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array([[f for f, _ in r] for r in rows], pa.list_(pa.int64())), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], ["key", "y", "features", "counts"])
+            few = [[(f, n) for f, n in zip(fs, ns) if f in known] for fs, ns in zip(b.column("features").to_pylist(), b.column("counts").to_pylist())]
+            columns = {c: b.column(c) for c in names} | {"features": pa.array([[f for f, _ in r] for r in few], pa.list_(pa.int64())), "counts": pa.array([[n for _, n in r] for r in few], pa.list_(pa.int32()))}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
 
-    got = counted_rows.mapInArrow(only_chosen, counted_rows.schema).orderBy("key").collect()
-    return learn([(dict(zip(r["features"], r["counts"])), r["y"]) for r in got], chosen)
+    got = rows.mapInArrow(only_chosen, rows.schema).orderBy("key", "y").collect()
+    return learn([Example(dict(zip(r["features"], r["counts"])), r["words"], r["y"], r["fold"]) for r in got], chosen)
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, expected_severity, grade, p_toxic, toxic, kept) of every row."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
                 severity, p, grade = model.scores([t.as_py() for t in b.column(1)])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity), pa.array(grade, pa.int32()), pa.array(p), pa.array(p >= model.cut), pa.array(p < model.cut)], ["id", "expected_severity", "grade", "p_toxic", "toxic", "kept"])
 
@@ -208,10 +266,12 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not toxic, with all their columns."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(at, TEXTS)
                 yield b.filter(pa.array(model.scores([t.as_py() for t in b.column(b.schema.get_field_index(text_col))])[1] < model.cut))
 
     return docs.mapInArrow(run, docs.schema)
