@@ -6,18 +6,21 @@ Shard file (all numbers little-endian):
              and the byte lengths of the sections that follow
     ids      all ids in a row, 2 bytes each if every id of the vocabulary fits, else 4
     ends     Elias-Fano sequence: for each document the number of ids up to its end
-    docs     Elias-Fano sequence: document ids less the least one (null ids come first and are not in it)
+    docs     Elias-Fano sequence: document ids less the least one (null ids come first and are not in it); if they
+             are no whole numbers, of the ends of their texts
+    names    those texts in a row, in UTF-8
 
 Elias-Fano keeps the low bits of each value packed and the high bits in unary, about 2 + log2(universe / n) bits a
-value, with one 32-bit select sample for every 256 values: select(i) reads a sample and scans a few bytes, so that an
-offset is found without a table of 64-bit offsets.
+value, with one 32-bit select sample for every 256 values: select(i), and span(i, j) for values in a row, read a sample
+and scan on from there, so that offsets are found without a table of 64-bit offsets. Readers find all offsets so.
 
 The rows are dealt by ranges of doc_id, so that shard order is document order. A task writes its shards under a
 temporary name and renames them; a task that runs again writes the same bytes to the same names. Files are written
 through pyarrow.fs and read by Spark's binaryFile source.
 
 Defined results: a null or empty text is a document of just the end id; null ids sort first; rows with equal ids are
-kept each, in the order of their texts; other columns are not read; an empty table writes no shard and gives no rows.
+kept each, in the order of their texts; ids keep their type (whole numbers, or what a string can be cast to); other
+columns are not read; an empty table writes no shard and gives no rows.
 """
 
 from __future__ import annotations
@@ -33,15 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import bound_batches, shared_folder, type_of
 from .token_ids import token_ids
 
-MAGIC = b"PSIDS\x00\x01\n"
-HEADER = struct.Struct("<BQQQqQQQ")
+MAGIC = b"PSIDS\x00\x02\n"
+HEADER = struct.Struct("<BQQQqQQQQ")
 EF_HEADER = struct.Struct("<QBQQ")
 SAMPLE_EVERY = 256
 MANIFEST = "part int, shard int, path string, n_docs long, n_ids long"
-READ = "path string, row long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+READ = "path string, row long, doc_id {}, local_start long, n_tokens long, ids_crc32 long"
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 OUT_ROWS = 20_000
 
 
@@ -80,40 +84,42 @@ class EliasFano:
         """Value i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, rest = int(self.samples[i // SAMPLE_EVERY]), i % SAMPLE_EVERY
-        byte, bit = divmod(at, 8)
-        seen, window = 0, 64
-        while True:  # mark number rest after the sample's, in growing windows
-            marks = np.unpackbits(self.high[byte : byte + window], bitorder="little")
-            marks[:bit] = 0
-            found = np.flatnonzero(marks)
-            if seen + len(found) > rest:
-                place = byte * 8 + int(found[rest - seen])
-                break
-            seen, byte, bit = seen + len(found), byte + window, 0
-        first = i * self.low_bits
-        bits = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 :][: self.low_bits]
-        return (place - i) << self.low_bits | sum(int(b) << k for k, b in enumerate(bits))
-
-    def values(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+        return int(self.span(i, i + 1)[0])
+
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, from the sample before i to the one after them."""
+        if i >= j:
+            return np.zeros(0, np.uint64)
+        at, after = int(self.samples[i // SAMPLE_EVERY]), -(-j // SAMPLE_EVERY)
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        marks = np.flatnonzero(np.unpackbits(self.high[at // 8 : end], bitorder="little")) + at // 8 * 8
+        marks = marks[marks >= at][i % SAMPLE_EVERY :][: j - i]
+        out = (marks - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            first, last = i * self.low_bits, j * self.low_bits
+            bits = np.unpackbits(self.low[first // 8 : (last + 7) // 8], bitorder="little")[first % 8 :][: last - first].reshape(j - i, self.low_bits)
             for k in range(self.low_bits):
                 out |= bits[:, k].astype(np.uint64) << np.uint64(k)
         return out
 
+    def values(self) -> np.ndarray:
+        return self.span(0, self.n)
+
 
 def shard_bytes(doc_ids: list, lengths: list[int], ids: bytes, wide: bool) -> bytes:
-    """doc_ids ascending, None first; ids: unsigned 32-bit."""
+    """doc_ids ascending, None first, of whole numbers or texts; ids: unsigned 32-bit."""
     known = [d for d in doc_ids if d is not None]
-    least = known[0] if known else 0
+    least, names = known[0] if known else 0, b""
+    if isinstance(least, str):
+        texts = [d.encode() for d in known]
+        least, names, numbers = 0, b"".join(texts), np.cumsum([len(t) for t in texts])
+    else:
+        numbers = [d - least for d in known]
     data = ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
     ends = EliasFano.of(np.cumsum(np.array(lengths, np.uint64))).to_bytes()
-    docs = EliasFano.of(np.array([d - least for d in known], np.uint64)).to_bytes()
-    head = HEADER.pack(4 if wide else 2, len(doc_ids), len(doc_ids) - len(known), len(ids) // 4, least, len(data), len(ends), len(docs))
-    return MAGIC + head + data + ends + docs
+    docs = EliasFano.of(np.array(numbers, np.uint64)).to_bytes()
+    head = HEADER.pack(4 if wide else 2, len(doc_ids), len(doc_ids) - len(known), len(ids) // 4, least, len(data), len(ends), len(docs), len(names))
+    return MAGIC + head + data + ends + docs + names
 
 
 class Shard:
@@ -123,20 +129,34 @@ class Shard:
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token-id shard")
         at = len(MAGIC) + HEADER.size
-        width, self.n_docs, self.n_null, self.n_ids, self.least, n_data, n_ends, n_docs = HEADER.unpack_from(data, len(MAGIC))
+        width, self.n_docs, self.n_null, self.n_ids, self.least, n_data, n_ends, n_docs, n_names = HEADER.unpack_from(data, len(MAGIC))
         self.ids = np.frombuffer(data, "<u2" if width == 2 else "<u4", self.n_ids, at)
-        self.ends = EliasFano.from_bytes(data[at + n_data : at + n_data + n_ends])
-        self.docs = EliasFano.from_bytes(data[at + n_data + n_ends : at + n_data + n_ends + n_docs])
+        at += n_data
+        self.ends = EliasFano.from_bytes(data[at : at + n_ends])
+        at += n_ends
+        self.docs = EliasFano.from_bytes(data[at : at + n_docs])
+        self.names = data[at + n_docs : at + n_docs + n_names]
+
+    def bounds(self, i: int, j: int) -> np.ndarray:
+        """Where documents i to j - 1 begin, and where the last one ends."""
+        before = [self.ends.select(i - 1)] if i else [0]
+        return np.concatenate([np.array(before, np.int64), self.ends.span(i, j).astype(np.int64)])
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        return self.ids[slice(*self.bounds(i, i + 1))]
 
-    def doc_ids(self) -> list:
-        return [None] * self.n_null + [int(d) + self.least for d in self.docs.values()]
+    def doc_ids(self, i: int, j: int) -> list:
+        nulls = [None] * (min(j, self.n_null) - min(i, self.n_null))
+        i, j = max(0, i - self.n_null), max(0, j - self.n_null)
+        if not self.names:
+            return nulls + [int(d) + self.least for d in self.docs.span(i, j)]
+        ends = [self.docs.select(i - 1) if i else 0, *self.docs.span(i, j).tolist()]
+        return nulls + [self.names[a:b].decode() for a, b in zip(ends, ends[1:])]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 1, shard_ids: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes folder/shards/*.psids, and folder/manifest (a Parquet table), which is returned. folder: a URI that all share."""
+    bound_batches(docs.sparkSession)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_ids(tokenizer_path)
@@ -170,29 +190,27 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    dealt = dealt.select(F.col("id").cast("long" if type_of(docs, id_col) in WHOLE else "string").alias("id"), "text")
     dealt.mapInArrow(shards, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+def read_shards(spark: SparkSession, folder: str, id_type: str = "bigint") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
+    kind = pa.int64() if id_type in WHOLE else pa.string()
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 s = Shard(content.as_py())
-                ends = s.ends.values().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                names = s.doc_ids()
-                wide = s.ids.astype("<u4")
                 for at in range(0, s.n_docs, OUT_ROWS):
-                    span = slice(at, min(at + OUT_ROWS, s.n_docs))
-                    crc = [zlib.crc32(wide[i:k]) for i, k in zip(starts[span].tolist(), ends[span].tolist())]
-                    n = span.stop - at
+                    stop = min(at + OUT_ROWS, s.n_docs)
+                    bounds = s.bounds(at, stop)
+                    crc = [zlib.crc32(s.ids[i:k].astype("<u4")) for i, k in zip(bounds.tolist(), bounds[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * n), pa.array(np.arange(at, span.stop)), pa.array(names[span], pa.int64()), pa.array(starts[span]), pa.array(ends[span] - starts[span]), pa.array(crc, pa.int64())],
+                        [pa.array([path] * len(crc)), pa.array(np.arange(at, stop)), pa.array(s.doc_ids(at, stop), kind), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                         ["path", "row", "doc_id", "local_start", "n_tokens", "ids_crc32"],
                     )
 
@@ -203,14 +221,14 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")
     base = manifest.select("part", "path", within.alias("within")).join(before, "part").select("path", (F.col("within") + F.col("before_part")).alias("base"))
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.psids").load(f"{folder}/shards")
-    rows = files.select(F.substring_index("path", "/", -1).alias("path"), "content").mapInArrow(documents, READ)
-    return rows.join(base, "path").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.select(F.substring_index("path", "/", -1).alias("path"), "content").mapInArrow(documents, READ.format("long" if id_type in WHOLE else "string"))
+    return rows.join(base, "path").select(F.col("doc_id").cast(id_type).alias("doc_id"), (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the shards and returns what the files hold of each document."""
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, type_of(docs, id_col)
     folder = folder or shared_folder(spark)
     if not write_shards(docs, tokenizer_path, folder, end_id, id_col=id_col, text_col=text_col).take(1):
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return read_shards(spark, folder)
+        return spark.createDataFrame([], f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", id_col)
+    return read_shards(spark, folder, id_type).withColumnRenamed("doc_id", id_col)
