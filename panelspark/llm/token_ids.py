@@ -35,7 +35,7 @@ class Pieces(SegmentCache):
     """parts(key): the value put together from parts' values, or None where a key is one piece."""
 
     def __init__(self, parts, make):
-        super().__init__(make, limit=48 << 20)
+        super().__init__(make, limit=40 << 20)
         self.parts = parts
 
     def __missing__(self, key):
