@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import average_rank, correlation, ratio
@@ -38,11 +38,12 @@ def hac_lag(n: int) -> int:
     return max(1, math.floor(4.0 * (n / 100.0) ** (2.0 / 9.0)))
 
 
-def hac_variance(series: DataFrame, value: str, lags: int, order: str = "date", keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, mean, std, hac_se) with Bartlett weights up to lags valid rows (at most n - 1). Autocovariances are
-    over n; their weighted sum is held at 1e-14 or more."""
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    x = series.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("v"))
+def hac_variance(series: DataFrame, value: str, lags: int, order: str = "date", keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, n, mean, std, hac_se, more) with Bartlett weights up to lags valid rows (at most n - 1). Autocovariances
+    are over n; their weighted sum is held at 1e-14 or more. A series without valid rows has n 0 and NULLs. more: other
+    aggregates of the value v."""
+    x = series.select(*keys, order, F.col(value).cast("double").alias("v"))
+    own = Window.partitionBy(*keys, F.col("v").isNull())
     x = x.withColumn("e", F.col("v") - F.avg("v").over(own))
     w = own.orderBy(order)
     x = x.withColumns({f"l{k}": F.lag("e", k).over(w) for k in range(1, lags + 1)})
@@ -53,28 +54,21 @@ def hac_variance(series: DataFrame, value: str, lags: int, order: str = "date",
         share = F.when(F.lit(k) <= used, 1.0 - F.lit(float(k)) / (used + 1.0)).otherwise(0.0)
         omega = omega + 2.0 * share * F.coalesce(F.sum(F.col("e") * F.col(f"l{k}")), F.lit(0.0)) / F.greatest(n, F.lit(1))
     se = F.when(n > 1, F.sqrt(F.greatest(omega, F.lit(1e-14)) / n))
-    aggs = (n.alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), se.alias("hac_se"))
-    return x.groupBy(*keys).agg(*aggs) if keys else x.agg(*aggs)
+    return x.groupBy(*keys).agg(n.alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), se.alias("hac_se"), *more)
 
 
 def ic_statistics(ic: DataFrame, horizon: int, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, n, mean_ic, std_ic, ic_ir, naive_t, hac_se, hac_t, hit_rate) of daily ic rows; lag = horizon."""
-    if not keys:
-        return ic_statistics(ic.withColumn("__one", F.lit(1)), horizon, ["__one"]).drop("__one")
-    base = hac_variance(ic, "ic", max(1, horizon), keys=keys)
-    hits = ic.where("ic is not null").groupBy(*keys).agg(F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))
-    joined = base.join(hits, list(keys))
+    """(keys, n, mean_ic, std_ic, ic_ir, naive_t, hac_se, hac_t, hit_rate) of daily ic rows; lag = horizon. In one
+    aggregate; a series without ICs has n 0 and NULLs."""
+    base = hac_variance(ic, "ic", max(1, horizon), keys=keys, more=[F.avg((F.col("v") > 0).cast("double")).alias("hit_rate")])
     root = F.sqrt(F.col("n").cast("double"))
-    return joined.select(*keys, "n", F.col("mean").alias("mean_ic"), F.col("std").alias("std_ic"), ratio("mean", "std").alias("ic_ir"), ratio(F.col("mean") * root, "std").alias("naive_t"), "hac_se", ratio("mean", "hac_se").alias("hac_t"), "hit_rate")
+    return base.select(*keys, "n", F.col("mean").alias("mean_ic"), F.col("std").alias("std_ic"), ratio("mean", "std").alias("ic_ir"), ratio(F.col("mean") * root, "std").alias("naive_t"), "hac_se", ratio("mean", "hac_se").alias("hac_t"), "hit_rate")
 
 
 def ic_summary(ic: DataFrame, horizon: int) -> dict[str, float]:
     """One series' statistics with p-values: Student's t for the naive one, normal for HAC."""
-    r = ic_statistics(ic.withColumn("__one", F.lit(1)), horizon, ["__one"]).first()
-    if r is None:
-        return {"n": 0}
-    out = r.asDict()
-    out.pop("__one")
+    r = ic_statistics(ic, horizon).first()
+    out = {k: math.nan if v is None else v for k, v in r.asDict().items()}
     out["naive_p"] = t_two_sided(r["naive_t"], r["n"] - 1) if r["naive_t"] is not None else math.nan
     out["hac_p"] = normal_two_sided(r["hac_t"]) if r["hac_t"] is not None else math.nan
     return out
@@ -136,23 +130,29 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = 0.05
 
 @dataclass(frozen=True)
 class Hypothesis:
+    """direction: the sign of the IC that is predicted; test: the one that counts."""
+
     id: str
     signal: str
     horizon: int
-    direction: str = "two-sided"
+    direction: str = "positive"
     params: dict = field(default_factory=dict)
+    test: str = "hac_ic_t_test"
 
     @property
     def target(self) -> str:
         return f"fwd_ret_{self.horizon}d"
 
+    def as_predicted(self, mean_ic: float) -> bool:
+        return mean_ic > 0 if self.direction == "positive" else mean_ic < 0
+
 
 #: The confirmatory family.
 CONFIRMATORY = (
-    Hypothesis("H1", "momentum", 20, params={"total": 252, "skip": 21}),
-    Hypothesis("H2", "mean_reversion", 5, params={"window": 20}),
-    Hypothesis("H3", "volatility", 20, params={"window": 60}),
-    Hypothesis("H4", "abnormal_volume", 5, params={"window": 20}),
+    Hypothesis("H1_MOMENTUM", "momentum_12_1", 20, params={"lookback_days": 252, "skip_days": 21}),
+    Hypothesis("H2_MEAN_REVERSION", "mean_reversion_zscore", 5, params={"lookback_days": 20, "threshold": None}),
+    Hypothesis("H3_LOW_VOLATILITY", "low_vol", 20, params={"lookback_days": 60}),
+    Hypothesis("H4_ABNORMAL_VOLUME", "abnormal_volume", 5, params={"volume_lookback": 20, "direction_horizon": 1}),
 )
 
 
@@ -160,11 +160,12 @@ CONFIRMATORY = (
 class Registry:
     hypotheses: tuple[Hypothesis, ...] = CONFIRMATORY
 
-    def get(self, id: str) -> Hypothesis:
+    def get(self, name: str) -> Hypothesis:
+        """By id, by the id up to its first underscore, or by the signal's name."""
         for h in self.hypotheses:
-            if h.id == id:
+            if name in (h.id, h.id.partition("_")[0], h.signal):
                 return h
-        raise KeyError(f"no hypothesis {id!r}")
+        raise KeyError(f"no hypothesis {name!r}")
 
     @property
     def family_size(self) -> int:

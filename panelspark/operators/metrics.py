@@ -25,7 +25,8 @@ def drawdowns(df: DataFrame, equity: str = "equity", key: str = "run_id") -> Dat
 
 def performance(df: DataFrame, key: str = "run_id") -> DataFrame:
     """(run_id, the fifteen metrics) of rows with date, daily_return and, where there are any, equity, turnover,
-    total_cost and gross_return. Without equity returns are compounded. All zero with fewer than two returns."""
+    total_cost and gross_return. Without equity returns are compounded. All zero with fewer than two returns. The rows
+    are read once: drawdowns are window columns, and all metrics one aggregate."""
     w = Window.partitionBy(key).orderBy("date")
     rows = df.where(F.col("daily_return").isNotNull())
     have = set(df.columns)
@@ -34,7 +35,11 @@ def performance(df: DataFrame, key: str = "run_id") -> DataFrame:
     extra = {c: F.lit(None).cast("double") for c in ("turnover", "total_cost", "gross_return") if c not in have}
     rows = rows.withColumns(extra) if extra else rows
     r = F.col("daily_return")
-    base = rows.groupBy(key).agg(
+    seen = F.count("equity").over(w)
+    rows = rows.withColumns({"__fall": F.when(F.col("equity").isNotNull(), F.coalesce(ratio("equity", F.max("equity").over(w)) - 1.0, F.lit(0.0))), "__seen": seen})
+    # sessions since the last high
+    rows = rows.withColumn("__below", F.col("__seen") - F.max(F.when(F.col("__fall") >= 0, F.col("__seen"))).over(w))
+    x = rows.groupBy(key).agg(
         F.count("*").alias("t"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("std"),
         F.min_by("equity", "date").alias("first"), F.max_by("equity", "date").alias("last"),
         F.sqrt(F.avg(F.when(r < 0, r * r))).alias("down"), F.avg((r > 0).cast("double")).alias("hits"),
@@ -42,11 +47,8 @@ def performance(df: DataFrame, key: str = "run_id") -> DataFrame:
         F.coalesce(F.avg("turnover"), F.lit(0.0)).alias("turnover"), F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("spent"),
         F.count("gross_return").alias("n_gross"), F.sum(F.ln(F.greatest(1.0 + F.col("gross_return"), F.lit(1e-300)))).alias("log_gross"),
         F.min_by("gross_return", F.when(F.col("gross_return").isNotNull(), F.col("date"))).alias("first_gross"),
+        F.min("__fall").alias("max_drawdown"), F.max("__below").alias("max_drawdown_duration_days"),
     )
-    falls = drawdowns(rows, key=key)
-    runs = falls.groupBy(key, "island").agg(F.min("drawdown").alias("low"), F.count(F.when(F.col("drawdown") < 0, 1)).alias("days"))
-    runs = runs.groupBy(key).agg(F.min("low").alias("max_drawdown"), F.max("days").alias("max_drawdown_duration_days"))
-    x = base.join(runs, key)
     year = F.lit(float(YEAR))
     grown = F.when(F.col("first") > 0, F.col("last") / F.col("first")).otherwise(1.0)
     cagr = F.when(grown > 0, F.pow(grown, year / F.col("t")) - 1.0).otherwise(-1.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +48,30 @@ def project(weights: np.ndarray, max_position: float = 0.10, max_gross: float =
 
 
 def constrained(df: DataFrame, max_position: float = 0.10, max_gross: float = 1.0, max_net: float = 0.20, weight: str = "target_weight", keys: tuple[str, ...] = ("date",)) -> DataFrame:
-    """df with weights within the limits. Dates that are, which most are, stay in SQL; only the others go to numpy."""
-    w = Window.partitionBy(*keys)
-    x = F.col(weight)
-    ok = (F.coalesce(F.max(F.abs(x)).over(w), F.lit(0.0)) <= max_position + TOLERANCE) & (F.coalesce(F.sum(F.abs(x)).over(w), F.lit(0.0)) <= max_gross + TOLERANCE) & (F.abs(F.coalesce(F.sum(x).over(w), F.lit(0.0))) <= max_net + TOLERANCE)
-    marked = df.withColumn("__ok", ok)
-
-    def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        has = pdf[weight].notna()
-        pdf.loc[has, weight] = project(pdf.loc[has, weight].to_numpy(), max_position, max_gross, max_net)
-        return pdf
-
-    bad = marked.where(~F.col("__ok")).drop("__ok")
-    return marked.where("__ok").drop("__ok").unionByName(bad.groupBy(*keys).applyInPandas(fix, bad.schema))
+    """df with weights within the limits. A date's rows are gathered (a cross-section of tickers); the weights of dates
+    that break a limit go to numpy as an array each, all else stays in the JVM."""
+    add = lambda a, x: a + F.coalesce(x, F.lit(0.0))
+    total = lambda values: F.aggregate(values, F.lit(0.0), add)
+    held = F.transform("__rows", lambda r: r[weight].cast("double"))
+    size = F.transform(held, F.abs)
+    ok = (F.coalesce(F.array_max(size), F.lit(0.0)) <= max_position + TOLERANCE) & (total(size) <= max_gross + TOLERANCE) & (F.abs(total(held)) <= max_net + TOLERANCE)
+
+    @F.arrow_udf("array<double>")
+    def fixed(column: pa.Array) -> pa.Array:
+        out = []
+        for values in column.to_pylist():
+            if values is not None:
+                has = [k for k, v in enumerate(values) if v is not None]
+                for k, v in zip(has, project(np.array([values[k] for k in has], float), max_position, max_gross, max_net).tolist()):
+                    values[k] = v
+            out.append(values)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    days = df.groupBy(*keys).agg(F.collect_list(F.struct(*df.columns)).alias("__rows"))
+    days = days.select("__rows", held.alias("__held"), F.when(~ok, held).alias("__bad"))
+    days = days.select("__rows", F.coalesce(fixed("__bad"), F.col("__held")).alias("__w"))
+    rows = days.select(F.posexplode("__rows").alias("__k", "__r"), "__w").select("__r", F.get("__w", F.col("__k")).alias("__new"))
+    return rows.select(*(F.col("__new").cast(df.schema[c].dataType).alias(c) if c == weight else F.col("__r")[c].alias(c) for c in df.columns))
 
 
 class BasePortfolioConstructor(ABC):
@@ -141,9 +152,10 @@ class InverseVolatilitySignalWeighted(BasePortfolioConstructor):
 
 
 CONSTRUCTORS = {
-    "equal_weight": EqualWeightLongShort, "quantile": EqualWeightLongShort,
+    "equal_weight": EqualWeightLongShort, "equal_weight_long_short": EqualWeightLongShort, "quantile": EqualWeightLongShort,
     "signal_weighted": SignalWeightedLongShort, "signal_weight": SignalWeightedLongShort,
-    "volatility_scaled": InverseVolatilitySignalWeighted, "inverse_volatility": InverseVolatilitySignalWeighted,
+    "volatility_scaled": InverseVolatilitySignalWeighted, "vol_scaled": InverseVolatilitySignalWeighted,
+    "inverse_volatility": InverseVolatilitySignalWeighted, "inverse_volatility_signal_weighted": InverseVolatilitySignalWeighted,
 }
 
 

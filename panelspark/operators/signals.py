@@ -121,9 +121,11 @@ class CombinedSignal(BaseSignal):
 
 
 SIGNALS = {
-    "momentum": MomentumSignal, "h1": MomentumSignal, "mean_reversion": MeanReversionSignal, "h2": MeanReversionSignal,
-    "volatility": VolatilitySignal, "low_volatility": VolatilitySignal, "h3": VolatilitySignal,
-    "abnormal_volume": AbnormalVolumeSignal, "volume": AbnormalVolumeSignal, "h4": AbnormalVolumeSignal, "combined": CombinedSignal,
+    "momentum": MomentumSignal, "momentum_12_1": MomentumSignal, "h1": MomentumSignal,
+    "mean_reversion": MeanReversionSignal, "mean_reversion_zscore": MeanReversionSignal, "h2": MeanReversionSignal,
+    "volatility": VolatilitySignal, "low_volatility": VolatilitySignal, "low_vol": VolatilitySignal, "h3": VolatilitySignal,
+    "abnormal_volume": AbnormalVolumeSignal, "volume": AbnormalVolumeSignal, "volume_signal": AbnormalVolumeSignal, "h4": AbnormalVolumeSignal,
+    "combined": CombinedSignal, "combined_signal": CombinedSignal,
 }
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -58,8 +60,8 @@ def walk_forward(weights: DataFrame, windows=WINDOWS, price: str = "adj_close",
 def cost_sensitivity(weights: DataFrame, price: str = "adj_close", regimes: dict[str, CostModel] | None = None, cash: float = CASH) -> DataFrame:
     """(cost, metrics) of one run under each cost regime, with the drag against the run without costs."""
     runs = run_backtests(weights, price, regimes or COST_REGIMES, cash).snapshots.withColumn("cost", F.substring_index("run_id", "/", -1))
-    free = runs.where("cost = 'zero'").select("date", F.col("daily_return").alias("gross_return"))
-    return performance(runs.drop("run_id").join(free, "date", "left"), key="cost")
+    free = F.max(F.when(F.col("cost") == "zero", F.col("daily_return"))).over(Window.partitionBy("date"))  # a row a regime
+    return performance(runs.drop("run_id").withColumn("gross_return", free), key="cost")
 
 
 def subperiods(weights: DataFrame, split: str = "2020-01-01", price: str = "adj_close", costs: CostModel | None = None, cash: float = CASH, exclude_from: str | None = None) -> DataFrame:
@@ -115,15 +117,22 @@ def pnl_bootstrap(returns: np.ndarray, replicates: int = 1000, block: int = 10,
     return {"sharpe": tuple(np.percentile(sharpe, tails)), "cagr": tuple(np.percentile(cagr, tails))}
 
 
-def integrity_violations(result: BacktestResult, max_gross: float = 1.10) -> DataFrame:
-    """(run_id, date, problem): trades on a run's first session, gross exposure above the limit, equity that is not
-    cash plus holdings."""
-    s = result.snapshots
+def integrity_violations(result: BacktestResult, max_gross: float = 1.10, ended: dict[str, date] | None = None, blocked: Sequence[str] = (), max_net: float | None = None) -> DataFrame:
+    """(run_id, date, problem): trades on a run's first session, after the day (of ended) after a ticker's last one, or
+    in blocked tickers; gross or net exposure above the limit; equity that is not cash plus holdings."""
+    s, fills = result.snapshots, result.fills
+    problem = lambda rows, name: rows.select("run_id", "date", F.lit(name).alias("problem"))
     first = s.groupBy("run_id").agg(F.min("date").alias("first"))
-    early = result.fills.join(first, "run_id").where(F.col("date") <= F.col("first")).select("run_id", "date", F.lit("trade_on_first_session").alias("problem"))
-    gross = s.where(F.col("gross_exposure") > max_gross).select("run_id", "date", F.lit("gross_exposure").alias("problem"))
-    books = s.where(F.abs(F.col("equity") - F.col("cash") - F.col("holdings_value")) > 1e-4).select("run_id", "date", F.lit("books").alias("problem"))
-    return early.unionByName(gross).unionByName(books)
+    out = problem(fills.join(first, "run_id").where(F.col("date") <= F.col("first")), "trade_on_first_session")
+    late = F.lit(False)
+    for ticker, day in (ended or {}).items():
+        late = late | ((F.col("ticker") == ticker) & (F.col("date") > F.date_add(F.lit(day), 1)))
+    out = out.unionByName(problem(fills.where(late), "trade_after_termination"))
+    out = out.unionByName(problem(fills.where(F.col("ticker").isin(*blocked)), "blocked_ticker"))
+    out = out.unionByName(problem(s.where(F.col("gross_exposure") > max_gross), "gross_exposure"))
+    if max_net is not None:
+        out = out.unionByName(problem(s.where(F.abs("net_exposure") > max_net), "net_exposure"))
+    return out.unionByName(problem(s.where(F.abs(F.col("equity") - F.col("cash") - F.col("holdings_value")) > 1e-4), "books"))
 
 
 def robustness_suite(weights: DataFrame, price: str = "adj_close", cash: float = CASH, split: str = "2020-01-01") -> dict:

@@ -272,7 +272,7 @@ def daily_ic_pearson(spark, sf):
 def hac_sql(source: str, value: str, lags: int) -> str:
     ls = ", ".join(f"lag(e, {k}) OVER (ORDER BY date) AS l{k}" for k in range(1, lags + 1))
     omega = "sum(e * e) / count(*)" + "".join(f" + 2 * (CASE WHEN {k} <= least({lags}, count(*) - 1) THEN 1 - {k} / (least({lags}, count(*) - 1) + 1.0) ELSE 0 END) * coalesce(sum(e * l{k}), 0) / count(*)" for k in range(1, lags + 1))
-    return f", h0 AS (SELECT date, CAST({value} AS DOUBLE) AS v, {value} - avg({value}) OVER () AS e FROM {source} WHERE {value} IS NOT NULL), h1 AS (SELECT *, {ls} FROM h0), h AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, sqrt(greatest(CAST({omega} AS DOUBLE), 1e-14) / count(*)) AS hac_se FROM h1)"
+    return f", h0 AS (SELECT date, CAST({value} AS DOUBLE) AS v, {value} - avg({value}) OVER () AS e FROM {source} WHERE {value} IS NOT NULL), h1 AS (SELECT *, {ls} FROM h0), h AS (SELECT count(*) AS n, avg(v) AS mean, stddev_samp(v) AS std, sqrt(greatest(CAST({omega} AS DOUBLE), 1e-14) / nullif(count(*), 0)) AS hac_se FROM h1)"
 
 
 @query("ic_summary", IC_SQL + hac_sql("ic", "ic", 5) + ", g AS (SELECT avg((ic > 0)::INT) AS hit_rate FROM ic WHERE ic IS NOT NULL) SELECT n, round(mean, 6) AS mean_ic, round(std, 6) AS std_ic, round(mean / std, 6) AS ic_ir, round(mean * sqrt(n) / std, 5) AS naive_t, round(hac_se, 6) AS hac_se, round(mean / hac_se, 5) AS hac_t, round(hit_rate, 6) AS hit_rate FROM h, g")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.operators import quality, validation
-from panelspark.operators.execution import BacktestResult, get_cost_model, run_backtests
+from panelspark.operators.execution import BacktestResult, run_backtests
 from panelspark.operators.features import compute_features, forward_return
 from panelspark.operators.inference import CONFIRMATORY, Registry, adjust_family, daily_ic, ic_summary, quantile_spread, spread_summary
 from panelspark.operators.metrics import performance, tearsheet
-from panelspark.operators.portfolio import get_portfolio_constructor
 from panelspark.operators.resampling import permutation_test
 from panelspark.operators.signals import CombinedSignal, get_signal
 from panelspark.sources.calendar import trading_sessions
@@ -53,13 +52,12 @@ def horizon_profile(df: DataFrame, signals: list[str], price: str = "adj_close",
 
 def backtest(spark: SparkSession, config: ExperimentConfig, panel: DataFrame | None = None) -> tuple[BacktestResult, DataFrame]:
     """A configured run and its metrics. The date filter comes before features, and reaches the scan."""
-    df = panel if panel is not None else load_ohlcv(spark, config.data.panel)
-    df = df.where(F.col("date").between(F.lit(config.data.start_date).cast("date"), F.lit(config.data.end_date).cast("date")))
+    df = panel if panel is not None else load_ohlcv(spark, config["data.panel"])
+    df = df.where(F.col("date").between(F.lit(config["data.start_date"]).cast("date"), F.lit(config["data.end_date"]).cast("date")))
     df = df if "session_idx" in df.columns else with_session_idx(df)
-    signal = get_signal(config.signal.name, **config.signal.params)
-    limits = {k: getattr(config.portfolio, k) for k in ("max_position", "max_gross", "max_net")}
-    weights = get_portfolio_constructor(config.portfolio.method, **limits).construct(signal.compute(compute_features(df)), signal.name)
-    result = run_backtests(weights, config.data.price, get_cost_model(config.costs.regime), config.backtest.initial_capital, config.backtest.rebalance_frequency)
+    signal = config.signal()
+    weights = config.constructor().construct(signal.compute(compute_features(df)), signal.name)
+    result = run_backtests(weights, config["data.price"], config.costs(), config["backtest.initial_cash"], config["backtest.rebalance_frequency"])
     return result, performance(result.snapshots)
 
 

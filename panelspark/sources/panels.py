@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import half_up, nan_to_null
 
+from .tables import written
+
 PANEL_KEYS = ("date", "ticker")
 OHLCV = "date date, ticker string, open double, high double, low double, close double, adj_close double, volume long, volume_split_adjusted double"
 #: Canonical names of tickers that changed, and ids that no provider may deliver.
@@ -116,7 +118,8 @@ def synthetic_ohlcv(spark: SparkSession, tickers: list[str], sessions: list[date
 
 
 def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly bars of line items by brand: the price is the mean unit price, rounded; volume is the quantity."""
+    """Weekly bars of line items by brand: the price is the mean unit price, rounded; volume is the quantity. Bars are
+    written once, so that listing their dates does not scan the items again."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
@@ -124,7 +127,7 @@ def lineitem_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = items.join(parts, "l_partkey").groupBy(week, "ticker").agg(
         half_up(F.avg(unit), 4).alias("adj_close"), F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").cast("double").alias("volume"),
     )
-    return with_session_idx(bars)
+    return with_session_idx(written(bars))
 
 
 def file_key(path: str) -> str:
