@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 CASH = 1e7
 DUST_NOTIONAL = 10.0
 DUST_SHARES = 1e-6
+#: A change of equity by this share or less is what sums of doubles leave, and no return.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
@@ -111,12 +113,13 @@ class Ledger:
         long, short = sum(v for v in values.values() if v > 0), -sum(v for v in values.values() if v < 0)
         before, self.equity = self.equity, self.cash + sum(values.values())
         up = self.equity > 0
+        change = self.equity - before if abs(self.equity - before) > ROUNDING * before else 0.0
         traded = sum(f["fill_price"] * f["quantity"] for f in fills)
         cost = {k: sum(f[k] for f in fills) for k in ("commission", "slippage_cost", "spread_cost")}
         snapshot = {
             "date": date, "equity": self.equity, "cash": self.cash, "holdings_value": long - short,
             "gross_exposure": (long + short) / self.equity if up else 0.0, "net_exposure": (long - short) / self.equity if up else 0.0,
-            "cash_ratio": self.cash / self.equity if up else 1.0, "daily_return": (self.equity - before) / before if before > 0 else 0.0,
+            "cash_ratio": self.cash / self.equity if up else 1.0, "daily_return": change / before if before > 0 else 0.0,
             "turnover": traded / self.equity if up else 0.0, **cost, "total_cost": sum(cost.values()),
         }
         held = [{"date": date, "ticker": t, "shares": n, "weight": values.get(t, 0.0) / self.equity if up else 0.0} for t, n in sorted(self.shares.items())]
@@ -159,6 +162,8 @@ def simulate(pdf: pd.DataFrame, costs: CostModel, cash: float = CASH, every: int
         out += [{"kind": "fill", **f} for f in fills]
         out += [{"kind": "holding", **h} for h in held]
     df = pd.DataFrame(out, columns=["kind", "date", "ticker", "direction", *NUMBERS])
+    for c in ("ticker", "direction"):  # also where no row has any
+        df[c] = df[c].astype(object).where(df[c].notna(), None)
     return df.astype({c: "float64" for c in NUMBERS})
 
 

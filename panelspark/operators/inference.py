@@ -38,11 +38,11 @@ def hac_lag(n: int) -> int:
     return max(1, math.floor(4.0 * (n / 100.0) ** (2.0 / 9.0)))
 
 
-def hac_variance(series: DataFrame, value: str, lags: int, order: str = "date", keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+def hac_variance(series: DataFrame, value: str, lags: int, order: str = "date", keys: Sequence[str] = (), more: Sequence[Column] = (), carried: Sequence[str] = ()) -> DataFrame:
     """(keys, n, mean, std, hac_se, more) with Bartlett weights up to lags valid rows (at most n - 1). Autocovariances
     are over n; their weighted sum is held at 1e-14 or more. A series without valid rows has n 0 and NULLs. more: other
-    aggregates of the value v."""
-    x = series.select(*keys, order, F.col(value).cast("double").alias("v"))
+    aggregates, of the value v or of carried columns."""
+    x = series.select(*keys, order, *carried, F.col(value).cast("double").alias("v"))
     own = Window.partitionBy(*keys, F.col("v").isNull())
     x = x.withColumn("e", F.col("v") - F.avg("v").over(own))
     w = own.orderBy(order)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
 
 import numpy as np
@@ -46,6 +47,9 @@ class LinearModel(BaseModel):
 
     def fit(self, df: DataFrame, features: list[str], target: str) -> LinearModel:
         n, means, cross = moments(df, features, target)
+        if not n:  # nothing is known, and predictions are NULL
+            self.features, self.coefficients, self.intercept = list(features), np.full(len(features), np.nan), math.nan
+            return self
         sd = np.sqrt(np.diag(cross)[:-1])
         sd = np.where(sd > 0, sd, 1.0)
         a, b = cross[:-1, :-1] / np.outer(sd, sd), cross[:-1, -1] / sd
@@ -67,6 +71,8 @@ class LinearModel(BaseModel):
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        if math.isnan(self.intercept):
+            return df.withColumn("prediction", F.lit(None).cast("double"))
         out = F.lit(self.intercept)
         for c, w in zip(self.features, self.coefficients):
             out = out + F.col(c) * F.lit(float(w))
@@ -128,7 +134,7 @@ def compare_with_baseline(df: DataFrame, signal: str, baseline: str, target: str
     a = daily_ic(df, signal, target).select("date", F.col("ic").alias("a"))
     b = daily_ic(df, baseline, target).select("date", F.col("ic").alias("b"))
     both = a.join(b, "date").where("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
-    means = both.agg(F.avg("a"), F.avg("b")).first()
-    r = hac_variance(both, "d", lags).first()
+    # one pass: means ride along with the difference's variance
+    r = hac_variance(both, "d", lags, carried=("a", "b"), more=[F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b")]).first()
     t = r["mean"] / r["hac_se"] if r["n"] > 1 and r["hac_se"] > 1e-12 else 0.0
-    return {"mean_ic": means[0], "baseline_ic": means[1], "delta_ic": r["mean"], "t": t, "p": t_two_sided(t, r["n"] - 1) if t else 1.0, "n": r["n"]}
+    return {"mean_ic": r["mean_a"], "baseline_ic": r["mean_b"], "delta_ic": r["mean"], "t": t, "p": t_two_sided(t, r["n"] - 1) if t else 1.0, "n": r["n"]}

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from panelspark.operators import execution, features, inference, learning, metri
 from panelspark.sources import calendar
 from panelspark.sources.panels import canonical_ticker, lineitem_panel, synthetic_ohlcv
 
+from . import ledger_sql
 from .research import horizon_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -378,9 +380,14 @@ def _weights(spark, sf):
     return portfolio.SignalWeightedLongShort().construct(_signals(spark, sf), "mean_reversion_signal").select("date", "ticker", "adj_close", "target_weight")
 
 
-@query("weights_projected")
+#: No raw weight reaches the limit of 0.10 here, and ranks are symmetric: clipping at 0.05 leaves sums of zero, and is the projection.
+WEIGHTS_SQL = SIGNAL_SQL + """, x0 AS (SELECT date, ticker, adj_close, mean_reversion_signal AS x, mean_reversion_signal - avg(mean_reversion_signal) OVER d AS e, count(mean_reversion_signal) OVER d AS n FROM s WINDOW d AS (PARTITION BY date)), x1 AS (SELECT *, sum(abs(e)) OVER (PARTITION BY date) AS g FROM x0),
+ws AS (SELECT date, ticker, adj_close, CASE WHEN x IS NOT NULL THEN CASE WHEN n < 5 OR g < 1e-12 THEN 0.0 ELSE e / g END END AS target_weight FROM x1)"""
+
+
+@query("weights_projected", WEIGHTS_SQL + " SELECT date, ticker, round(CASE WHEN target_weight IS NOT NULL THEN least(0.05, greatest(-0.05, target_weight)) END, 6) + 0.0 AS target_weight FROM ws")
 def weights_projected(spark, sf):
-    return portfolio.SignalWeightedLongShort(max_position=0.05).construct(_signals(spark, sf), "mean_reversion_signal").select("date", "ticker", "target_weight")
+    return rounded(portfolio.SignalWeightedLongShort(max_position=0.05).construct(_signals(spark, sf), "mean_reversion_signal").select("date", "ticker", "target_weight"))
 
 
 @query("cost_fills", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in {"fill_price": "CASE WHEN l_returnflag = 'R' THEN greatest((l_extendedprice / l_quantity) * (1 - 0.001), 0.01) ELSE (l_extendedprice / l_quantity) * (1 + 0.001) END", "commission": "(l_extendedprice / l_quantity) * l_quantity * 0.0005", "spread_cost": "(l_extendedprice / l_quantity) * l_quantity * 0.0005", "slippage_cost": "(l_extendedprice / l_quantity) * l_quantity * 0.0005"}.items()) + " FROM lineitem")
@@ -391,48 +398,76 @@ def cost_fills(spark, sf):
     return rounded(items.select("l_orderkey", "l_linenumber", *(c.alias(k) for k, c in cost.items())), 5)
 
 
-@query("backtest_ledger")
+def runs_sql(rows: str) -> str:
+    return (WEIGHTS_SQL + ledger_sql.ledger(rows)).replace("WITH bars", "WITH RECURSIVE bars", 1) + ledger_sql.snapshots()
+
+
+MONEY = ("equity", "cash", "holdings_value", "commission", "slippage_cost", "spread_cost", "total_cost")
+SHARES = ("gross_exposure", "net_exposure", "cash_ratio", "daily_return", "turnover")
+
+
+def _rounded_metrics(df):
+    return rounded(df, 5, total_cost_usd=1, cost_drag_bps=2)
+
+
+@query("backtest_ledger", runs_sql(ledger_sql.costed("ws")) + " SELECT run_id, " + out("date", *MONEY, digits=2) + ", " + out("", *SHARES, digits=6)[2:] + " FROM sn")
 def backtest_ledger(spark, sf):
-    return execution.run_backtests(_weights(spark, sf)).snapshots
+    return rounded(execution.run_backtests(_weights(spark, sf)).snapshots, 6, **dict.fromkeys(MONEY, 2))
 
 
-@query("backtest_fills")
+@query("backtest_fills", runs_sql(ledger_sql.costed("ws")) + ledger_sql.fills() + " SELECT run_id, " + out("date, ticker, direction", "quantity", "reference_price", "fill_price", "commission", "spread_cost", "slippage_cost", digits=2) + ", round(target_weight, 6) + 0.0 AS target_weight FROM fl")
 def backtest_fills(spark, sf):
-    return execution.run_backtests(_weights(spark, sf)).fills
+    return rounded(execution.run_backtests(_weights(spark, sf)).fills, 2, target_weight=6)
 
 
-@query("backtest_metrics")
+@query("backtest_metrics", runs_sql(ledger_sql.costed("ws")) + ledger_sql.metrics() + f" SELECT {ledger_sql.rounded_metrics()} FROM pm")
 def backtest_metrics(spark, sf):
-    return metrics.performance(execution.run_backtests(_weights(spark, sf)).snapshots)
+    return _rounded_metrics(metrics.performance(execution.run_backtests(_weights(spark, sf)).snapshots))
 
 
-@query("cost_sensitivity")
+REGIMES = {k: (m.commission_bps, m.spread_bps, m.slippage_bps) for k, m in execution.COST_REGIMES.items()}
+GROSS = ", sg AS (SELECT * EXCLUDE (gross_return), split_part(run_id, '/', 2) AS cost, max(daily_return) FILTER (run_id LIKE '%/zero') OVER (PARTITION BY date) AS gross_return FROM sn)"
+
+
+@query("cost_sensitivity", runs_sql(ledger_sql.costed("ws", costs=REGIMES)) + GROSS + ledger_sql.metrics("sg", "cost") + f" SELECT {ledger_sql.rounded_metrics('cost')} FROM pm")
 def cost_sensitivity(spark, sf):
-    return validation.cost_sensitivity(_weights(spark, sf))
+    return _rounded_metrics(validation.cost_sensitivity(_weights(spark, sf)))
+
+
+#: The brands of the driver's tables.
+BRANDS = sorted(f"Brand#{k}" for k in range(1, 26))
+DROPPED = ", ".join(f"('{k}', {out_})" for k, out_ in validation.dropped_tickers(BRANDS).items())
 
 
-@query("asset_drop_stability")
+@query("asset_drop_stability", runs_sql(ledger_sql.costed(f"(SELECT ws.*, run FROM ws JOIN (VALUES {DROPPED}) j(run, left_out) ON NOT list_contains(left_out, ticker))", "run")) + ledger_sql.metrics() + f" SELECT {ledger_sql.rounded_metrics()} FROM pm")
 def asset_drop(spark, sf):
-    return validation.asset_drop_stability(_weights(spark, sf))
+    return _rounded_metrics(validation.asset_drop_stability(_weights(spark, sf)))
 
 
-@query("subperiods")
+@query("subperiods", runs_sql(ledger_sql.costed("ws", "CASE WHEN date < DATE '1999-01-01' THEN 'pre' ELSE 'post' END")) + ledger_sql.metrics() + f" SELECT {ledger_sql.rounded_metrics()} FROM pm")
 def subperiods(spark, sf):
-    return validation.subperiods(_weights(spark, sf), "1999-01-01")
+    return _rounded_metrics(validation.subperiods(_weights(spark, sf), "1999-01-01"))
 
 
 def _windows():
     return tuple(validation.WalkForwardWindow(k, "1995-01-01", f"{1996 + k}-12-31", f"{1997 + k}-01-01", f"{1997 + k}-12-31", k == 3) for k in (1, 2, 3))
 
 
-@query("walk_forward")
+PARTS = ", ".join(f"('w{w.id}/is', DATE '{w.train_start}', DATE '{w.train_end}'), ('w{w.id}/oos', DATE '{w.test_start}', DATE '{w.test_end}')" for w in _windows())
+WINDOWED = runs_sql(ledger_sql.costed(f"(SELECT ws.*, run FROM ws JOIN (VALUES {PARTS}) j(run, a, b) ON date BETWEEN a AND b)", "run"))
+
+
+@query("walk_forward", WINDOWED + ledger_sql.metrics() + f" SELECT {ledger_sql.rounded_metrics()} FROM pm")
 def walk_forward(spark, sf):
-    return validation.walk_forward(_weights(spark, sf), _windows()).metrics
+    return _rounded_metrics(validation.walk_forward(_weights(spark, sf), _windows()).metrics)
+
+
+MOMENTS = ", b0 AS (SELECT run_id, daily_return AS r, avg(daily_return) OVER (PARTITION BY run_id) AS a FROM sn), mo AS (SELECT run_id, count(*) AS n, avg(r) AS mean, stddev_samp(r) AS std, coalesce(avg(pow(r - a, 3)) / nullif(pow(avg(pow(r - a, 2)), 1.5), 0), 0) AS skew, coalesce(avg(pow(r - a, 4)) / nullif(pow(avg(pow(r - a, 2)), 2), 0), 3) AS kurtosis FROM b0 GROUP BY run_id)"
 
 
-@query("sharpe_probabilities")
+@query("sharpe_probabilities", WINDOWED + MOMENTS + f" SELECT run_id, round({ledger_sql.sharpe_probability(0.0)}, 6) + 0.0 AS psr, round({ledger_sql.sharpe_probability(metrics.expected_best_sharpe(10))}, 6) + 0.0 AS dsr FROM mo")
 def sharpe(spark, sf):
-    return validation.walk_forward(_weights(spark, sf), _windows(), trials=10).probabilities
+    return rounded(validation.walk_forward(_weights(spark, sf), _windows(), trials=10).probabilities)
 
 
 # Metrics and regimes over the market proxy
@@ -525,19 +560,71 @@ def _split(spark, sf):
 def ols_univariate(spark, sf):
     df = features.compute_features(lineitem_panel(spark, sf)).dropna(subset=["zscore_price_20", "fwd_ret_1d"])
     m = learning.LinearModel().fit(df, ["zscore_price_20"], "fwd_ret_1d")
-    return spark.createDataFrame([tuple(math.floor(float(x) * 1e6 + 0.5) / 1e6 for x in (m.coefficients[0], m.intercept))], "slope double, intercept double")
+    return spark.createDataFrame([tuple(None if math.isnan(x) else math.floor(float(x) * 1e6 + 0.5) / 1e6 for x in (m.coefficients[0], m.intercept))], "slope double, intercept double")
+
+
+ML_FEATURES = ("ret_20d", "zscore_price_20", "realized_vol_60", "relative_volume")
 
 
 def _learned(model):
     def run(spark, sf):
         df = features.compute_features(lineitem_panel(spark, sf))
-        return learning.train_and_predict(df, model, *_split(spark, sf), target="fwd_ret_5d", features=("ret_20d", "zscore_price_20", "realized_vol_60", "relative_volume")).select("date", "ticker", "prediction", "ml_signal")
+        got = learning.train_and_predict(df, model, *_split(spark, sf), target="fwd_ret_5d", features=ML_FEATURES).select("date", "ticker", "prediction", "ml_signal")
+        return got if model == "xgboost" else rounded(got)
 
     return run
 
 
-for _name in ("ols", "ridge", "lasso", "xgboost"):
-    query(f"ml_{_name}")(_learned(_name))
+def learned_sql(**penalty: float) -> str:
+    """Fitted on dates up to the first of _split()."""
+    a, b, c = _split(None, None)
+    train = f"(SELECT * FROM f WHERE date <= DATE '{a}')"
+    model = ledger_sql.linear_model(train, ML_FEATURES, "fwd_ret_5d", **penalty)
+    tested = f", t0 AS (SELECT date, ticker, CASE WHEN {' AND '.join(f'{x} IS NOT NULL' for x in ML_FEATURES)} THEN {ledger_sql.prediction(ML_FEATURES)} END AS prediction FROM f, lm WHERE date BETWEEN DATE '{b}' AND DATE '{c}'), t1 AS (SELECT *, count(prediction) OVER (PARTITION BY date) AS n, {rank_of('prediction')} AS r FROM t0)"
+    sql = BASE + model + tested + " SELECT date, ticker, round(prediction, 6) + 0.0 AS prediction, round(CASE WHEN prediction IS NOT NULL THEN CASE WHEN n < 2 THEN 0 ELSE 2 * (r - 1) / (n - 1) - 1 END END, 6) + 0.0 AS ml_signal FROM t1"
+    return sql.replace("WITH bars", "WITH RECURSIVE bars", 1)
+
+
+for _name, _penalty in {"ols": {}, "ridge": {"ridge": 1.0}, "lasso": {"lasso": 0.001}}.items():
+    query(f"ml_{_name}", learned_sql(**_penalty))(_learned(_name))
+query("ml_xgboost")(_learned("xgboost"))
+
+
+def two_ics_sql(source: str, a: str, b: str, target: str, lags: int) -> str:
+    """dh: mean ICs of columns a and b of source, and the HAC t of their daily difference."""
+    one = lambda x, name: f""", {name}0 AS (SELECT date, {x} AS x0, {target} AS y0 FROM {source} WHERE {x} IS NOT NULL AND {target} IS NOT NULL), {name}1 AS (SELECT date, {rank_of("x0")} AS x, {rank_of("y0")} AS y FROM {name}0),
+ {name} AS (SELECT date, CASE WHEN count(*) >= 5 THEN CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN 0.0 ELSE covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END END AS ic FROM {name}1 GROUP BY date)"""
+    both = ", dd AS (SELECT date, ia.ic AS a, ib.ic AS b, ia.ic - ib.ic AS d FROM ia JOIN ib USING (date) WHERE ia.ic IS NOT NULL AND ib.ic IS NOT NULL)"
+    return one(a, "ia") + one(b, "ib") + both + hac_sql("dd", "d", lags) + ", dm AS (SELECT avg(a) AS mean_ic, avg(b) AS baseline_ic FROM dd)"
+
+
+def _ml_signals(spark, sf):
+    df = _signals(spark, sf)
+    return learning.train_and_predict(df, "ridge", *_split(spark, sf), target="fwd_ret_5d", features=ML_FEATURES)
+
+
+ML_BOTH = SIGNAL_SQL + ledger_sql.linear_model(f"(SELECT * FROM f WHERE date <= DATE '{_split(None, None)[0]}')", ML_FEATURES, "fwd_ret_5d", ridge=1.0) + f", u0 AS (SELECT f.date, f.ticker, s.mean_reversion_signal, f.fwd_ret_5d, {ledger_sql.prediction(tuple(f'f.{x}' for x in ML_FEATURES))} AS ml FROM f JOIN s USING (date, ticker), lm WHERE f.date BETWEEN DATE '{_split(None, None)[1]}' AND DATE '{_split(None, None)[2]}')"
+
+
+@query("ml_comparison", ML_BOTH + two_ics_sql("u0", "ml", "mean_reversion_signal", "fwd_ret_5d", 5) + " SELECT h.n, round(mean_ic, 6) + 0.0 AS mean_ic, round(baseline_ic, 6) + 0.0 AS baseline_ic, round(mean, 6) + 0.0 AS delta_ic, round(CASE WHEN hac_se > 1e-12 THEN mean / hac_se ELSE 0 END, 5) + 0.0 AS t FROM h, dm")
+def ml_comparison(spark, sf):
+    got = learning.compare_with_baseline(_ml_signals(spark, sf), "ml_signal", "mean_reversion_signal", "fwd_ret_5d", 5)
+    return rounded(spark.createDataFrame([tuple(got[k] for k in ("n", "mean_ic", "baseline_ic", "delta_ic", "t"))], "n long, mean_ic double, baseline_ic double, delta_ic double, t double"), t=5)
+
+
+@query("pnl_bootstrap")
+def pnl_bootstrap(spark, sf):
+    """Confidence intervals of the Sharpe ratio and CAGR of the backtest's daily returns."""
+    days = execution.run_backtests(_weights(spark, sf)).snapshots.select("date", "daily_return").orderBy("date").collect()  # a row a session
+    got = validation.pnl_bootstrap(np.array([r["daily_return"] for r in days]))
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in got.items()], "metric string, low double, high double")
+
+
+@query("integrity_audit", runs_sql(ledger_sql.costed("ws")) + ledger_sql.fills() + """, ff AS (SELECT min(date) AS first FROM sn), v AS (SELECT run_id, date, 'trade_on_first_session' AS problem FROM fl, ff WHERE date <= first UNION ALL SELECT run_id, date, 'trade_after_termination' FROM fl WHERE ticker = 'Brand#1' AND date > DATE '1998-06-16'
+ UNION ALL SELECT run_id, date, 'blocked_ticker' FROM fl WHERE ticker IN ('Brand#2', 'Brand#3') UNION ALL SELECT run_id, date, 'gross_exposure' FROM sn WHERE gross_exposure > 1.1 UNION ALL SELECT run_id, date, 'net_exposure' FROM sn WHERE abs(net_exposure) > 0.2 UNION ALL SELECT run_id, date, 'books' FROM sn WHERE abs(equity - cash - holdings_value) > 1e-4) SELECT * FROM v""")
+def integrity_audit(spark, sf):
+    result = execution.run_backtests(_weights(spark, sf))
+    return validation.integrity_violations(result, 1.1, {"Brand#1": date(1998, 6, 15)}, ("Brand#2", "Brand#3"), 0.2)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

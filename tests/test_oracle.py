@@ -1,4 +1,4 @@
-"""Every panel query with SQL gives the same rows on both engines (driver tables at the smallest size)."""
+"""Every panel query with SQL gives the same rows on both engines (driver tables at two sizes)."""
 
 import os
 
@@ -7,22 +7,23 @@ import pytest
 
 from panelspark.plans.queries import ORACLE_SQL, QUERIES
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SIZES = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001,/root/testdata/sf0.01").split(",")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ("panel_bars", "returns", "rolling_features", "signals", "daily_ic", "ic_summary", "quintile_spread", "weights_equal", "benjamini_hochberg", "calendar_sessions", "performance_metrics", "composite_regime")
 
 
 def plain(v):
     return None if v is None or v != v else float(v) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
-@pytest.mark.parametrize("name", SOME)
-def test_same_rows(spark, name):
+@pytest.mark.parametrize("sf", SIZES)
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_same_rows(spark, name, sf):
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    df = QUERIES[name](spark, SF)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = con.execute(ORACLE_SQL[name])
     assert sorted(d[0] for d in got.description) == columns
