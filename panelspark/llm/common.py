@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from sys import getsizeof
 
@@ -13,69 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.sources.tables import Scratch, remove_tables, shared_folder, written
+
 #: Words are runs of anything but these characters.
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
+__all__ = ["Scratch", "remove_tables", "shared_folder", "written"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 #: Bits of with_maybe()'s filter: 4 MB at most, whatever the input.
 FILTER_BITS = 1 << 25
-
-
-def application_folder(spark: SparkSession) -> str:
-    """This application's part of the folder that driver and executors share (spark.checkpoint.dir)."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="panelspark-shared-")  # one machine, as in tests
-        sc.setCheckpointDir(root)
-    root = re.sub("^(file:)?/+", "file:///", root.rstrip("/"))  # local paths as URIs that pyarrow reads, too
-    return f"{root}/panelspark-{sc.applicationId}"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{application_folder(spark)}/{uuid.uuid4().hex}"
-
-
-def remove_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def remove_tables(spark: SparkSession) -> None:
-    """Removes all tables that the operators have written for this application. Results that are not yet written out
-    are read from them: call it when the results of all queries are."""
-    remove_folder(spark, application_folder(spark))
-
-
-def written(df: DataFrame, folder: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder}/{uuid.uuid4().hex}" if folder else shared_folder(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables that only the steps up to a written result need; remove() removes them all."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, shared_folder(spark)
-
-    def written(self, df: DataFrame) -> DataFrame:
-        return written(df, self.folder)
-
-    def remove(self) -> None:
-        remove_folder(self.spark, self.folder)
-
-
 #: Spark's own bound on the bytes that a Python worker is sent at once, and ours.
 BATCH_DEFAULT, BATCH_BYTES = "67108864b", "4m"
 
