@@ -4,7 +4,7 @@ Statistics are computed row by row, without a shuffle. For words that repeat, th
 are compared; only texts that hold an equal pair sort them.
 
 The list is learned by sequential covering. From a sample of labelled rows of a fixed size (max_train, the rows with
-the least hashes of their ids) each rule is grown on one part, one threshold condition at a time by information gain
+the least hashes of their ids; equal rows once) each rule is grown on one part, one threshold condition at a time by information gain
 (FOIL), pruned on the other part by (right - wrong) / covered, and taken if it is right often enough there; the rows
 that it covers go, and the next rule is grown. Rules and the default become one nested CASE expression.
 
@@ -37,8 +37,15 @@ def words_of(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words that lie in a WINDOW-word window whose words occur again in the text, first occurrences included."""
 
+    def doubled(h: Column, step: int) -> Column:
+        """Hashes of windows of two times step words from those of step words, of which there are step fewer."""
+        return let(h, lambda w: F.transform(F.slice(w, F.lit(1), F.size(w) - step), lambda x, i: F.xxhash64(x, F.get(w, i + step))))
+
     def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+        step = 1
+        while step < WINDOW:  # a power of two
+            h, step = doubled(h, step), 2 * step
+        return h
 
     def covered(w: Column) -> Column:
         def at(s: Column) -> Column:
@@ -216,7 +223,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 6000, id_col: str =
     some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id")
     of = rule_statistics()
     stats = base_statistics(some.select("doc_id", "text")).join(F.broadcast(sample), "doc_id")
-    got = stats.select("doc_id", F.col("y").cast("int").alias("y"), *(c.alias(k) for k, c in of.items())).collect()
+    rows = stats.select("doc_id", F.col("y").cast("int").alias("y"), *(c.alias(k) for k, c in of.items())).distinct()
+    got = rows.orderBy(F.xxhash64("doc_id"), *rows.columns).limit(max_train).collect()  # ids may stand for many rows
     rows = sorted(got, key=lambda r: (crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
     return learn([({k: r[k] for k in of}, r["y"] > 0) for r in rows], list(of), **options)
 
