@@ -130,7 +130,8 @@ class ExperimentConfig(Mapping):
         from panelspark.operators.execution import CostModel, get_cost_model
 
         own = self.section("costs")
-        return get_cost_model(own["regime"]) if own.pop("regime") else CostModel(**own)
+        regime = own.pop("regime")
+        return get_cost_model(regime) if regime else CostModel(**own)
 
     def constructor(self):
         from panelspark.operators.portfolio import EqualWeightLongShort, get_portfolio_constructor
