@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
 from .ann import nearest
 from .common import table
 from .mixing import mix
@@ -95,4 +96,33 @@ k AS (SELECT * EXCLUDE (rate, u), len(list_filter(range(0, 60), lambda j: list_s
 e AS (SELECT * EXCLUDE (k), CAST(unnest(range(1, k + 1)) AS INTEGER) AS replica FROM k)
 SELECT *, CAST('0x' || substr(md5('20240:order:' || replica || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS shuffle_key FROM e"""
 
-ORACLE_SQL: dict[str, str] = {"op1_nearest_neighbours": NEAREST_SQL, "op9_poisson_mixing": MIXING_SQL}
+#: Sets of word pairs, documents that share a pair, and what they reach. chr(1) stands between words.
+NEAR_DEDUP_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, rid, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || chr(1) || w[i + 1])) END AS g FROM w),
+e AS MATERIALIZED (SELECT rid, len(g) AS n, unnest(g) AS s FROM g),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.s = b.s AND a.rid < b.rid AND a.n * 100 >= b.n * 80 AND b.n * 100 >= a.n * 80 GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 80 * (na + nb - shared) UNION ALL SELECT b, a FROM p WHERE 100 * shared >= 80 * (na + nb - shared)),
+r AS (SELECT rid AS a, rid AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT r.a AS rid, min(doc_id) AS component_id FROM r JOIN g ON r.b = g.rid GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM g JOIN c USING (rid)"""
+
+
+def _matches_sql(kind: int, pattern: str, group: int = 0) -> str:
+    pattern = pattern.replace("'", "''")
+    pieces = f"string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS v"
+    return f"SELECT rid, {kind} AS kind, p, m, v, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, {pieces} FROM d)"
+
+
+#: A match begins after the pieces between matches, and the matches, before it.
+SECRETS_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+x AS ({" UNION ALL ".join((_matches_sql(0, secrets.ASSIGN, 1), _matches_sql(1, secrets.ACCESS), _matches_sql(2, secrets.HEX), _matches_sql(3, secrets.CANDIDATE)))}),
+y AS (SELECT rid, kind, m[i] AS m, v[i] AS v, coalesce(list_sum(list_transform(p[1:i], lambda q: length(q))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda q: length(q))), 0) AS a FROM x),
+z AS MATERIALIZED (SELECT rid, kind, CAST(a AS BIGINT) AS a, CAST(a AS BIGINT) + length(m) AS b, v FROM y WHERE CASE kind WHEN 0 THEN length(v) >= 12 WHEN 3 THEN regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10 ELSE true END),
+s AS (SELECT * FROM z WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM z o WHERE o.rid = z.rid AND o.kind < 3 AND o.a < z.b AND z.a < o.b)),
+n AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners, count(DISTINCT coalesce(source, chr(0)) || chr(1) || coalesce(CAST(doc_id AS VARCHAR), '')) AS n_repos FROM s JOIN d USING (rid) GROUP BY v),
+k AS (SELECT s.*, n_owners, n_repos, n_owners >= 3 OR n_repos >= 20 AS copied, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || a || ':' || b AS said FROM s JOIN n USING (v)),
+o AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(said, ',' ORDER BY a, kind, b) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY a, kind, b) FILTER (kind < 3 OR NOT copied) AS spans, string_agg(said, ',' ORDER BY a, kind, b) FILTER (NOT copied) AS live,
+ count(*) FILTER (kind = 3 AND NOT copied) AS n_owned, count(*) FILTER (copied) AS n_copied, max(n_repos) AS n_repos, max(n_owners) AS n_owners FROM k GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_copied", "n_repos", "n_owners"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, '') AS live FROM d LEFT JOIN o USING (rid)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_nearest_neighbours": NEAREST_SQL, "op3_setsketch_near_dedup": NEAR_DEDUP_SQL, "op6_secret_scan": SECRETS_SQL, "op9_poisson_mixing": MIXING_SQL}
