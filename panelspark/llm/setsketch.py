@@ -323,6 +323,12 @@ def _tiles(rows: DataFrame, key: str, blocks, *columns: str) -> DataFrame:
     return rows.select(key, *columns, F.explode(to).alias("t")).select(key, "t.x", "t.y", "t.side", *columns)
 
 
+def _spread(tiles: DataFrame, *keys: str) -> DataFrame:
+    """tiles by keys in as many partitions as shuffles have: what a tile costs is comparisons, not the bytes by which
+    Spark would put partitions together."""
+    return tiles.repartition(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _sides(key, t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
     if key[1].as_py() == key[2].as_py():
         return np.arange(t.num_rows), np.arange(t.num_rows), True
@@ -359,7 +365,7 @@ def _likely_links(dealt: DataFrame, found: DataFrame, nodes: DataFrame, threshol
             out.append((node[i], node[j]))
         return _pairs(out)
 
-    return tiles.groupBy("bucket", "x", "y").applyInArrow(test, "a long, b long").distinct()
+    return _spread(tiles, "bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(test, "a long, b long").distinct()
 
 
 def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -388,4 +394,4 @@ def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: D
                 out.append((node[i], node[j]))
         return _pairs(out)
 
-    return scratch.written(tiles.groupBy("cluster", "x", "y").applyInArrow(test, "a long, b long").distinct())
+    return scratch.written(_spread(tiles, "cluster", "x", "y").groupBy("cluster", "x", "y").applyInArrow(test, "a long, b long").distinct())
