@@ -10,8 +10,13 @@ Parquet and read again as the next one's docs. All but the last return the colum
     mixing       repeats or leaves out documents so that sources get their target shares, and shuffles
     packing      packs all that is left into sequences of 1024 tokens
 
-ORACLE_SQL is None, as SQL can express neither the model, the sketches nor the tokenizer; tests/llm tests which
-documents each stage keeps, and the number of rows of run(); there is no brute-force version yet.
+Odd rows: null, empty and word-less texts are clean, no copies of each other and hold no secrets, and are packed as
+the end id alone; null ids and repeated rows are rows of their own, except that near_dedup keeps one of equal texts and
+mixing draws for each by itself; null sources are a source; other columns are kept as they are (but for names that
+begin with __); no documents give no sequences.
+
+ORACLE_SQL is None, as SQL can express neither the model nor the tokenizer; tests/llm/test_whole_pipeline.py holds
+each stage's rows, and those of run(), against a plain-Python version of all five.
 """
 
 from __future__ import annotations
@@ -45,7 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # beside what earlier stages have made of the executors' heaps, less memory for the encoder's caches
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_bytes=40 << 20)
 
 
 STAGES = [

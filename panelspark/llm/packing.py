@@ -26,19 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, type_of
-from .token_ids import token_ids
+from .token_ids import CACHE_BYTES, token_ids
 
 PIECES = "id {}, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = "id {}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 OUT_ROWS = 20_000
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """A row for each piece. A longer document is cut so that all pieces but the first are full."""
     bound_batches(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_ids(tokenizer_path).encode
+        encode = token_ids(tokenizer_path, cache_bytes).encode
         end = end_id.to_bytes(4, "little")
         salt = TaskContext.get().partitionId() << 40
         names = ["id", "piece", "start", "length", "ids_crc32", "salt"]
@@ -158,8 +158,8 @@ def pack(pieces: DataFrame, buckets: int, capacity: int, max_docs: int | None =
     return dealt.mapInArrow(bins, PACKED.format(type_of(pieces, "id")))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 8192, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.01, 0.01), rule: str = "norm", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 8192, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.01, 0.01), rule: str = "norm", id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     buckets = max(1, math.ceil(docs.count() / bucket_rows))
-    pieces = cut_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)
+    pieces = cut_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, cache_bytes)
     return pack(pieces, buckets, capacity, max_docs, max_attention, weights, rule).withColumnRenamed("id", id_col)

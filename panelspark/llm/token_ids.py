@@ -23,6 +23,7 @@ WHITE_CHARS = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u
 PARTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 BOUNDARY = re.compile(f"(?<=[^{WHITE}]) ")
 CHUNK_CHARS = 1 << 20
+CACHE_BYTES = 72 << 20
 #: Marks that are a pre-token of their own after letters, in both kinds of file.
 MARKS = frozenset(".,;:!?")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -34,8 +35,8 @@ SPACE = SIGNS[32]
 class Pieces(SegmentCache):
     """parts(key): the value put together from parts' values, or None where a key is one piece."""
 
-    def __init__(self, parts, make):
-        super().__init__(make, limit=40 << 20)
+    def __init__(self, parts, make, limit: int):
+        super().__init__(make, limit)
         self.parts = parts
 
     def __missing__(self, key):
@@ -50,7 +51,7 @@ class Pieces(SegmentCache):
 class TokenIds:
     """encode(text) -> bytes of its ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -65,8 +66,8 @@ class TokenIds:
         # the word kind: white space is made one space and then dropped
         self.drops = not byte_level and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
         self.cuts = byte_level or self.drops
-        self.first = Pieces(self._first_of, self._encode_first)
-        self.spaced = self.first if self.drops else Pieces(self._spaced_of, self._encode_spaced)
+        self.first = Pieces(self._first_of, self._encode_first, cache_bytes)
+        self.spaced = self.first if self.drops else Pieces(self._spaced_of, self._encode_spaced, cache_bytes)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -136,5 +137,6 @@ class TokenIds:
             return b"".join(map(self.first.__getitem__, PARTS.findall(text if starts else " " + text)))
 
 
-def token_ids(path: str) -> TokenIds:
-    return only_in_worker(("ids", path), lambda: TokenIds(path))
+def token_ids(path: str, cache_bytes: int = CACHE_BYTES) -> TokenIds:
+    """The encoder of this worker. cache_bytes: of each generation of each of its two caches."""
+    return only_in_worker(("ids", path, cache_bytes), lambda: TokenIds(path, cache_bytes))
