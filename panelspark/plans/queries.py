@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import half_up, rounded
-from panelspark.operators import execution, features, inference, learning, metrics, portfolio, quality, regimes, resampling, signals, stationarity, validation
+from panelspark.operators import execution, features, inference, learning, metrics, portfolio, quality, regimes, resampling, reshape, signals, stationarity, validation
 from panelspark.sources import calendar
-from panelspark.sources.panels import canonical_ticker, lineitem_panel, synthetic_ohlcv
+from panelspark.sources.panels import BLOCKED_TICKERS, canonical_ticker, lineitem_panel, provider_ticker, synthetic_ohlcv
 
 from . import ledger_sql
 from .research import horizon_profile
@@ -122,6 +122,39 @@ def ticker_mapping(spark, sf):
     return spark.read.parquet(f"{sf}/part.parquet").select(canonical_ticker(F.col("p_brand")).alias("ticker")).distinct()
 
 
+#: Brands stand for tickers that were renamed, one that a provider writes otherwise, and one that no provider may deliver.
+GIVEN = {"Brand#1": " brk-b", "Brand#2": "META", "Brand#3": "bny ", "Brand#4": "RTX", "Brand#5": "EMC"}
+
+
+@query("ticker_aliases", "WITH g AS (SELECT DISTINCT upper(trim(CASE p_brand " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in GIVEN.items()) + " ELSE p_brand END)) AS t FROM part), c AS (SELECT CASE t WHEN 'BRK-B' THEN 'BRK.B' WHEN 'META' THEN 'FB' WHEN 'BNY' THEN 'BK' WHEN 'RTX' THEN 'UTX' ELSE t END AS ticker FROM g WHERE t <> 'EMC') SELECT ticker, CASE ticker WHEN 'BRK.B' THEN 'BRK-B' WHEN 'FB' THEN 'META' WHEN 'BK' THEN 'BNY' WHEN 'UTX' THEN 'RTX' ELSE replace(ticker, '.', '-') END AS provider FROM c")
+def ticker_aliases(spark, sf):
+    given = F.col("p_brand")
+    for k, v in GIVEN.items():
+        given = F.when(F.col("p_brand") == k, v).otherwise(given)
+    names = spark.read.parquet(f"{sf}/part.parquet").select(canonical_ticker(given).alias("ticker")).distinct()
+    return names.where(~F.col("ticker").isin(*BLOCKED_TICKERS)).select("ticker", provider_ticker(F.col("ticker")).alias("provider"))
+
+
+#: The brands of the driver's tables.
+BRANDS = sorted(f"Brand#{k}" for k in range(1, 26))
+
+
+@query("panel_wide", PANEL + " SELECT date, " + ", ".join(f"max(adj_close) FILTER (ticker = '{b}') AS \"{b}\"" for b in BRANDS) + " FROM panel GROUP BY date")
+def panel_wide(spark, sf):
+    return reshape.wide(lineitem_panel(spark, sf), "adj_close", BRANDS)
+
+
+@query("panel_stacked", PANEL + " SELECT date, ticker, adj_close FROM panel WHERE adj_close IS NOT NULL")
+def panel_stacked(spark, sf):
+    return reshape.stacked(reshape.wide(lineitem_panel(spark, sf), "adj_close", BRANDS), "adj_close")
+
+
+@query("panel_aligned", PANEL + " SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, a.volume, b.volume AS volume_right, b.adj_close FROM (SELECT * FROM panel WHERE session_idx % 3 <> 0) a FULL JOIN (SELECT * FROM panel WHERE session_idx % 2 = 0) b ON a.date = b.date AND a.ticker = b.ticker")
+def panel_aligned(spark, sf):
+    df = lineitem_panel(spark, sf)
+    return reshape.aligned(df.where("session_idx % 3 <> 0").select("date", "ticker", "volume"), df.where("session_idx % 2 = 0").select("date", "ticker", "volume", "adj_close"))
+
+
 #: The frozen universe (sp100_20140101), and its members that end early.
 UNIVERSE = """AAPL ABBV ABT ACN AEP AIG ALL AMGN AMZN APA APC AXP BA BAC BAX BK BMY BRK.B C CAT CL CMCSA COF COP COST CSCO CVS CVX DD DIS DOW DVN EBAY EMC
 EMR EXC F FB FCX FDX FOXA GD GE GILD GM GOOG GS HAL HD HON HPQ IBM INTC JNJ JPM KO LLY LMT LOW MA MCD MDLZ MDT MET MMM MO MON MRK MS MSFT NKE NOV NSC ORCL
@@ -250,6 +283,12 @@ def zscore_momentum(spark, sf):
     return rounded(signals.MomentumSignal(method="zscore").compute(features.compute_features(lineitem_panel(spark, sf))).select("date", "ticker", "momentum_signal"))
 
 
+@query("signal_thresholds", SIGNAL_SQL + f""", h0 AS (SELECT date, ticker, CASE WHEN abs(r) >= 1.0 THEN r END AS a, b.relative_volume, CASE WHEN q IS NULL THEN NULL WHEN b.relative_volume >= 1.2 THEN q ELSE 0.0 END AS b FROM s JOIN (SELECT date, ticker, relative_volume FROM f) b USING (date, ticker)), h1 AS (SELECT date, ticker, 2 * ({cs_rank('a')}) - 1 AS mean_reversion_signal, 2 * ({cs_rank('b')}) - 1 AS abnormal_volume_signal FROM h0) SELECT """ + out("date, ticker", "mean_reversion_signal", "abnormal_volume_signal") + " FROM h1")
+def signal_thresholds(spark, sf):
+    df = signals.MeanReversionSignal(threshold=1.0).compute(features.compute_features(lineitem_panel(spark, sf)))
+    return rounded(signals.AbnormalVolumeSignal(threshold=1.2).compute(df).select("date", "ticker", "mean_reversion_signal", "abnormal_volume_signal"))
+
+
 # Inference
 
 IC_SQL = SIGNAL_SQL + f""", p AS (SELECT date, mean_reversion_signal AS x0, fwd_ret_1d AS y0 FROM s WHERE mean_reversion_signal IS NOT NULL AND fwd_ret_1d IS NOT NULL),
@@ -434,8 +473,6 @@ def cost_sensitivity(spark, sf):
     return _rounded_metrics(validation.cost_sensitivity(_weights(spark, sf)))
 
 
-#: The brands of the driver's tables.
-BRANDS = sorted(f"Brand#{k}" for k in range(1, 26))
 DROPPED = ", ".join(f"('{k}', {out_})" for k, out_ in validation.dropped_tickers(BRANDS).items())
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,16 @@ def remove_tables(spark: SparkSession) -> None:
     remove_folder(spark, application_folder(spark))
 
 
+def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that folder holds under key, which is made and written where there is none. A writer that was lost
+    leaves no mark of success, and its table is made anew."""
+    path = f"{folder.rstrip('/')}/{key}"
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 class Scratch:
     """Tables that only the steps up to a written result need; remove() removes them all."""
 

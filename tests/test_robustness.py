@@ -82,3 +82,16 @@ def test_series_without_ics(spark):
 def test_a_backtest_query_folds_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapGroupsInPandas") == 1 and "lineitem" not in plan  # bars are a table by then
+
+
+def test_daily_maps(spark):
+    days = {r["date"]: r for r in execution.run_backtests(weights(spark, 4, 3)).daily_maps().collect()}
+    assert set(days[DAYS[1]]["positions"]) == {"T0", "T1", "T2"} == set(days[DAYS[1]]["weights"]) and DAYS[0] not in days
+
+
+def test_ordinal_spearman():
+    from panelspark.operators.resampling import ordinal_spearman
+
+    x = np.array([[3.0, 1.0, 2.0, 4.0], [1.0, 1.0, 2.0, 3.0]])
+    y = np.array([[30.0, 10.0, 20.0, 40.0], [4.0, 3.0, 2.0, 1.0]])
+    assert ordinal_spearman(x, y) == pytest.approx([1.0, -1.0])  # ties rank in order of place

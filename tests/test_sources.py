@@ -93,3 +93,16 @@ def test_shared_tables(spark):
     assert kept.count() == 3
     with pytest.raises(Exception, match="[Nn]o such file|does not exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
         spark.read.parquet(scratch.folder).count()
+
+
+def test_cached_tables(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(4)
+
+    assert tables.cached(spark, str(tmp_path), "k", make).count() == 4 == tables.cached(spark, str(tmp_path), "k", make).count()
+    assert len(made) == 1
+    (tmp_path / "k" / "_SUCCESS").unlink()  # as a lost writer leaves it
+    assert tables.cached(spark, str(tmp_path), "k", make).count() == 4 and len(made) == 2
