@@ -109,7 +109,7 @@ def vector_best_fit(lengths: np.ndarray, capacities: tuple[int, int, int], weigh
     return sequence, offset, opened
 
 
-def pack(pieces: DataFrame, buckets: int, capacity: int, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.01, 0.01), rule: str = "norm") -> DataFrame:
+def pack(pieces: DataFrame, buckets: int, capacity: int, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.25, 0.25), rule: str = "norm") -> DataFrame:
     """pieces (id, piece, start, length, ids_crc32, salt) with sequence_id and offset."""
     if rule not in ("norm", "dot"):
         raise ValueError(f"rule is norm or dot, not {rule!r}")
@@ -158,7 +158,7 @@ def pack(pieces: DataFrame, buckets: int, capacity: int, max_docs: int | None =
     return dealt.mapInArrow(bins, PACKED.format(type_of(pieces, "id")))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 8192, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.01, 0.01), rule: str = "norm", id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024, bucket_rows: int = 8192, max_docs: int | None = None, max_attention: int | None = None, weights=(1.0, 0.25, 0.25), rule: str = "norm", id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     buckets = max(1, math.ceil(docs.count() / bucket_rows))
     pieces = cut_pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col, cache_bytes)
