@@ -90,11 +90,16 @@ class BoostedTrees(BaseModel):
         from pyspark.ml.feature import VectorAssembler
         from pyspark.ml.regression import GBTRegressor
 
+        if df.isEmpty():  # as for linear models
+            self.model = None
+            return self
         trees = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="prediction", **self.options)
         self.model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x"), trees]).fit(df)
         return self
 
     def predict(self, df: DataFrame) -> DataFrame:
+        if self.model is None:
+            return df.withColumn("prediction", F.lit(None).cast("double"))
         return self.model.transform(df).drop("__x")
 
 

@@ -49,9 +49,12 @@ def bootstrap_mean_ci(values: np.ndarray, replicates: int = 10_000, confidence:
 
 
 def bootstrap_means(spark: SparkSession, values: np.ndarray, replicates: int = 10_000, block: int | None = None, seed: int = 42, chunk: int = 500) -> DataFrame:
-    """(chunk, mean) of all replicates, distributed by chunks; the series is a few thousand numbers."""
+    """(chunk, mean) of all replicates, distributed by chunks; the series is a few thousand numbers. An empty series
+    has none."""
     x = np.asarray(values, float)
     x = x[~np.isnan(x)]
+    if not len(x):
+        return spark.createDataFrame([], "chunk long, mean double")
     p = block_probability(len(x), block)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

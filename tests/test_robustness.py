@@ -95,3 +95,15 @@ def test_ordinal_spearman():
     x = np.array([[3.0, 1.0, 2.0, 4.0], [1.0, 1.0, 2.0, 3.0]])
     y = np.array([[30.0, 10.0, 20.0, 40.0], [4.0, 3.0, 2.0, 1.0]])
     assert ordinal_spearman(x, y) == pytest.approx([1.0, -1.0])  # ties rank in order of place
+
+
+@pytest.mark.parametrize(("name", "rows"), [("bootstrap_mean", 0), ("permutation_test", 0), ("pnl_bootstrap", 2)])
+def test_queries_of_series_without_values(spark, name, rows):
+    assert QUERIES[name](spark, SF).count() == rows  # no signal has its history at this size
+
+
+def test_models_of_no_rows(spark):
+    none = spark.createDataFrame([], "a double, y double")
+    some = spark.createDataFrame([(1.0, 2.0)], "a double, y double")
+    for name in ("ols", "xgboost"):
+        assert learning.get_model(name).fit(none, ["a"], "y").predict(some).first()["prediction"] is None
