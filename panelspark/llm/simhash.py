@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, let, type_of, written
+from .common import Scratch, bound_batches, type_of, written
 from .setsketch import components
 
 SEED = 42
@@ -72,23 +72,19 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
     return rows.mapInArrow(make, f"id {type_of(docs, id_col)}, node long")
 
 
-def cells(node: Column, width: int) -> Column:
-    """The cells of node and those 1 away: each segment's number of set bits, in the segment's place."""
-    segment = lambda c, at: F.shiftrightunsigned(c, at).bitwiseAND(F.lit((1 << width) - 1))
-    put = lambda count, at: F.shiftleft(count.cast("long"), at)
+def in_cells(nodes: DataFrame, width: int) -> DataFrame:
+    """(node, cell): each node in its own cell and in those 1 away. A cell has each segment's number of set bits in the
+    segment's place."""
     point = F.lit(0).cast("long")
     for at in range(0, BITS, width):
-        point = point.bitwiseOR(put(F.bit_count(segment(node, at)), at))
-
-    def around(c: Column) -> Column:
-        near = []
-        for at in range(0, BITS, width):
-            count = segment(c, at)
-            near.append(F.when(count < width, c.bitwiseXOR(put(count.bitwiseXOR(count + 1), at))))
-            near.append(F.when(count > 0, c.bitwiseXOR(put(count.bitwiseXOR(count - 1), at))))
-        return F.array_compact(F.array(c, *near))
-
-    return let(point, around)
+        segment = F.shiftrightunsigned("node", at).bitwiseAND(F.lit((1 << width) - 1))
+        point = point.bitwiseOR(F.shiftleft(F.bit_count(segment).cast("long"), at))
+    # step 0 stays, odd steps add a bit to a segment, even ones take one away
+    dealt = nodes.select("node", point.alias("point")).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(2 * BITS // width))))
+    dealt = dealt.withColumn("at", F.expr(f"greatest(step - 1, 0) div 2 * {width}").cast("int"))
+    dealt = dealt.withColumn("n", F.expr(f"shiftrightunsigned(point, at) & {(1 << width) - 1}")).where(f"step = 0 or if(step % 2 = 1, n < {width}, n > 0)")
+    to = F.expr("n ^ (n + if(step % 2 = 1, 1, -1))")
+    return dealt.select("node", F.when(F.col("step") == 0, F.col("point")).otherwise(F.col("point").bitwiseXOR(F.call_function("shiftleft", to, F.col("at")))).alias("cell"))
 
 
 def differing(a: str, b: str) -> Column:
@@ -97,15 +93,14 @@ def differing(a: str, b: str) -> Column:
 
 def links(nodes: DataFrame, scratch: Scratch, width: int = WIDTH, full: int = FULL) -> DataFrame:
     """(a, b): pairs of nodes that differ in at most 2 bits, enough to connect all such pairs."""
-    dealt = nodes.select("node", F.explode(cells(F.col("node"), width)).alias("cell"))
+    dealt = in_cells(nodes, width)
     met = scratch.written(dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = scratch.written(dealt.join(met, "cell"))
     some = dealt.where(F.col("n") <= full)
     a, b = some.select("cell", F.col("node").alias("a")), some.select(F.col("cell").alias("c"), F.col("node").alias("b"))
     pairs = a.join(b, (F.col("cell") == F.col("c")) & (F.col("a") > F.col("b")) & (differing("a", "b") <= 2)).select("a", "b")
     crowd = dealt.where(F.col("n") > full).select("node").distinct()
-    fine = crowd.select("node", F.explode(cells(F.col("node"), 1)).alias("cell"))
-    fine = fine.groupBy("cell").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)  # 65 at most
+    fine = in_cells(crowd, 1).groupBy("cell").agg(F.collect_list("node").alias("nodes")).where(F.size("nodes") > 1)  # 65 at most
     stars = fine.select(F.array_min("nodes").alias("b"), F.explode("nodes").alias("a")).where("a > b").where(differing("a", "b") <= 2)
     return scratch.written(pairs.union(stars.select("a", "b")).distinct())
 
