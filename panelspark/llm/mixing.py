@@ -2,35 +2,39 @@
 
 A source of n rows and weight w gets the mean repetition rate budget * w / n (weights sum to 1). Each row's count is
 the Poisson quantile of a uniform number made from an md5 of seed and name: the same for the same row wherever and
-however often it is computed. A row's name is its id; rows without an id, or that share one, are named by an md5 of all
-their columns and a number among equal rows, too, so that each draws by itself. Rows are exploded by their counts and
+however often it is computed. A row's name is its id; rows without an id, or that share one, are named by an md5 of their
+columns' text form, too, and numbered where that is the same. The name only decides how often a row is drawn: no row
+stands for another, whatever their text forms have in common. Rows are exploded by their counts and
 dealt to partitions, and sorted in them, by an md5 of seed, name and replica: a shuffle over all sources without a
 driver's or a task's view of the whole.
 
 The rates' table has a row a source. Its rows are counted first: up to MOST_BROADCAST they are broadcast, so that texts
 move once, in the shuffle, and a source that holds a third of all rows is nowhere together. Ids that are shared are
-found by counting ids alone; only rows with such an id (by a filter of fixed size) move once more: equal rows become a
-row and a count where they stand, and are numbered by exploding it, so that no group of them meets in a task.
+found by counting ids alone; only rows with such an id (by a filter of fixed size) move once more. They are numbered within
+the partitions they were read in, after as many as earlier partitions hold, so that no group of equal rows meets in a task.
 
 Defined results: a null source is a source; null and repeated ids draw as said above, equal rows each; a source without
-a weight, or of weight 0, is left out; null and empty texts count as rows; other columns are kept, so names of the form
-__mix_* and __f_* are not allowed; an empty table gives no rows.
+a weight, or of weight 0, is left out; null and empty texts count as rows; other columns are kept, whatever their names:
+where one has the name of an added column (replica, shuffle_key), in either case, the added one gets underscores at its
+end; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, with_maybe, written
+from .common import free_name, let, with_maybe, written
 
 SEED = 20_240
 #: Quantiles are found by adding up probabilities; rates above this are split over so many draws.
 MOST_RATE = 20.0
 #: The rates are broadcast if there are so many sources at most; if more, the join is a shuffle.
 MOST_BROADCAST = 20_000
+#: Text forms of rows show microseconds.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def uniform(*of: Column) -> Column:
@@ -64,28 +68,38 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, po
     return F.broadcast(rates) if total["sources"] <= MOST_BROADCAST else rates
 
 
-def named(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with __mix_name, by which a row draws."""
-    ident = F.col(id_col).cast("string")
-    shared = docs.groupBy(ident.alias("__mix_id")).agg(F.count("*").alias("n"))
+def numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows (written, with __mix_row, their monotonic ids) with __mix_k: their numbers among rows of equal keys. Groups are
+    split by the partitions that rows were read in; what is summed over a group is a count a partition."""
+    rows = rows.withColumn("__mix_part", F.shiftright("__mix_row", 33))
+    counts = rows.groupBy(*keys, "__mix_part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*keys).orderBy("__mix_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.withColumn("__mix_before", F.coalesce(before, F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(*keys, "__mix_part").orderBy("__mix_row"))
+    return rows.withColumn("__mix_k", place).join(counts, [*keys, "__mix_part"]).withColumn("__mix_k", F.col("__mix_before") + F.col("__mix_k"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """docs (__mix_doc, __mix_id) with __mix_name, by which a row draws."""
+    shared = docs.groupBy("__mix_id").agg(F.count("*").alias("n"))
     shared = written(shared.where("n > 1 or __mix_id is null").select(F.coalesce("__mix_id", F.lit("\0")).alias("__mix_id")))
     if shared.isEmpty():
-        return docs.withColumn("__mix_name", ident)
-    key = F.coalesce(ident, F.lit("\0"))
+        return docs.withColumn("__mix_name", F.col("__mix_id"))
+    key = F.coalesce("__mix_id", F.lit("\0"))
     rows = with_maybe(docs, key, shared, "__mix_maybe")
-    plain = rows.where(~F.col("__mix_maybe")).select(*docs.columns, ident.alias("__mix_name"))
-    hard = rows.where("__mix_maybe").select(key.alias("__mix_id"), F.md5(F.to_json(F.struct(*docs.columns))).alias("__mix_hash"), F.struct(*docs.columns).alias("__mix_row"))
-    hard = hard.groupBy("__mix_id", "__mix_hash").agg(F.first("__mix_row").alias("__mix_row"), F.count("*").alias("__mix_n"))
-    hard = hard.join(shared.withColumn("__mix_shared", F.lit(True)), "__mix_id", "left").withColumn("__mix_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n"))))
+    plain = rows.where(~F.col("__mix_maybe")).select(*docs.columns, F.col("__mix_id").alias("__mix_name"))
+    hard = rows.where("__mix_maybe").withColumns({"__mix_id": key, "__mix_hash": F.md5(F.to_json("__mix_doc", JSON)), "__mix_row": F.monotonically_increasing_id()})
+    hard = numbered(written(hard), "__mix_id", "__mix_hash").join(shared.withColumn("__mix_shared", F.lit(True)), "__mix_id", "left")
     name = F.when(F.col("__mix_shared"), F.concat_ws(":", "__mix_id", "__mix_hash", "__mix_k")).otherwise(F.col("__mix_id"))
-    return plain.unionByName(hard.select("__mix_row.*", name.alias("__mix_name")))
+    return plain.unionByName(hard.select(*docs.columns, name.alias("__mix_name")))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, budget: float | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", replica_col: str | None = "replica", key_col: str | None = "shuffle_key") -> DataFrame:
     """docs' rows, each as often as drawn, globally shuffled; with the replica's number and the shuffle's key."""
     rates = source_rates(docs, weights, power, budget, source_col)
-    rows = named(docs, id_col).withColumn("__mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("\0")))
-    rows = rows.join(rates, "__mix_source").where("__mix_rate > 0")
+    # a row's columns go on as one, so that their names clash with none of these
+    rows = docs.select(F.struct("*").alias("__mix_doc"), F.col(id_col).cast("string").alias("__mix_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("__mix_source"))
+    rows = named(rows).join(rates, "__mix_source").where("__mix_rate > 0")
     name = F.col("__mix_name")
     parts = F.greatest(F.ceil(F.col("__mix_rate") / MOST_RATE), F.lit(1))
     draw = lambda k: poisson(F.col("__mix_rate") / parts, uniform(F.lit(str(seed)), k.cast("string"), name))
@@ -93,5 +107,10 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     rows = rows.withColumn("__mix_replica", F.explode(let(count, lambda n: F.when(n > 0, F.sequence(F.lit(1), n)))))
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}"), F.lit("order"), F.col("__mix_replica"), name)), 1, 15), 16, 10).cast("long")
     rows = rows.withColumn("__mix_key", key).repartition("__mix_key").sortWithinPartitions("__mix_key")
-    more = [F.col(a).alias(b) for a, b in (("__mix_replica", replica_col), ("__mix_key", key_col)) if b]
-    return rows.select(*docs.columns, *more)
+    taken = [*docs.columns]
+    more = []
+    for column, wanted in (("__mix_replica", replica_col), ("__mix_key", key_col)):
+        if wanted:
+            taken.append(free_name(wanted, taken))
+            more.append(F.col(column).alias(taken[-1]))
+    return rows.select("__mix_doc.*", *more)
