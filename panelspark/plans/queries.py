@@ -18,6 +18,8 @@ from panelspark.functions.columns import half_up, rounded
 from panelspark.operators import execution, features, inference, learning, metrics, portfolio, quality, regimes, resampling, reshape, signals, stationarity, validation
 from panelspark.sources import calendar
 from panelspark.sources.panels import BLOCKED_TICKERS, canonical_ticker, lineitem_panel, provider_ticker, synthetic_ohlcv
+from panelspark.sources.provider import download, write_provider_files
+from panelspark.sources.tables import shared_folder
 
 from . import ledger_sql
 from .research import horizon_profile
@@ -168,6 +170,26 @@ def synthetic_panel(spark, sf):
     return synthetic_ohlcv(spark, UNIVERSE, days, terminations=TERMINATIONS)
 
 
+PROVIDED = """, given AS (SELECT upper(ticker) AS ticker, date, adj_close, volume FROM bars WHERE NOT (ticker LIKE '%3' AND date < DATE '1998-01-01') AND date <= DATE '2001-06-30'),
+first AS (SELECT ticker, min(date) AS first FROM given GROUP BY ticker),
+failed AS (SELECT t AS ticker, CASE WHEN t = 'BRAND#7' THEN 'unreadable' WHEN first IS NULL THEN 'no file' ELSE 'begins on ' || first END AS failure FROM (SELECT 'BRAND#' || range AS t FROM range(1, 27)) LEFT JOIN first ON t = ticker WHERE t = 'BRAND#7' OR first IS NULL OR first > DATE '1995-03-03'),
+good AS (SELECT *, CASE WHEN date < DATE '1998-06-01' AND count(*) FILTER (date = DATE '1998-06-01') OVER (PARTITION BY ticker) > 0 THEN 2.0 ELSE 1.0 END AS f FROM given ANTI JOIN failed USING (ticker))
+SELECT ticker, count(*) AS n, min(date) AS first, max(date) AS last, round(avg(adj_close), 6) AS mean_price, sum(volume * f) AS shares, NULL AS failure FROM good GROUP BY ticker UNION ALL SELECT ticker, 0, NULL, NULL, NULL, NULL, failure FROM failed"""
+
+
+@query("provider_ingest", PANEL + PROVIDED)
+def provider_ingest(spark, sf):
+    """Bars by brand as a provider delivers them: some brands late, one unreadable, one never. Split two for one in June 1998."""
+    bars = lineitem_panel(spark, sf).where(~(F.col("ticker").endswith("3") & (F.col("date") < "1998-01-01")))
+    price, volume = F.col("adj_close"), F.when(F.col("ticker") == "Brand#7", F.concat(F.lit("v"), "volume")).otherwise(F.col("volume").cast("string"))
+    folder = shared_folder(spark)
+    write_provider_files(bars.select("date", "ticker", price.alias("open"), "high", "low", price.alias("close"), "adj_close", volume.alias("volume"), F.when(F.col("date") == "1998-06-01", 2.0).otherwise(0.0).alias("split_factor")), folder)
+    rows, failures = download(spark, folder, [f"Brand#{k}" for k in range(1, 27)], "1995-01-02", "2001-06-30", 60, most_failures=0.9)
+    found = quality.split_adjusted_volume(rows).groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), half_up(F.avg("adj_close")).alias("mean_price"), F.sum("volume_split_adjusted").alias("shares"))
+    why = F.when(F.col("failure").startswith("begins on ") | (F.col("failure") == "no file"), F.col("failure")).otherwise("unreadable")
+    return found.unionByName(failures.select("ticker", F.lit(0).cast("long").alias("n"), why.alias("failure")), allowMissingColumns=True)
+
+
 # Quality
 
 
