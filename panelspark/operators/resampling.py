@@ -1,19 +1,98 @@
 """Bootstrap, permutation and simulation tests.
 
+Draws as rows: blocks and orders come from md5 hashes of seed, replicate and place, so that any engine gives the same, and
+replicates of any number of series are rows of one plan; no draw depends on the order or the number of tasks.
+
 Exact forms draw from one seeded stream, batch by batch, and so agree with a serial run; distributed forms give each
 replicate or date a stream of its own, made of the seed and its number, and agree with them but for Monte Carlo error.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import average_rank
 from panelspark.functions.dist import normal_two_sided
+from panelspark.sources.tables import written
+
+
+def uniforms(*of: Column | str) -> tuple[Column, Column]:
+    """Two numbers in [0, 1), from an md5 of what is given, joined by colons."""
+    digest = F.md5(F.concat_ws(":", *of))
+    return tuple(F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / float(1 << 52) for at in (1, 14))
+
+
+def most_blocks(n: int | Column, p: float) -> Column:
+    """More blocks than a replicate of n values begins, but with a chance below 1e-9 (if not, its last one goes on)."""
+    expected = n * F.lit(p)
+    return (F.ceil(expected + 8 * F.sqrt(expected)) + 16).cast("int")
+
+
+def block_draws(sizes: DataFrame, replicates: int, p: float, seed: int = 42) -> DataFrame:
+    """sizes (keys, n) -> (keys, n, replicate, start, length): the blocks of a stationary bootstrap of a series of n
+    values, circular: start from 0, lengths geometric with mean 1 / p, cut so that a replicate has n values."""
+    keys = [c for c in sizes.columns if c != "n"]
+    rows = sizes.where("n > 0").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = rows.withColumns({"__last": most_blocks(F.col("n"), p) - 1}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("__last"))))
+    u, v = uniforms(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("block").cast("string"))
+    rows = rows.withColumns({"__u": u, "__v": v})
+    rows = rows.withColumns({"start": F.floor(F.col("__u") * F.col("n")).cast("int"), "__length": (1 + F.floor(F.ln(1 - F.col("__v")) / math.log(1 - p))).cast("int")})
+    one = Window.partitionBy(*keys, "replicate").orderBy("block")
+    before = F.coalesce(F.sum("__length").over(one.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__before", before).where("__before < n")
+    left = (F.col("n") - F.col("__before")).cast("int")
+    length = F.when(F.col("block") == F.col("__last"), left).otherwise(F.least("__length", left))
+    return rows.select(*keys, "n", "replicate", "start", length.alias("length"))
+
+
+def bootstrap_replicates(series: DataFrame, value: str, keys: tuple[str, ...] = (), order: str = "date", replicates: int = 10_000, block: int | None = None, seed: int = 42, draws: DataFrame | None = None, sessions: float = 252.0) -> DataFrame:
+    """(keys, replicate, n, mean, sharpe, cagr) of stationary bootstrap resamples of each key's series, nulls left out.
+
+    A replicate is a sum over its blocks: a block's sums of x, x^2 and ln|1 + x|, and its numbers of 1 + x = 0 and < 0,
+    are differences of running sums over the series and its copy behind it, looked up by a join. Running sums are one row
+    a value, the draws one row a block. sharpe is 0 where values are equal, cagr -1 where nothing or less is left. draws:
+    as block_draws() gives them, which are made of block (mean length; the cube root of the longest series' n)."""
+    x, away = F.col("__x"), F.col("__x") - F.col("__mean")  # sums of what is away from the mean cancel less
+    one = Window.partitionBy(*keys).orderBy(order) if keys else Window.partitionBy(F.lit(0)).orderBy(order)  # a row a session
+    rows = series.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("__x"))
+    every = one.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"__n": F.count("*").over(every), "__mean": F.avg("__x").over(every), "__at": F.row_number().over(one) - 1})
+    rows = written(rows.drop(order))
+    sizes = rows.where("__at = 0").select(*keys, F.col("__n").cast("int").alias("n"))
+    if draws is None:
+        longest = sizes.agg(F.max("n")).first()[0]
+        draws = block_draws(sizes, replicates, block_probability(longest or 1, block), seed)
+    twice = rows.withColumn("__copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__at", F.col("__at") + F.col("__copy") * F.col("__n"))
+    up_to = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = {"s1": away, "s2": away * away, "sl": F.when(x == -1, 0.0).otherwise(F.ln(F.abs(1 + x))), "zero": (x == -1).cast("long"), "less": (x < -1).cast("long")}
+    sums = twice.select(*keys, "__at", "__mean", *(F.coalesce(F.sum(c).over(up_to), F.lit(0)).alias(k) for k, c in parts.items()))
+    sums = written(sums)
+    of = lambda side: sums.select(*(F.col(k).alias(f"__{side}_{k}") for k in keys), F.col("__at").alias(side), F.col("__mean").alias(f"{side}_mean"), *(F.col(c).alias(f"{side}_{c}") for c in parts))
+    same = lambda side: [F.col(k).eqNullSafe(F.col(f"__{side}_{k}")) for k in keys]
+    # a block of all n values that begins at n - 1 ends at 2 n - 1, where there is a row, too
+    blocks = draws.withColumn("__end", F.col("start") + F.col("length"))
+    blocks = blocks.join(of("a"), [*same("a"), F.col("start") == F.col("a")]).join(of("b"), [*same("b"), F.col("__end") == F.col("b")])
+    total = lambda c: F.sum(F.col(f"b_{c}") - F.col(f"a_{c}"))
+    out = blocks.groupBy(*keys, "replicate", "n").agg(F.max("a_mean").alias("__mean"), *(total(c).alias(c) for c in parts))
+    n = F.col("n")
+    variance = (F.col("s2") - F.col("s1") * F.col("s1") / n) / F.greatest(n - 1, F.lit(1))
+    sd = F.sqrt(F.greatest(variance, F.lit(0.0)))
+    mean = F.col("__mean") + F.col("s1") / n
+    sharpe = F.when(sd > 1e-12, mean / sd * math.sqrt(sessions)).otherwise(0.0)
+    cagr = F.when((F.col("zero") == 0) & (F.col("less") % 2 == 0), F.exp(F.col("sl") * sessions / n) - 1).otherwise(-1.0)
+    return out.select(*keys, "replicate", "n", mean.alias("mean"), sharpe.alias("sharpe"), cagr.alias("cagr"))
+
+
+def bootstrap_intervals(replicates: DataFrame, columns: tuple[str, ...] = ("mean",), keys: tuple[str, ...] = (), confidence: float = 0.95) -> DataFrame:
+    """(keys, <column>_low, <column>_high ...): percentile intervals over replicates."""
+    tail = (1 - confidence) / 2
+    return replicates.groupBy(*keys).agg(*(F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in columns for name, q in (("low", tail), ("high", 1 - tail))))
 
 
 def _stationary_means(x: np.ndarray, rng: np.random.Generator, replicates: int, p: float) -> np.ndarray:
@@ -81,9 +160,33 @@ def _demeaned(df: pd.DataFrame, least: int) -> tuple[np.ndarray, np.ndarray] | N
     return (x, y / norm) if norm > 1e-12 else None
 
 
-def permutation_ics(df: DataFrame, signal: str, target: str, permutations: int = 1000, seed: int = 42, least: int = 5, batch: int = 500) -> DataFrame:
-    """(replicate, ic): mean IC with signals shuffled within dates; replicate -1 is the observed one. A task a date."""
+def hashed_permutation_ics(pairs: DataFrame, permutations: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
+    """(date, replicate, ic) of pairs (date, ticker, x, y), in the JVM: in replicate r a date's tickers in the order of
+    md5(seed:r:date:ticker), ties by ticker, lend their signal's rank to its tickers in the order of their names. A date's cross-section goes on as
+    two arrays, and a replicate is a row of it: nothing is shuffled after dates were gathered."""
+    day = Window.partitionBy("date")
+    ranks = pairs.withColumns({"x": average_rank("x", "date"), "y": average_rank("y", "date"), "__n": F.count("*").over(day)})
+    ranks = ranks.where(F.col("__n") >= least).withColumns({c: F.col(c) - F.avg(c).over(day) for c in ("x", "y")})
+    norm = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)))
+    rows = F.array_sort(F.collect_list(F.struct("ticker", "x", "y")))
+    days = ranks.groupBy("date").agg(rows.alias("rows"), (norm("x") * norm("y")).alias("norm")).where("norm > 1e-12")
+    days = days.select("date", F.transform("rows", lambda r: F.struct(r["ticker"].alias("ticker"), r["x"].alias("x"))).alias("signal"), F.transform("rows", lambda r: r["y"] / F.col("norm")).alias("w"))
+    days = days.repartition("date").withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))))
+    named = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("date").cast("string"))
+    order = F.array_sort(F.transform("signal", lambda s: F.struct(F.md5(F.concat_ws(":", named, s["ticker"])).alias("h"), s["ticker"].alias("ticker"), s["x"].alias("x"))))
+    drawn = F.when(F.col("replicate") < 0, F.transform("signal", lambda s: s["x"])).otherwise(F.transform(order, lambda s: s["x"]))
+    ic = F.aggregate(F.zip_with(drawn, "w", lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+    return days.select("date", "replicate", ic.alias("ic"))
+
+
+def permutation_ics(df: DataFrame, signal: str, target: str, permutations: int = 1000, seed: int = 42, least: int = 5, batch: int = 500, draws: str = "stream") -> DataFrame:
+    """(replicate, ic): mean IC with signals shuffled within dates; replicate -1 is the observed one. draws: "stream" (a
+    task and a numpy stream a date) or "hash" (orders by md5, in the JVM; slower, and the same on every engine)."""
     pairs = df.where(F.col(signal).isNotNull() & F.col(target).isNotNull()).select("date", F.col(signal).alias("x"), F.col(target).alias("y"), "ticker")
+    if draws == "hash":
+        return hashed_permutation_ics(pairs, permutations, seed, least).groupBy("replicate").agg(F.avg("ic").alias("ic"))
+    if draws != "stream":
+        raise ValueError(f"draws are stream or hash, not {draws!r}")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ticker")
@@ -100,9 +203,9 @@ def permutation_ics(df: DataFrame, signal: str, target: str, permutations: int =
     return pairs.groupBy("date").applyInPandas(run, "replicate long, ic double").groupBy("replicate").agg(F.avg("ic").alias("ic"))
 
 
-def permutation_test(df: DataFrame, signal: str, target: str, permutations: int = 1000, seed: int = 42, least: int = 5) -> tuple[float, float]:
+def permutation_test(df: DataFrame, signal: str, target: str, permutations: int = 1000, seed: int = 42, least: int = 5, draws: str = "stream") -> tuple[float, float]:
     """(observed mean IC, two-sided p = (1 + hits) / (permutations + 1))."""
-    ics = {r["replicate"]: r["ic"] for r in permutation_ics(df, signal, target, permutations, seed, least).collect()}  # a row a permutation
+    ics = {r["replicate"]: r["ic"] for r in permutation_ics(df, signal, target, permutations, seed, least, draws=draws).collect()}  # a row a permutation
     observed = ics.pop(-1, None)
     if observed is None:
         return float("nan"), float("nan")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .execution import CASH, COST_REGIMES, BacktestResult, CostModel, run_backtests
 from .metrics import performance, sharpe_probabilities
+from .resampling import bootstrap_intervals, bootstrap_replicates
 
 
 @dataclass(frozen=True)
@@ -117,6 +118,16 @@ def pnl_bootstrap(returns: np.ndarray, replicates: int = 1000, block: int = 10,
     return {"sharpe": tuple(np.percentile(sharpe, tails)), "cagr": tuple(np.percentile(cagr, tails))}
 
 
+def pnl_intervals(snapshots: DataFrame, replicates: int = 1000, block: int = 10, confidence: float = 0.95, seed: int = 42, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """(keys, metric, low, high): intervals of the Sharpe ratio and CAGR of each run's daily returns, all runs in one
+    plan; 0 and 0 for runs of fewer than 10 returns."""
+    drawn = bootstrap_replicates(snapshots, "daily_return", keys, replicates=replicates, block=block, seed=seed)
+    found = bootstrap_intervals(drawn, ("sharpe", "cagr"), (*keys, "n"), confidence)
+    bound = lambda c: F.when(F.col("n") >= 10, F.col(c)).otherwise(0.0)
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), bound(f"{m}_low").alias("low"), bound(f"{m}_high").alias("high")) for m in ("sharpe", "cagr"))))
+    return found.select(*keys, rows.alias("r")).select(*keys, "r.*")
+
+
 def integrity_violations(result: BacktestResult, max_gross: float = 1.10, ended: dict[str, date] | None = None, blocked: Sequence[str] = (), max_net: float | None = None) -> DataFrame:
     """(run_id, date, problem): trades on a run's first session, after the day (of ended) after a ticker's last one, or
     in blocked tickers; gross or net exposure above the limit; equity that is not cash plus holdings."""
@@ -137,12 +148,11 @@ def integrity_violations(result: BacktestResult, max_gross: float = 1.10, ended:
 
 def robustness_suite(weights: DataFrame, price: str = "adj_close", cash: float = CASH, split: str = "2020-01-01") -> dict:
     """All checks of one set of weights."""
-    base = run_backtests(weights, price, None, cash).snapshots.select("date", "daily_return")
-    returns = np.array([r["daily_return"] for r in base.orderBy("date").collect()])  # a row a session
+    base = run_backtests(weights, price, None, cash).snapshots.select("run_id", "date", "daily_return")
     return {
         "costs": cost_sensitivity(weights, price, None, cash),
         "subperiods": subperiods(weights, split, price, None, cash),
         "jackknife": asset_drop_stability(weights, price, None, cash),
         "trimmed": extreme_days_removed(base),
-        "bootstrap": pnl_bootstrap(returns),
+        "bootstrap": {r["metric"]: (r["low"], r["high"]) for r in pnl_intervals(base).collect()},
     }

@@ -21,7 +21,7 @@ from panelspark.sources.panels import BLOCKED_TICKERS, canonical_ticker, lineite
 from panelspark.sources.provider import download, write_provider_files
 from panelspark.sources.tables import shared_folder
 
-from . import ledger_sql
+from . import ledger_sql, resampling_sql
 from .research import horizon_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -392,15 +392,19 @@ def profile_all(spark, sf):
     return profile(spark, sf, SIGNALS[:4], (1, 5, 10, 20, 40, 60))
 
 
-@query("permutation_test")
+@query("permutation_test", IC_SQL + f", pt AS (SELECT date, ticker, mean_reversion_signal AS x0, fwd_ret_1d AS y0 FROM s WHERE mean_reversion_signal IS NOT NULL AND fwd_ret_1d IS NOT NULL), prt AS (SELECT date, ticker, {rank_of('x0')} AS x, {rank_of('y0')} AS y FROM pt)" + resampling_sql.permutations("prt", 1000) + " SELECT replicate, round(ic, 6) + 0.0 AS ic FROM pp")
 def permutation(spark, sf):
-    return resampling.permutation_ics(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d")
+    return rounded(resampling.permutation_ics(_signals(spark, sf), "mean_reversion_signal", "fwd_ret_1d", draws="hash"))
 
 
-@query("bootstrap_mean")
+@query("bootstrap_mean", IC_SQL + resampling_sql.replicates("(SELECT 0 AS one, * FROM ic)", "ic", "one", 10_000, 0.2) + " SELECT replicate, round(mean, 6) + 0.0 AS mean FROM bb")
 def bootstrap(spark, sf):
-    ic = [r["ic"] for r in _ic(spark, sf).where("ic is not null").orderBy("date").collect()]  # a row a session
-    return resampling.bootstrap_means(spark, ic, block=5)
+    return rounded(resampling.bootstrap_replicates(_ic(spark, sf), "ic", replicates=10_000, block=5).select("replicate", "mean"))
+
+
+@query("bootstrap_interval", IC_SQL + resampling_sql.replicates("(SELECT 0 AS one, * FROM ic)", "ic", "one", 10_000, 0.2) + " SELECT round(quantile_cont(mean, 0.025), 6) + 0.0 AS mean_low, round(quantile_cont(mean, 0.975), 6) + 0.0 AS mean_high FROM bb")
+def bootstrap_interval(spark, sf):
+    return rounded(resampling.bootstrap_intervals(resampling.bootstrap_replicates(_ic(spark, sf), "ic", replicates=10_000, block=5)))
 
 
 @query("null_simulation")
@@ -671,12 +675,23 @@ def ml_comparison(spark, sf):
     return rounded(spark.createDataFrame([tuple(got[k] for k in ("n", "mean_ic", "baseline_ic", "delta_ic", "t"))], "n long, mean_ic double, baseline_ic double, delta_ic double, t double"), t=5)
 
 
-@query("pnl_bootstrap")
+INTERVALS = ", iv AS (SELECT key, n, quantile_cont(sharpe, 0.025) AS s0, quantile_cont(sharpe, 0.975) AS s1, quantile_cont(cagr, 0.025) AS c0, quantile_cont(cagr, 0.975) AS c1 FROM bb GROUP BY ALL), ir AS (SELECT key, n, 'sharpe' AS metric, s0 AS low, s1 AS high FROM iv UNION ALL SELECT key, n, 'cagr', c0, c1 FROM iv), im AS (SELECT key, metric, round(CASE WHEN n >= 10 THEN low ELSE 0 END, 6) + 0.0 AS low, round(CASE WHEN n >= 10 THEN high ELSE 0 END, 6) + 0.0 AS high FROM ir)"
+
+
+@query("pnl_bootstrap", runs_sql(ledger_sql.costed("ws")) + resampling_sql.replicates("sn", "daily_return", "run_id", 1000, 0.1) + INTERVALS + " SELECT metric, low, high FROM im")
 def pnl_bootstrap(spark, sf):
     """Confidence intervals of the Sharpe ratio and CAGR of the backtest's daily returns."""
-    days = execution.run_backtests(_weights(spark, sf)).snapshots.select("date", "daily_return").orderBy("date").collect()  # a row a session
-    got = validation.pnl_bootstrap(np.array([r["daily_return"] for r in days]))
-    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in got.items()], "metric string, low double, high double")
+    return rounded(validation.pnl_intervals(execution.run_backtests(_weights(spark, sf)).snapshots).drop("run_id"))
+
+
+@query("pnl_bootstrap_costs", runs_sql(ledger_sql.costed("ws", costs=REGIMES)) + resampling_sql.replicates("sn", "daily_return", "run_id", 1000, 0.1) + INTERVALS + ", " + "il AS (SELECT key, metric, CASE WHEN metric = 'cagr' THEN CASE WHEN low > -1 THEN ln(1 + low) END ELSE low END AS low, CASE WHEN metric = 'cagr' THEN CASE WHEN high > -1 THEN ln(1 + high) END ELSE high END AS high FROM ir) SELECT split_part(key, '/', 2) AS cost, CASE metric WHEN 'cagr' THEN 'log_growth' ELSE metric END AS metric, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high FROM il")
+def pnl_bootstrap_costs(spark, sf):
+    """The same of a run under each cost regime, 1000 replicates each, in one plan; growth as ln(1 + CAGR), as it may be
+    large here."""
+    runs = execution.run_backtests(_weights(spark, sf), "adj_close", execution.COST_REGIMES).snapshots
+    log = lambda c: F.when(F.col("metric") == "cagr", F.when(F.col(c) > -1, F.log1p(c))).otherwise(F.col(c)).alias(c)
+    name = F.when(F.col("metric") == "cagr", "log_growth").otherwise(F.col("metric")).alias("metric")
+    return rounded(validation.pnl_intervals(runs).select(F.substring_index("run_id", "/", -1).alias("cost"), name, log("low"), log("high")))
 
 
 @query("integrity_audit", runs_sql(ledger_sql.costed("ws")) + ledger_sql.fills() + """, ff AS (SELECT min(date) AS first FROM sn), v AS (SELECT run_id, date, 'trade_on_first_session' AS problem FROM fl, ff WHERE date <= first UNION ALL SELECT run_id, date, 'trade_after_termination' FROM fl WHERE ticker = 'Brand#1' AND date > DATE '1998-06-16'
