@@ -68,6 +68,13 @@ def free_name(wanted: str, columns: Iterable[str]) -> str:
     return wanted
 
 
+def column_place(df: DataFrame, name: str) -> int:
+    """The place of a column, by Spark's rules for names."""
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

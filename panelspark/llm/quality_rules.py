@@ -6,7 +6,9 @@ are compared; only texts that hold an equal pair sort them.
 The list is learned by sequential covering. From a sample of labelled rows of a fixed size (max_train, the rows with
 the least hashes of their ids; equal rows once) each rule is grown on one part, one threshold condition at a time by information gain
 (FOIL), pruned on the other part by (right - wrong) / covered, and taken if it is right often enough there; the rows
-that it covers go, and the next rule is grown. Rules and the default become one nested CASE expression.
+that it covers go, and the next rule is grown, until no bad row is left, none is good enough, or max_rules (12) are found;
+a rule has at most longest (4) conditions. Both bound the model, not the rows it judges. Rules and the default become one
+nested CASE expression.
 
 Defined results: a null text has no words and fails the base; a null id is returned as null and never used for
 learning; repeated rows are judged each; ties between conditions go to the first statistic and the lower threshold;

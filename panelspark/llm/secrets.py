@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import column_place, let, written
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -182,22 +182,30 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, example_owners: int = 3, example_repos: int = 20, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
-    """docs with the spans that scan() gives masked in the text, and n_chars, where there is one, set anew. Only texts
-    that hold candidates are joined with the counts; base spans are masked in place."""
+    """docs with the spans that scan() gives masked in the text, and n_chars, where there is one, set anew; all other
+    columns are kept, whatever their names (a row's columns go through as one). Only texts that hold candidates are joined
+    with the counts; base spans are masked in place."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = let(base_spans(text), lambda b: F.struct(b.alias("base"), candidate_spans(text, b).alias("more")))
-    rows = written(docs.withColumns({"__spans": spans, "__row": F.monotonically_increasing_id()}))
-    plain = rows.where(F.size("__spans.more") == 0).withColumn("__all", F.col("__spans.base"))
-    hard = rows.where(F.size("__spans.more") > 0)
-    found = lambda s: rows.select("__row", F.col(id_col).alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.explode(s).alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    counts = copied_values(found(F.concat("__spans.base", "__spans.more")).select("hash", "owner", "repo"), example_owners, example_repos)
-    each = found(F.col("__spans.more")).select("__row", "s", "hash")
-    owned = each.join(counts.where("not copied"), "hash").groupBy("__row").agg(F.collect_list("s").alias("__added"))
-    hard = hard.join(owned, "__row", "left").withColumn("__all", F.concat("__spans.base", F.coalesce("__added", F.array().cast(hard.schema["__spans"].dataType["more"].dataType))))
-    both = plain.unionByName(hard.select(*plain.columns))
-    masks = {text_col: F.when(F.size("__all") > 0, masked(F.col(text_col), F.col("__all"))).otherwise(F.col(text_col))}
-    out = both.withColumns(masks)
-    if "n_chars" in docs.columns and text_col in docs.columns:
-        n = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("__all") > 0, F.char_length(text_col).cast(n)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    rows = written(docs.select(F.struct("*").alias("doc"), spans.alias("spans"), F.monotonically_increasing_id().alias("row")))
+    plain = rows.where(F.size("spans.more") == 0).withColumn("all", F.col("spans.base"))
+    hard = rows.where(F.size("spans.more") > 0)
+    of = lambda c: F.col("doc")[c]
+    found = lambda s: rows.select("row", of(id_col).alias("repo"), of(owner_col).cast("string").alias("owner"), F.explode(s).alias("s")).withColumn("hash", F.sha2("s.value", 256))
+    counts = copied_values(found(F.concat("spans.base", "spans.more")).select("hash", "owner", "repo"), example_owners, example_repos)
+    each = found(F.col("spans.more")).select("row", "s", "hash")
+    owned = each.join(counts.where("not copied"), "hash").groupBy("row").agg(F.collect_list("s").alias("added"))
+    hard = hard.join(owned, "row", "left").withColumn("all", F.concat("spans.base", F.coalesce("added", F.array().cast(hard.schema["spans"].dataType["more"].dataType))))
+    out = plain.unionByName(hard.select(*plain.columns))
+    has = F.size("all") > 0
+    out = out.withColumn("text", F.when(has, masked(of(text_col), F.col("all"))).otherwise(of(text_col)))
+    at = column_place(docs, text_col)
+
+    def column(k: int, name: str) -> Column:
+        if k == at:
+            return F.col("text").alias(name)
+        if name.lower() == "n_chars":
+            return F.when(has, F.char_length("text").cast(docs.schema[k].dataType)).otherwise(of(name)).alias(name)
+        return of(name).alias(name)
+
+    return out.select(*(column(k, name) for k, name in enumerate(docs.columns)))

@@ -14,12 +14,13 @@ Elias-Fano keeps the low bits of each value packed and the high bits in unary, a
 value, with one 32-bit select sample for every 256 values: select(i), and span(i, j) for values in a row, read a sample
 and scan on from there, so that offsets are found without a table of 64-bit offsets. Readers find all offsets so.
 
-The rows are dealt by ranges of doc_id, so that shard order is document order. A task writes its shards under a
+The rows are dealt by ranges of doc_id, so that shard order is document order; of equal ids, by the first PREFIX characters
+of their texts and their places in the input, so that no id's rows, however many, meet in one task. A task writes its shards under a
 temporary name and renames them; a task that runs again writes the same bytes to the same names. Files are written
 through pyarrow.fs and read by Spark's binaryFile source.
 
 Defined results: a null or empty text is a document of just the end id; null ids sort first; rows with equal ids are
-kept each, in the order of their texts; ids keep their type (whole numbers, or what a string can be cast to); other
+kept each, in the order of their texts' first PREFIX characters, then as read; ids keep their type (whole numbers, or what a string can be cast to); other
 columns are not read; an empty table writes no shard and gives no rows.
 """
 
@@ -47,6 +48,7 @@ MANIFEST = "part int, shard int, path string, n_docs long, n_ids long"
 READ = "path string, row long, doc_id {}, local_start long, n_tokens long, ids_crc32 long"
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 OUT_ROWS = 20_000
+PREFIX = 16
 
 
 class EliasFano:
@@ -190,8 +192,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
         if names:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumns({"first": F.substring("text", 1, PREFIX), "row": F.monotonically_increasing_id()})
+    dealt = rows.repartitionByRange("id", "first", "row").sortWithinPartitions("id", "first", "row")
     dealt = dealt.select(F.col("id").cast("long" if type_of(docs, id_col) in WHOLE else "string").alias("id"), "text")
     dealt.mapInArrow(shards, MANIFEST).write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")

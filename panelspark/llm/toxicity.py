@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentCache, bound_batches, type_of, written
+from .common import SegmentCache, bound_batches, column_place, type_of, written
 
 GRADES = 3
 WORD = re.compile(r"\w+")
@@ -265,16 +265,18 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not toxic, with all their columns."""
+    """The rows of docs that are not toxic, with all their columns, whatever their names (they go through by place)."""
     bound_batches(docs.sparkSession)
+    at = column_place(docs, text_col)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                b = whole.slice(at, TEXTS)
-                yield b.filter(pa.array(model.scores([t.as_py() for t in b.column(b.schema.get_field_index(text_col))])[1] < model.cut))
+            for first in range(0, whole.num_rows, TEXTS):
+                b = whole.slice(first, TEXTS)
+                yield b.filter(pa.array(model.scores([t.as_py() for t in b.column(at)])[1] < model.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

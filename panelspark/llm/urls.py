@@ -34,11 +34,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, written
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-MARKS = "./-:?=&#%_"
-EDGE, DIGIT, OTHER = "$", "0", "~"
-SYMBOLS = EDGE + DIGIT + OTHER + LETTERS + MARKS
-A = len(SYMBOLS)
 START, END = "\x02", "\x03"
 BINS = 100
 FOLDS = 5
@@ -81,35 +76,6 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return out
 
 
-def witten_bell(counts: dict[int, int]) -> list[float]:
-    """P(c | a b) of all trigrams over A symbols, from their counts: the dense form of the tables of log_ratios()."""
-    of2: dict[int, int] = {}
-    of1: dict[int, int] = {}
-    for g, n in counts.items():
-        of2[g % (A * A)] = of2.get(g % (A * A), 0) + n
-        of1[g % A] = of1.get(g % A, 0) + n
-
-    def contexts(grams: dict[int, int]) -> dict[int, tuple[int, int]]:
-        out: dict[int, tuple[int, int]] = {}
-        for g, n in grams.items():
-            total, kinds = out.get(g // A, (0, 0))
-            out[g // A] = (total + n, kinds + 1)
-        return out
-
-    def mixed(grams: dict[int, int], lower: list[float], size: int) -> list[float]:
-        seen = contexts(grams)
-        out = []
-        for g in range(size):
-            total, kinds = seen.get(g // A, (0, 0))
-            below = lower[g % len(lower)]
-            out.append((grams.get(g, 0) + kinds * below) / (total + kinds) if total else below)
-        return out
-
-    p1 = mixed(of1, [1.0 / A] * A, A)
-    p2 = mixed(of2, p1, A * A)
-    return mixed(counts, p2, A * A * A)
-
-
 def symbols(url: Column) -> Column:
     """The characters after the first `://`, or all, between edges."""
     at = F.instr(url, "://")
