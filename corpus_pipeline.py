@@ -12,8 +12,8 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 Odd rows: null, empty and word-less texts are clean, no copies of each other and hold no secrets, and are packed as
 the end id alone; null ids and repeated rows are rows of their own, except that near_dedup keeps one of equal texts and
-mixing draws for each by itself; null sources are a source; other columns are kept as they are (but for names that
-begin with __); no documents give no sequences.
+mixing draws for each by itself; null sources are a source; other columns are kept as they are, whatever their names;
+no documents give no sequences.
 
 ORACLE_SQL is None, as SQL can express neither the model nor the tokenizer; tests/llm/test_whole_pipeline.py holds
 each stage's rows, and those of run(), against a plain-Python version of all five.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import mixing, packing, secrets, setsketch, toxicity
-from panelspark.llm.common import table, written
+from panelspark.llm.common import free_name, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = setsketch.near_duplicates(rows, size=5, percent=80, id_col="__row")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(first).alias("first")).select("first.__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    row = free_name("row", docs.columns)
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = setsketch.near_duplicates(rows, size=5, percent=80, id_col=row)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    kept = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(first).alias("first")).select(F.col("first")[row].alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
