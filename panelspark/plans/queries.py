@@ -5,6 +5,7 @@ The panel is weekly bars of line items by brand. Doubles are rounded alike in bo
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Callable
@@ -414,9 +415,42 @@ def null_simulation(spark, sf):
 
 @query("stationarity_tests")
 def stationarity_tests(spark, sf):
-    ic = [r["ic"] for r in _ic(spark, sf).where("ic is not null").orderBy("date").collect()]  # a row a session
-    rows = [(k, float(v["statistic"]), float(v["p_value"]), bool(v["stationary"])) for k, v in (("adf", stationarity.adf_test(ic)), ("kpss", stationarity.kpss_test(ic)))]
-    return spark.createDataFrame(rows, "test string, statistic double, p_value double, stationary boolean")
+    ic = _ic(spark, sf)
+    tests = {"adf": stationarity.adf_tests, "kpss": stationarity.kpss_tests}
+    return functools.reduce(DataFrame.unionByName, (f(ic, "ic").select(F.lit(k).alias("test"), "statistic", "p_value", "stationary") for k, f in tests.items()))
+
+
+#: Products of what is away from its mean: level x, lagged difference l, difference y.
+ADF_SQL = ", v AS (SELECT ticker, date, ret AS x, lead(ret) OVER w - ret AS y, ret - lag(ret) OVER w AS l FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date)), c AS (SELECT ticker, x - avg(x) OVER t AS x, y - avg(y) OVER t AS y, l - avg(l) OVER t AS l FROM v WHERE y IS NOT NULL AND l IS NOT NULL WINDOW t AS (PARTITION BY ticker)), z AS (SELECT ticker, count(*) AS n, sum(x * x) AS xx, sum(x * l) AS xl, sum(l * l) AS ll, sum(x * y) AS xy, sum(l * y) AS ly, sum(y * y) AS yy FROM c GROUP BY ticker), b AS (SELECT *, (xy * ll - ly * xl) / (xx * ll - xl * xl) AS b, (ly * xx - xy * xl) / (xx * ll - xl * xl) AS g FROM z) SELECT ticker, CAST(n AS INTEGER) AS n, round(b / sqrt((yy - b * xy - g * ly) / (n - 3) * ll / (xx * ll - xl * xl)), 5) + 0.0 AS statistic FROM b"
+RETS_SQL = PANEL + f", rets AS (SELECT ticker, date, ret FROM (SELECT ticker, date, {change('adj_close', at('adj_close', -1))} AS ret FROM panel) WHERE ret IS NOT NULL), enough AS (SELECT ticker FROM rets GROUP BY ticker HAVING count(*) >= 30)"
+
+
+def _returns(spark, sf):
+    df = lineitem_panel(spark, sf).select("ticker", "date", "session_idx", features.simple_return("adj_close", 1).alias("ret"))
+    return df.withColumn("n", F.count("ret").over(Window.partitionBy("ticker"))).where("n >= 30").drop("n")
+
+
+@query("adf_by_ticker", RETS_SQL.replace("WHERE ret IS NOT NULL)", "WHERE ret IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ticker) >= 30)") + ADF_SQL)
+def adf_by_ticker(spark, sf):
+    """Augmented Dickey-Fuller with one lagged difference, of each brand's returns."""
+    return rounded(stationarity.adf_tests(_returns(spark, sf), "ret", ("ticker",), lags=1).select("ticker", "n", "statistic"), 5)
+
+
+KPSS_SQL = """, e AS (SELECT ticker, row_number() OVER o AS t, ret - avg(ret) OVER k AS e, count(*) OVER k AS n FROM rets JOIN enough USING (ticker) WINDOW k AS (PARTITION BY ticker), o AS (PARTITION BY ticker ORDER BY date)),
+g AS (SELECT a.ticker, b.t - a.t AS k, sum(a.e * b.e) AS g, max(a.n) AS n FROM e a JOIN e b ON a.ticker = b.ticker AND a.t <= b.t GROUP BY ALL),
+s AS (SELECT ticker, n, sum(CASE WHEN k = 0 THEN g ELSE 2 * g END) FILTER (k <= floor(pow(n, 2.0 / 9.0) + 1e-12)) / n AS s0, sum(2 * k * g) FILTER (k <= floor(pow(n, 2.0 / 9.0) + 1e-12)) / n AS s1 FROM g GROUP BY ticker, n),
+l AS (SELECT *, least(n - 1, floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3.0) * pow(n, 1.0 / 3.0))) AS l FROM s),
+v AS (SELECT l.ticker, l.n, l.l, sum(CASE WHEN k = 0 THEN g ELSE 2 * g * (1 - k / (l.l + 1)) END) FILTER (k <= l.l) AS v FROM l JOIN g USING (ticker) GROUP BY l.ticker, l.n, l.l),
+p AS (SELECT ticker, sum(s * s) AS ss FROM (SELECT ticker, sum(e) OVER (PARTITION BY ticker ORDER BY t) AS s FROM e) GROUP BY ticker),
+k AS (SELECT ticker, CAST(l AS INTEGER) AS lags, CAST(n AS INTEGER) AS n, ss / n / v AS stat FROM v JOIN p USING (ticker)),
+q AS (SELECT *, CASE WHEN stat <= 0.347 THEN 0.10 WHEN stat < 0.463 THEN 0.10 + (stat - 0.347) * (0.05 - 0.10) / (0.463 - 0.347) WHEN stat < 0.574 THEN 0.05 + (stat - 0.463) * (0.025 - 0.05) / (0.574 - 0.463) WHEN stat < 0.739 THEN 0.025 + (stat - 0.574) * (0.01 - 0.025) / (0.739 - 0.574) ELSE 0.01 END AS p FROM k)
+SELECT ticker, lags, n, round(stat, 6) + 0.0 AS statistic, round(p, 6) + 0.0 AS p_value, p >= 0.05 AS stationary FROM q"""
+
+
+@query("kpss_by_ticker", RETS_SQL + KPSS_SQL)
+def kpss_by_ticker(spark, sf):
+    """KPSS around a level, of each brand's returns."""
+    return rounded(stationarity.kpss_tests(_returns(spark, sf), "ret", ("ticker",)))
 
 
 # Portfolios and execution

@@ -1,0 +1,147 @@
+"""Tests of many series in one plan against those of one series, and bootstrap replicates against resamples day by day."""
+
+from datetime import date, timedelta
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from panelspark.operators import resampling, stationarity, validation
+
+DAYS = [date(2020, 1, 1) + timedelta(days=k) for k in range(500)]
+
+
+def made():
+    r = np.random.default_rng(8)
+    noise = lambda n: r.normal(size=n)
+    ar = np.zeros(400)
+    for t in range(1, 400):
+        ar[t] = 0.8 * ar[t - 1] + r.normal()
+    return {
+        "noise": noise(300), "walk": 1000 + noise(350).cumsum(), "ar": ar, "trend": 0.05 * np.arange(200) + noise(200), "short": noise(11), "few": noise(9),
+        "ten": noise(10), "flat": np.full(40, 2.5), "holes": np.where(np.arange(120) % 7 == 3, np.nan, noise(120).cumsum()), "twenty": noise(20).cumsum(),
+    }
+
+
+@pytest.fixture(scope="module")
+def series(spark):
+    rows = [(k, "x", DAYS[t], None if np.isnan(v) else float(v)) for k, s in made().items() for t, v in enumerate(s)]
+    return spark.createDataFrame(rows, "name string, part string, date date, v double").repartition(3)
+
+
+def check(got, want):
+    for k, w in want.items():
+        g = got[k]
+        assert (g["lags"], g["n"], g["stationary"]) == (w["lags"], w["n"], w["stationary"]), k
+        for c in ("statistic", "p_value"):
+            assert (np.nan if g[c] is None else g[c]) == pytest.approx(w[c], rel=1e-7, abs=1e-9, nan_ok=True), (k, c)
+
+
+def test_adf_tests(series):
+    got = {r["name"]: r for r in stationarity.adf_tests(series, "v", ("name", "part")).collect()}
+    check({k: v for k, v in got.items() if k not in ("few", "flat")}, {k: stationarity.adf_test(v) for k, v in made().items() if k not in ("few", "flat")})
+    assert got["few"]["statistic"] is None and got["flat"]["p_value"] is None and not got["flat"]["stationary"]
+
+
+@pytest.mark.parametrize("lags", [0, 1, 3])
+def test_fixed_lags(series, lags):
+    got = {r["name"]: r for r in stationarity.adf_tests(series, "v", ("name",), lags=lags).collect()}
+    for k in ("noise", "walk", "holes"):
+        x = made()[k]
+        x = x[~np.isnan(x)]
+        d = np.diff(x)
+        rows = np.arange(lags, len(d))
+        z = np.column_stack([x[rows], *(d[rows - j] for j in range(1, lags + 1)), np.ones(len(rows))])
+        beta, rest, sse = stationarity._ols(d[rows], z)
+        tau = beta[0] / np.sqrt(sse / (len(rows) - z.shape[1]) * np.linalg.inv(z.T @ z)[0, 0])
+        assert got[k]["statistic"] == pytest.approx(tau, rel=1e-8) and got[k]["lags"] == lags
+
+
+@pytest.mark.parametrize("regression", ["c", "ct"])
+def test_kpss_tests(series, regression):
+    got = {r["name"]: r for r in stationarity.kpss_tests(series, "v", ("name", "part"), regression=regression).collect()}
+    check(got, {k: stationarity.kpss_test(v, regression) for k, v in made().items()})
+
+
+def test_series_without_keys_or_values(spark, series):
+    one = series.where("name = 'walk'")
+    check({"walk": stationarity.adf_tests(one, "v").first()}, {"walk": stationarity.adf_test(made()["walk"])})
+    check({"walk": stationarity.kpss_tests(one, "v").first()}, {"walk": stationarity.kpss_test(made()["walk"])})
+    assert stationarity.adf_tests(one.where("false"), "v").collect() == [] == stationarity.kpss_tests(one.where("false"), "v").collect() == stationarity.kpss_tests(one.where("false"), "v", ("name",)).collect()
+
+
+def returns():
+    r = np.random.default_rng(9)
+    ruin = r.normal(0, 0.02, 40)
+    ruin[[3, 20]] = -1.5, -1.0
+    odd = r.normal(0, 0.02, 40)
+    odd[5] = -1.7
+    return {"a": r.normal(0.001, 0.01, 120), "ruin": ruin, "odd": odd, "flat": np.full(30, 0.01), "two": np.array([0.1, -0.2]), "one": np.array([0.3])}
+
+
+def test_replicates_are_resamples_of_days(spark):
+    rows = [(k, DAYS[t], float(v)) for k, s in returns().items() for t, v in enumerate(s)] + [("a", DAYS[400], None), (None, DAYS[0], 0.1)]
+    df = spark.createDataFrame(rows, "run_id string, date date, daily_return double")
+    sizes = spark.createDataFrame([(k, len(s)) for k, s in returns().items()], "run_id string, n int")
+    draws = resampling.block_draws(sizes, 40, 0.1)
+    got = {(r["run_id"], r["replicate"]): r for r in resampling.bootstrap_replicates(df, "daily_return", ("run_id",), draws=draws).collect()}
+    by = {}
+    for r in draws.collect():
+        by.setdefault((r["run_id"], r["replicate"]), []).append((r["start"], r["length"]))
+    assert set(got) == set(by) and len(by) == 40 * 6
+    for (k, b), blocks in by.items():
+        x = returns()[k]
+        n = len(x)
+        assert sum(length for _, length in blocks) == n and all(0 <= s < n and length > 0 for s, length in blocks)
+        drawn = np.concatenate([x[(s + np.arange(length)) % n] for s, length in blocks])
+        sd = drawn.std(ddof=1) if n > 1 else 0.0
+        grown = np.prod(1 + drawn)
+        want = (drawn.mean(), drawn.mean() / sd * np.sqrt(252) if sd > 1e-12 else 0.0, grown ** (252 / n) - 1 if grown > 1e-300 else -1.0)
+        assert (got[k, b]["mean"], got[k, b]["sharpe"], got[k, b]["cagr"]) == pytest.approx(want, rel=1e-8, abs=1e-10), (k, b)
+
+
+def test_draws_are_geometric_and_cover_all_starts(spark):
+    sizes = spark.createDataFrame([("a", 50)], "k string, n int")
+    d = resampling.block_draws(sizes, 3000, 0.2).toPandas()
+    full = d[d.groupby("replicate").cumcount(ascending=False) > 0]
+    assert full["length"].mean() == pytest.approx(4.55, abs=0.15)  # 5, but that lengths are those of blocks that end within
+    assert d["start"].value_counts(normalize=True).between(0.015, 0.025).all() and len(d["start"].unique()) == 50
+    again = resampling.block_draws(sizes.repartition(2), 3000, 0.2).toPandas()
+    order = ["replicate", "start", "length"]
+    assert d[order].sort_values(order).reset_index(drop=True).equals(again[order].sort_values(order).reset_index(drop=True))
+
+
+def test_intervals_agree_with_the_serial_form(spark):
+    x = np.random.default_rng(0).normal(0.001, 0.01, 250)
+    df = spark.createDataFrame([(r, DAYS[t], float(v)) for r in ("p", "q") for t, v in enumerate(x)] + [("s", DAYS[t], 0.01 * t) for t in range(9)], "run_id string, date date, daily_return double")
+    got = {(r["run_id"], r["metric"]): (r["low"], r["high"]) for r in validation.pnl_intervals(df).collect()}
+    serial = validation.pnl_bootstrap(x)
+    for m, wide in (("sharpe", 0.35), ("cagr", 0.06)):
+        assert got["p", m] == got["q", m] == pytest.approx(serial[m], abs=wide)
+        assert got["s", m] == (0.0, 0.0)
+
+
+def test_hashed_permutations(spark):
+    r = np.random.default_rng(4)
+    rows = [(DAYS[d], f"T{i}", float(r.integers(0, 5)) if d else 1.0, float(r.normal())) for d in range(12) for i in range(3 + d)]
+    df = spark.createDataFrame(rows, "date date, ticker string, s double, y double").repartition(5)
+    ics = {x["replicate"]: x["ic"] for x in resampling.permutation_ics(df, "s", "y", 60, draws="hash").collect()}
+    serial, p, means = resampling.serial_permutation_test(pd.DataFrame(rows, columns=["date", "ticker", "x", "y"]), 60)
+    assert ics.pop(-1) == pytest.approx(serial) and len(ics) == 60
+    assert np.mean([*ics.values()]) == pytest.approx(means.mean(), abs=0.08) and np.std([*ics.values()]) == pytest.approx(means.std(), rel=0.4)
+    import hashlib
+
+    total = []
+    for d in range(1, 12):
+        day = sorted((t, s, y) for when, t, s, y in rows if when == DAYS[d])
+        if len(day) < 5:
+            continue
+        x, y = (pd.Series([row[k] for row in day]).rank() for k in (1, 2))
+        x, y = x - x.mean(), y - y.mean()
+        order = sorted(range(len(day)), key=lambda k: hashlib.md5(f"42:7:{DAYS[d]}:{day[k][0]}".encode()).hexdigest())
+        total.append(float(np.dot(x.to_numpy()[order], y)) / np.sqrt((x**2).sum() * (y**2).sum()))
+    assert ics[7] == pytest.approx(np.mean(total))
+    observed, p = resampling.permutation_test(df, "s", "y", 60, draws="hash")
+    assert observed == pytest.approx(serial) and 0 < p <= 1
+    with pytest.raises(ValueError, match="hash"):
+        resampling.permutation_ics(df, "s", "y", draws="dice")
