@@ -5,8 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import ratio
@@ -17,7 +16,7 @@ TOLERANCE = 1e-6
 def project(weights: np.ndarray, max_position: float = 0.10, max_gross: float = 1.0, max_net: float = 0.20) -> np.ndarray:
     """The nearest weights (least squares) with |w| <= max_position, sum |w| <= max_gross and |sum w| <= max_net.
 
-    By the optimality conditions they have the form clip(soft(w - a, m), +-max_position): m shrinks to the gross limit,
+    The plain form of constrained(), for one cross-section. By the optimality conditions they have the form clip(soft(w - a, m), +-max_position): m shrinks to the gross limit,
     and a moves the sum to the net limit. Both are found by bisection, m within a.
     """
     w = np.asarray(weights, float)
@@ -47,31 +46,65 @@ def project(weights: np.ndarray, max_position: float = 0.10, max_gross: float =
     return shrunk(side * high)
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def level(values: Column, cap: float, target: Column) -> Column:
+    """The t with sum(min(max(y - t, 0), cap)) = target over values y, exactly: the sum is a broken line in t, which bends
+    at each y and y - cap, and is followed from its right end, where it is 0, with its height and slope. Its right end for
+    a target of 0 or less, its left one for more than it reaches."""
+    bends = F.concat(F.transform(values, lambda y: F.struct(y.alias("at"), F.lit(1).alias("bend"))), F.transform(values, lambda y: F.struct((y - F.lit(cap)).alias("at"), F.lit(-1).alias("bend"))))
+    begin = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0.0).alias("height"), F.lit(0).alias("slope"), F.lit(None).cast("double").alias("t"))
+
+    def on(s: Column, x: Column) -> Column:
+        height = s["height"] + s["slope"] * (F.coalesce(s["at"], x["at"]) - x["at"])
+        hit = s["t"].isNull() & (height >= target)
+        t = F.when(hit, F.when(s["slope"] > 0, s["at"] - F.try_divide(target - s["height"], s["slope"].cast("double"))).otherwise(x["at"])).otherwise(s["t"])
+        return F.struct(x["at"].alias("at"), height.alias("height"), (s["slope"] + x["bend"]).alias("slope"), t.alias("t"))
+
+    return F.aggregate(F.sort_array(bends, asc=False), begin, on, lambda s: F.coalesce(s["t"], s["at"]))
+
+
+def with_projection(days: DataFrame, max_position: float, max_gross: float, max_net: float) -> DataFrame:
+    """days (__x, an array of weights without nulls; __held, with nulls) with __new: __held moved to the nearest weights
+    within the limits; null where __x is. The nearest have the form clip(soft(w - a, m), +-max_position), and there are four
+    cases: no limit on sums binds; gross alone does (a = 0); net alone does (m = 0); or both, when the sums of long and of
+    short weights are known, and so each side has a level of its own (a + m and m - a). Each is one level()."""
+    c, gross, net = (F.lit(float(x)) for x in (max_position, max_gross, max_net))
+    col = F.col
+    clip = lambda x: F.greatest(F.least(x, c), -c)
+    part = lambda x: F.least(F.greatest(x, F.lit(0.0)), c)
+    soft = lambda x: F.signum(x) * part(F.abs(x) - col("__m"))
+    both = col("__beyond") & ~col("__alone")
+    steps = {
+        "__clip": F.transform("__x", clip),
+        "__m": F.when(_total(F.transform("__clip", F.abs)) > gross, F.greatest(level(F.transform("__x", F.abs), max_position, gross), F.lit(0.0))).otherwise(0.0),
+        "__sum": _total(F.transform("__x", soft)),
+        "__side": F.signum("__sum"),
+        "__beyond": F.abs("__sum") > net + 1e-15,
+        "__a": F.when(col("__beyond") & (col("__side") * _total(col("__clip")) > net), level(F.transform("__x", lambda x: x + c), 2.0 * max_position, col("__side") * net + F.size("__x") * c)),
+        "__alone": F.coalesce(_total(F.transform("__x", lambda x: F.abs(clip(x - col("__a"))))) <= gross + 1e-12, F.lit(False)),
+        "__up": F.when(both, level(col("__x"), max_position, (gross + col("__side") * net) / 2.0)),
+        "__down": F.when(both, level(F.transform("__x", F.negative), max_position, (gross - col("__side") * net) / 2.0)),
+    }
+    for name, column in steps.items():
+        days = days.withColumn(name, column)
+    new = lambda x: F.when(~col("__beyond"), soft(x)).when(col("__alone"), clip(x - col("__a"))).otherwise(part(x - col("__up")) - part(-x - col("__down")))
+    return days.withColumn("__new", F.when(col("__x").isNotNull(), F.transform("__held", lambda x: F.when(x.isNotNull(), new(x)))))
+
+
 def constrained(df: DataFrame, max_position: float = 0.10, max_gross: float = 1.0, max_net: float = 0.20, weight: str = "target_weight", keys: tuple[str, ...] = ("date",)) -> DataFrame:
-    """df with weights within the limits. A date's rows are gathered (a cross-section of tickers); the weights of dates
-    that break a limit go to numpy as an array each, all else stays in the JVM."""
-    add = lambda a, x: a + F.coalesce(x, F.lit(0.0))
-    total = lambda values: F.aggregate(values, F.lit(0.0), add)
+    """df with weights within the limits, the nearest to those given. A date's rows are gathered (a cross-section of
+    tickers); its weights are moved only if they break a limit. All of it stays in the JVM."""
     held = F.transform("__rows", lambda r: r[weight].cast("double"))
-    size = F.transform(held, F.abs)
-    ok = (F.coalesce(F.array_max(size), F.lit(0.0)) <= max_position + TOLERANCE) & (total(size) <= max_gross + TOLERANCE) & (F.abs(total(held)) <= max_net + TOLERANCE)
-
-    @F.arrow_udf("array<double>")
-    def fixed(column: pa.Array) -> pa.Array:
-        out = []
-        for values in column.to_pylist():
-            if values is not None:
-                has = [k for k, v in enumerate(values) if v is not None]
-                for k, v in zip(has, project(np.array([values[k] for k in has], float), max_position, max_gross, max_net).tolist()):
-                    values[k] = v
-            out.append(values)
-        return pa.array(out, pa.list_(pa.float64()))
-
+    size = F.transform("__has", F.abs)
+    ok = (F.coalesce(F.array_max(size), F.lit(0.0)) <= max_position + TOLERANCE) & (_total(size) <= max_gross + TOLERANCE) & (F.abs(_total(F.col("__has"))) <= max_net + TOLERANCE)
     days = df.groupBy(*keys).agg(F.collect_list(F.struct(*df.columns)).alias("__rows"))
-    days = days.select("__rows", held.alias("__held"), F.when(~ok, held).alias("__bad"))
-    days = days.select("__rows", F.coalesce(fixed("__bad"), F.col("__held")).alias("__w"))
-    rows = days.select(F.posexplode("__rows").alias("__k", "__r"), "__w").select("__r", F.get("__w", F.col("__k")).alias("__new"))
-    return rows.select(*(F.col("__new").cast(df.schema[c].dataType).alias(c) if c == weight else F.col("__r")[c].alias(c) for c in df.columns))
+    days = days.select("__rows", held.alias("__held")).withColumn("__has", F.filter("__held", lambda w: w.isNotNull()))
+    days = with_projection(days.withColumn("__x", F.when(~ok, F.col("__has"))), max_position, max_gross, max_net)
+    rows = days.select(F.posexplode("__rows").alias("__k", "__r"), F.coalesce("__new", "__held").alias("__w")).select("__r", F.get("__w", F.col("__k")).alias("__to"))
+    return rows.select(*(F.col("__to").cast(df.schema[c].dataType).alias(c) if c == weight else F.col("__r")[c].alias(c) for c in df.columns))
 
 
 class BasePortfolioConstructor(ABC):

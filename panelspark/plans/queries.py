@@ -22,7 +22,7 @@ from panelspark.sources.panels import BLOCKED_TICKERS, canonical_ticker, lineite
 from panelspark.sources.provider import download, write_provider_files
 from panelspark.sources.tables import shared_folder
 
-from . import ledger_sql, resampling_sql
+from . import ledger_sql, projection_sql, resampling_sql
 from .research import horizon_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -489,6 +489,25 @@ def weights_projected(spark, sf):
     return rounded(portfolio.SignalWeightedLongShort(max_position=0.05).construct(_signals(spark, sf), "mean_reversion_signal").select("date", "ticker", "target_weight"))
 
 
+#: Weights that are neither neutral nor small, so that all limits bind on most dates, and each case of them on some.
+LIMITED = SIGNAL_SQL + ", rw AS (SELECT date, ticker, 0.15 * mean_reversion_signal + 0.08 * sin(session_idx) AS w FROM s)"
+LIMITS = {"max_position": 0.08, "max_gross": 0.6, "max_net": 0.1}
+
+
+@query("weights_limited", LIMITED + projection_sql.projected("rw", *LIMITS.values()) + " SELECT date, ticker, round(target_weight, 6) + 0.0 AS target_weight FROM px")
+def weights_limited(spark, sf):
+    raw = _signals(spark, sf).where("mean_reversion_signal is not null").select("date", "ticker", (F.lit(0.15) * F.col("mean_reversion_signal") + F.lit(0.08) * F.sin("session_idx")).alias("target_weight"))
+    return rounded(portfolio.constrained(raw, **LIMITS))
+
+
+@query("limits_that_bind", LIMITED + projection_sql.projected("rw", *LIMITS.values()) + ", e AS (SELECT date, max(abs(target_weight)) AS top, sum(abs(target_weight)) AS gross, abs(sum(target_weight)) AS net FROM px GROUP BY date) SELECT top > 0.08 - 1e-7 AS position, gross > 0.6 - 1e-7 AS gross, net > 0.1 - 1e-7 AS net, count(*) AS dates FROM e GROUP BY ALL")
+def limits_that_bind(spark, sf):
+    """On how many dates which limits bind."""
+    raw = _signals(spark, sf).where("mean_reversion_signal is not null").select("date", "ticker", (F.lit(0.15) * F.col("mean_reversion_signal") + F.lit(0.08) * F.sin("session_idx")).alias("w"))
+    days = portfolio.constrained(raw, **LIMITS, weight="w").groupBy("date").agg(F.max(F.abs("w")).alias("top"), F.sum(F.abs("w")).alias("gross"), F.abs(F.sum("w")).alias("net"))
+    return days.groupBy((F.col("top") > 0.08 - 1e-7).alias("position"), (F.col("gross") > 0.6 - 1e-7).alias("gross"), (F.col("net") > 0.1 - 1e-7).alias("net")).agg(F.count("*").alias("dates"))
+
+
 @query("cost_fills", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"round({v}, 5) AS {k}" for k, v in {"fill_price": "CASE WHEN l_returnflag = 'R' THEN greatest((l_extendedprice / l_quantity) * (1 - 0.001), 0.01) ELSE (l_extendedprice / l_quantity) * (1 + 0.001) END", "commission": "(l_extendedprice / l_quantity) * l_quantity * 0.0005", "spread_cost": "(l_extendedprice / l_quantity) * l_quantity * 0.0005", "slippage_cost": "(l_extendedprice / l_quantity) * l_quantity * 0.0005"}.items()) + " FROM lineitem")
 def cost_fills(spark, sf):
     items = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
