@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import average_rank
 from panelspark.functions.dist import normal_two_sided
+from panelspark.functions.progress import Progress, watched
 from panelspark.sources.tables import written
 
 
@@ -95,6 +96,18 @@ def bootstrap_intervals(replicates: DataFrame, columns: tuple[str, ...] = ("mean
     return replicates.groupBy(*keys).agg(*(F.percentile(c, F.lit(q)).alias(f"{c}_{name}") for c in columns for name, q in (("low", tail), ("high", 1 - tail))))
 
 
+def bootstrap_interval(series: DataFrame, value: str, replicates: int = 10_000, confidence: float = 0.95, block: int | None = None, seed: int = 42, order: str = "date", progress: Progress | None = None) -> tuple[float, float, float]:
+    """(mean, lower, upper) of one series, as bootstrap_mean_ci() has them, from draws as rows; NaN for no values, and the
+    mean for fewer than 5. progress: gets (completed, total) as tasks end."""
+    held = series.agg(F.avg(value).alias("mean"), F.count(value).alias("n")).first()
+    mean = float("nan") if held["mean"] is None else held["mean"]
+    if held["n"] < 5:
+        return mean, mean, mean
+    with watched(series.sparkSession, replicates, progress):
+        found = bootstrap_intervals(bootstrap_replicates(series, value, (), order, replicates, block, seed), ("mean",), (), confidence).first()
+    return mean, found["mean_low"], found["mean_high"]
+
+
 def _stationary_means(x: np.ndarray, rng: np.random.Generator, replicates: int, p: float) -> np.ndarray:
     """Means of stationary bootstrap resamples: runs go on circularly until a new block begins."""
     n = len(x)
@@ -113,15 +126,21 @@ def block_probability(n: int, block: int | None) -> float:
     return 1.0 / max(2.0, float(block) if block is not None else n ** (1.0 / 3.0))
 
 
-def bootstrap_mean_ci(values: np.ndarray, replicates: int = 10_000, confidence: float = 0.95, block: int | None = None, seed: int = 42, batch: int = 5000) -> tuple[float, float, float]:
-    """(mean, lower, upper) of one series, in one stream; the batch size is part of the result."""
+def bootstrap_mean_ci(values: np.ndarray, replicates: int = 10_000, confidence: float = 0.95, block: int | None = None, seed: int = 42, batch: int = 5000, progress: Progress | None = None) -> tuple[float, float, float]:
+    """(mean, lower, upper) of one series, in one stream; the batch size is part of the result. progress: gets (completed,
+    total) after each batch."""
     x = np.asarray(values, float)
     x = x[~np.isnan(x)]
     if len(x) < 5:
         m = float(x.mean()) if len(x) else float("nan")
         return m, m, m
     rng, p = np.random.default_rng(seed), block_probability(len(x), block)
-    means = np.concatenate([_stationary_means(x, rng, min(batch, replicates - at), p) for at in range(0, replicates, batch)])
+    means = []
+    for at in range(0, replicates, batch):
+        means.append(_stationary_means(x, rng, min(batch, replicates - at), p))
+        if progress:
+            progress(min(at + batch, replicates), replicates)
+    means = np.concatenate(means)
     tail = (1.0 - confidence) / 2.0 * 100.0
     low, high = np.percentile(means, [tail, 100.0 - tail])
     return float(x.mean()), float(low), float(high)
@@ -203,9 +222,11 @@ def permutation_ics(df: DataFrame, signal: str, target: str, permutations: int =
     return pairs.groupBy("date").applyInPandas(run, "replicate long, ic double").groupBy("replicate").agg(F.avg("ic").alias("ic"))
 
 
-def permutation_test(df: DataFrame, signal: str, target: str, permutations: int = 1000, seed: int = 42, least: int = 5, draws: str = "stream") -> tuple[float, float]:
-    """(observed mean IC, two-sided p = (1 + hits) / (permutations + 1))."""
-    ics = {r["replicate"]: r["ic"] for r in permutation_ics(df, signal, target, permutations, seed, least, draws=draws).collect()}  # a row a permutation
+def permutation_test(df: DataFrame, signal: str, target: str, permutations: int = 1000, seed: int = 42, least: int = 5, draws: str = "stream", progress: Progress | None = None) -> tuple[float, float]:
+    """(observed mean IC, two-sided p = (1 + hits) / (permutations + 1)). progress: gets (completed, total) as tasks end."""
+    with watched(df.sparkSession, permutations, progress):
+        rows = permutation_ics(df, signal, target, permutations, seed, least, draws=draws).collect()  # a row a permutation
+    ics = {r["replicate"]: r["ic"] for r in rows}
     observed = ics.pop(-1, None)
     if observed is None:
         return float("nan"), float("nan")

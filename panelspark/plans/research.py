@@ -14,16 +14,35 @@ from panelspark.operators.resampling import permutation_test
 from panelspark.operators.signals import CombinedSignal, get_signal
 from panelspark.sources.calendar import trading_sessions
 from panelspark.sources.config import ExperimentConfig
-from panelspark.sources.panels import ingest, load_ohlcv, with_session_idx, write_panel
+from panelspark.sources.panels import ingest, load_ohlcv, with_session_idx, write_metadata, write_panel
+from panelspark.sources.provider import download
+from panelspark.sources.tables import cached, file_state, settings_key
 
 
 def ingest_panel(spark: SparkSession, raw: DataFrame, requested: list[str], start: str, end: str, path: str) -> quality.QualityReport:
-    """Raw provider rows to a clean panel at path, and the report."""
-    clean, report = quality.clean(ingest(raw, requested, start), trading_sessions(spark, start, end))
-    write_panel(clean, path, report.terminated)
+    """Raw provider rows to a clean panel at path, and the report, which is observed while the panel is written."""
+
+    def write(panel: DataFrame) -> DataFrame:
+        write_panel(panel, path)
+        return spark.read.schema(panel.schema).parquet(path)
+
+    _, report = quality.clean_to(ingest(raw, requested, start), trading_sessions(spark, start, end), write)
+    write_metadata(spark, path, report.terminated)
     return report
 
 
+def provided_panel(spark: SparkSession, folder: str, tickers: list[str], start: str, end: str, cache: str, **options) -> tuple[DataFrame, str]:
+    """(the clean panel of a provider's files, its key): made and written in the folder cache where it does not hold the
+    panel of these files, as they are now, and these settings; read from there else."""
+    key = f"{file_state(spark, folder)}-{settings_key({'tickers': sorted(tickers), 'start': start, 'end': end} | options)}"
+
+    def make() -> DataFrame:
+        rows, _ = download(spark, folder, tickers, start, end, **options)
+        return quality.clean(rows, trading_sessions(spark, start, end))[0]
+
+    return cached(spark, cache, key, make), key
+
+
 def signal_panel(panel: DataFrame, **options) -> DataFrame:
     """The panel with features and all five signals."""
     return CombinedSignal().compute(compute_features(panel, **options))

@@ -3,6 +3,8 @@ once, which also cuts the lineage and survives lost executors."""
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import tempfile
 import uuid
@@ -57,6 +59,22 @@ def cached(spark: SparkSession, folder: str, key: str, make: Callable[[], DataFr
     return spark.read.parquet(path)
 
 
+def file_state(spark: SparkSession, *paths: str) -> str:
+    """A key of files or folders as they are now: 16 hex digits of their paths, sizes, numbers of files and times."""
+    said = []
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        sizes = fs.getContentSummary(at)
+        said.append(f"{fs.makeQualified(at)}:{sizes.getLength()}:{sizes.getFileCount()}:{fs.getFileStatus(at).getModificationTime()}")
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
+
+
+def settings_key(settings: dict) -> str:
+    """16 hex digits of the settings' JSON, keys in order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
 class Scratch:
     """Tables that only the steps up to a written result need; remove() removes them all."""
 
