@@ -156,8 +156,9 @@ def threshold(held: DataFrame) -> float:
     return at
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """(id, host, path, rule, verdict, score) of every row of pages."""
+def scored(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> tuple[DataFrame, float]:
+    """(rows with the rules' verdicts (said) and the model's scores, the cut). learns: false for the part of the urls that
+    the model does not count and the cut is chosen on."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
@@ -169,9 +170,21 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id",
     rejected = F.col("said") == "block"
     found = scores(rows.select("row", "url", (F.col("said").isNotNull() & F.col("learns")).alias("counts"), rejected.alias("rejected")))
     if found is None:
-        rows, most = rows.withColumn("score", F.lit(None).cast("double")), math.inf
-    else:
-        rows = rows.join(found, "row", "left")
-        most = threshold(rows.where("said is not null and score is not null and not learns").select(rejected.alias("rejected"), "score"))
+        return rows.withColumn("score", F.lit(None).cast("double")), math.inf
+    rows = rows.join(found, "row", "left")
+    return rows, threshold(rows.where("said is not null and score is not null and not learns").select(rejected.alias("rejected"), "score"))
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, host, path, rule, verdict, score) of every row of pages."""
+    rows, most = scored(pages, rules, id_col, url_col)
     by_model = F.when(F.coalesce(F.col("score") > F.lit(most), F.lit(False)), "block").otherwise("allow")
     return rows.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("said", by_model).alias("verdict"), "score")
+
+
+def held_back_error(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(said, n, wrong): of the urls with a rule that the model has not counted, by the rule's verdict, how many there are
+    and how many the model judges otherwise (the cut is chosen on them)."""
+    rows, most = scored(pages, rules, id_col, url_col)
+    held = rows.where("said is not null and score is not null and not learns")
+    return held.groupBy("said").agg(F.count("*").alias("n"), F.count_if((F.col("score") > F.lit(most)) != (F.col("said") == "block")).alias("wrong"))

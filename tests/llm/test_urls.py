@@ -71,3 +71,11 @@ def test_urls_within_urls(spark):
     given += ["http://casino.org/go?u=https://good.com/garden7", "http://garden.org/go?u=https://good.com/garden7"]
     got = [x["score"] for x in urls.judge_urls(pages(spark, given), RULES).orderBy("page_id").collect()][-2:]
     assert got[0] > got[1] + 1e-3
+
+
+def test_held_back_error(spark):
+    r = random.Random(8)
+    given = [f"http://{h}/{w * r.randint(1, 3)}{r.randint(0, 99)}" for h, w in (("bad.com", "casino"), ("good.com", "garden")) for _ in range(150)]
+    got = {x["said"]: (x["n"], x["wrong"]) for x in urls.held_back_error(pages(spark, given), RULES).collect()}
+    assert set(got) == {"allow", "block"} and sum(n for n, _ in got.values()) < 120 and all(n > 10 and wrong <= 0.1 * n for n, wrong in got.values())
+    assert urls.held_back_error(pages(spark, ["http://good.com/a"]), RULES).collect() == []
