@@ -93,7 +93,9 @@ def differing(a: str, b: str) -> Column:
 
 def links(nodes: DataFrame, scratch: Scratch, width: int = WIDTH, full: int = FULL) -> DataFrame:
     """(a, b): pairs of nodes that differ in at most 2 bits, enough to connect all such pairs."""
-    dealt = in_cells(nodes, width)
+    # a node becomes many rows: spread over all tasks, not by the few bytes that nodes take
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = in_cells(nodes.repartition(tasks, "node"), width)
     met = scratch.written(dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = scratch.written(dealt.join(met, "cell"))
     some = dealt.where(F.col("n") <= full)
