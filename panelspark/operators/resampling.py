@@ -29,6 +29,11 @@ def uniforms(*of: Column | str) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / float(1 << 52) for at in (1, 14))
 
 
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows by columns over all tasks: each becomes many, which the few bytes it takes do not tell."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def most_blocks(n: int | Column, p: float) -> Column:
     """More blocks than a replicate of n values begins, but with a chance below 1e-9 (if not, its last one goes on)."""
     expected = n * F.lit(p)
@@ -40,6 +45,7 @@ def block_draws(sizes: DataFrame, replicates: int, p: float, seed: int = 42) ->
     values, circular: start from 0, lengths geometric with mean 1 / p, cut so that a replicate has n values."""
     keys = [c for c in sizes.columns if c != "n"]
     rows = sizes.where("n > 0").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    rows = _spread(rows, *keys, "replicate")
     rows = rows.withColumns({"__last": most_blocks(F.col("n"), p) - 1}).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("__last"))))
     u, v = uniforms(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("block").cast("string"))
     rows = rows.withColumns({"__u": u, "__v": v})
@@ -190,7 +196,7 @@ def hashed_permutation_ics(pairs: DataFrame, permutations: int = 1000, seed: int
     rows = F.array_sort(F.collect_list(F.struct("ticker", "x", "y")))
     days = ranks.groupBy("date").agg(rows.alias("rows"), (norm("x") * norm("y")).alias("norm")).where("norm > 1e-12")
     days = days.select("date", F.transform("rows", lambda r: F.struct(r["ticker"].alias("ticker"), r["x"].alias("x"))).alias("signal"), F.transform("rows", lambda r: r["y"] / F.col("norm")).alias("w"))
-    days = days.repartition("date").withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))))
+    days = _spread(days, "date").withColumn("replicate", F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))))
     named = F.concat_ws(":", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("date").cast("string"))
     order = F.array_sort(F.transform("signal", lambda s: F.struct(F.md5(F.concat_ws(":", named, s["ticker"])).alias("h"), s["ticker"].alias("ticker"), s["x"].alias("x"))))
     drawn = F.when(F.col("replicate") < 0, F.transform("signal", lambda s: s["x"])).otherwise(F.transform(order, lambda s: s["x"]))
