@@ -24,6 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a table, in their order, dealt over all cores if fewer tasks would read them. A row group is one task's,
+    however many cores there are, so what is computed row by row from a table of few row groups would leave most idle.
+    A table of as many files as cores, or of as many tasks with rows (counted from the files' footers), is left as it is,
+    so that large tables are never moved. Rows and columns are the same, whatever their names."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores:
+        return rows
+    sizes = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).limit(cores).collect()
+    if not 0 < len(sizes) < cores:
+        return rows
+    total, before = 0, []
+    for part, n in sorted(sizes):
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    at = free_name("row", rows.columns)
+    place = F.create_map(*before)[F.shiftright(at, 33).cast("int")] + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.withColumn(at, F.monotonically_increasing_id())
+    return dealt.repartitionById(cores, (F.floor(place * cores / total)).cast("int")).sortWithinPartitions(at).drop(at)
+
+
 #: Bits of with_maybe()'s filter: 4 MB at most, whatever the input.
 FILTER_BITS = 1 << 25
 #: Spark's own bound on the bytes that a Python worker is sent at once, and ours.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import secrets
 from .ann import nearest
-from .common import table
+from .common import spread, table
 from .mixing import mix
 from .packing import pack_documents
 from .periodic import periodic_runs
@@ -37,27 +37,27 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+    return near_duplicates(spread(table(spark, sf_dir, "documents")), size=2, percent=80)
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules_of_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rules_of_quality(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(spread(table(spark, sf_dir, "documents")))
 
 
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge_urls(spread(table(spark, sf_dir, "pages")), URL_RULES)
 
 
 def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return count_tokens(spread(table(spark, sf_dir, "documents")), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,11 +77,11 @@ def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def periodic_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return periodic_runs(table(spark, sf_dir, "documents"), plant=True, details=False).drop("n_words")
+    return periodic_runs(spread(table(spark, sf_dir, "documents")), plant=True, details=False).drop("n_words")
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_duplicates(table(spark, sf_dir, "documents"))
+    return simhash_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

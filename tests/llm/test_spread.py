@@ -1,0 +1,32 @@
+"""Tables of few row groups are dealt over all cores: the same rows, in the same order."""
+
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("public_tokenizers")
+
+from panelspark.llm.common import spread  # noqa: E402
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_rows_keep_their_order(spark, tmp_path, files):
+    rows = spark.range(0, 1003, 1, files).select("id", (F.col("id") % 7).alias("row"), F.lit(None).cast("string").alias("Row_"), F.col("id").alias("a.b"))
+    rows.write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    dealt = spread(table)
+    assert dealt.columns == table.columns and dealt.collect() == table.collect()
+    sizes = [n for _, n in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= 1
+    assert "Exchange" in dealt._jdf.queryExecution().toString()
+
+
+def test_tables_of_many_files_stay_where_they_are(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, 100, 1, cores).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert spread(table) is table
+
+
+def test_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "id long, text string").write.parquet(f"{tmp_path}/t")
+    assert spread(spark.read.parquet(f"{tmp_path}/t")).collect() == []
