@@ -42,7 +42,8 @@ def spread(rows: DataFrame) -> DataFrame:
     at = free_name("row", rows.columns)
     place = F.create_map(*before)[F.shiftright(at, 33).cast("int")] + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
     dealt = rows.withColumn(at, F.monotonically_increasing_id())
-    return dealt.repartitionById(cores, (F.floor(place * cores / total)).cast("int")).sortWithinPartitions(at).drop(at)
+    to = F.coalesce(F.pmod(F.floor(place * cores / total), F.lit(cores)), F.lit(0)).cast("int")
+    return dealt.repartitionById(cores, to).sortWithinPartitions(at).drop(at)
 
 
 #: Bits of with_maybe()'s filter: 4 MB at most, whatever the input.
