@@ -30,20 +30,20 @@ from panelspark.llm.common import free_name, spread, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.drop_toxic(docs, toxicity.fit(spread(docs), table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name("row", docs.columns)
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = setsketch.near_duplicates(rows, size=5, percent=80, id_col=row)
+    found = setsketch.near_duplicates(spread(rows), size=5, percent=80, id_col=row)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
     kept = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(first).alias("first")).select(F.col("first")[row].alias(row))
     return rows.join(kept, row, "left_semi").drop(row)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secrets.redact(docs)
+    return secrets.redact(spread(docs))  # up to here tables keep the order of their rows, by which near_dedup decides ties
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
