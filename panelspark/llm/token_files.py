@@ -182,11 +182,11 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return row
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                data = tokens.encode(text.as_py() or "") + end
+            for doc, data in zip(b.column(0).to_pylist(), tokens.encode_texts(b.column(1))):
                 names.append(doc)
-                lengths.append(len(data) // 4)
+                lengths.append(len(data) // 4 + 1)
                 ids += data
+                ids += end
                 if len(ids) >= 4 * shard_ids:
                     yield flush()
         if names:

@@ -1,0 +1,50 @@
+"""Ids of a whole Arrow column: the library's own, and every different word is asked for once."""
+
+import random
+from array import array
+
+import pyarrow as pa
+import pytest
+
+P = pytest.importorskip("public_tokenizers")
+
+from panelspark.llm import token_ids  # noqa: E402
+
+SIGNS = ["a", "B", "é", "É", "é", "É", "J̌", "ǰ", "́", "'", "'s", "'T", "'ll", " ", "  ", "\t", "\n", "\r", "\x1c", "\x00", "\x7f", "\x85", "\xa0", " ", "×", "÷",
+         "ß", "ẞ", "İ", "ı", "œ", "Œ", "ª", "µ", "²", "1", "23", "٣", "...", "#$%", "<|", "<|endoftext|>", "日本", "🙂", "K", "Σ", "À", "Þ", "Ÿ", "«", "the", "THE", "_", "x" * 70]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_ids_of_columns_are_the_librarys(name, kind, monkeypatch):
+    monkeypatch.setattr(token_ids, "GROUP_BYTES", 2000)
+    ids = token_ids.TokenIds(P.path(name), 20_000)  # little memory: words are forgotten and met again
+    r = random.Random(2)
+    texts = [None, "", " ", "\n", "Ab é don't " * 400] + ["".join(r.choices(SIGNS, k=r.randint(1, r.choice([3, 12, 60])))) for _ in range(4000)]
+    r.shuffle(texts)
+    whole = [array("I", e.ids).tobytes() for e in ids.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+    column = pa.array(texts, kind)
+    assert [bytes(x) for x in ids.encode_texts(column)] == whole
+    assert [bytes(x) for x in ids.encode_texts(column[7:900])] == whole[7:900]
+    assert [bytes(x) for x in ids.encode_texts(pa.array([None, ""], kind))] == [b"", b""]
+    assert [*ids.encode_texts(column[:0])] == []
+
+
+def test_a_word_is_asked_for_once_however_often_it_comes():
+    ids = token_ids.TokenIds(P.path("word_bpe_49k.json"), 1 << 20)
+    asked = []
+
+    class Asked(token_ids.Pieces):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            asked.append(key)
+            return super().__getitem__(key)
+
+    ids.first = ids.spaced = Asked(ids._first_of, ids._encode_first, 1 << 20)
+    words = [f"{'abcdefghij'[k % 10] * 9}{'klmnopqrst'[k // 10] * 9}" for k in range(100)]
+    texts = [" ".join(w + mark for w in words) for mark in (".", "###", ",&&&", "") for _ in range(50)]
+    assert [bytes(x) for x in ids.encode_texts(pa.array(texts))] == [ids.whole(t) for t in texts]
+    assert len(asked) == len({*asked}) == 103  # of 20,000 words
