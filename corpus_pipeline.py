@@ -29,14 +29,20 @@ from panelspark.llm import mixing, packing, secrets, setsketch, toxicity
 from panelspark.llm.common import free_name, spread, table, written
 
 
+#: Of each generation of a worker's caches. An executor's JVM keeps the heap that any stage has made it take, and workers
+#: keep their memory beside it, so that caches are smaller here than in the operators' own queries: time, not results.
+FEATURES_BYTES, WORDS_BYTES, IDS_BYTES = 8 << 20, 4 << 20, 12 << 20
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.drop_toxic(docs, toxicity.fit(spread(docs), table(spark, sf_dir, "labels")))
+    model = toxicity.fit(spread(docs), table(spark, sf_dir, "labels"), cache_bytes=FEATURES_BYTES)
+    return toxicity.drop_toxic(docs, model, cache_bytes=FEATURES_BYTES)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = free_name("row", docs.columns)
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = setsketch.near_duplicates(spread(rows), size=5, percent=80, id_col=row)
+    found = setsketch.near_duplicates(spread(rows), size=5, percent=80, id_col=row, cache_bytes=WORDS_BYTES)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", row)
     kept = found.join(rows.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(first).alias("first")).select(F.col("first")[row].alias(row))
     return rows.join(kept, row, "left_semi").drop(row)
@@ -51,8 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # beside what earlier stages have made of the executors' heaps, less memory for the encoder's caches
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_bytes=40 << 20)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), cache_bytes=IDS_BYTES)
 
 
 STAGES = [

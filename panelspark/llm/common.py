@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -125,11 +126,14 @@ def byte_batches(items: Iterable[str], most: int) -> Iterator[list[str]]:
         yield batch
 
 
+CACHE_BYTES = 32 << 20
+
+
 class SegmentCache(dict):
     """Values of text segments: two generations of at most limit bytes each, as keys and values take them (values:
     bytes, or tuples of whole numbers); long segments are not kept."""
 
-    def __init__(self, make: Callable, limit: int = 32 << 20, longest: int = 64):
+    def __init__(self, make: Callable, limit: int = CACHE_BYTES, longest: int = 64):
         super().__init__()
         self.make, self.limit, self.longest, self.old, self.held = make, limit, longest, {}, 0
 
@@ -156,12 +160,22 @@ class SegmentCache(dict):
 _worker: dict = {}
 
 
+def give_back() -> None:
+    """What Python and Arrow have freed goes back to the system, as far as the C library can do that: a worker keeps it
+    otherwise, beside what the executor's JVM needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 def only_in_worker(key, make: Callable):
     """make(), kept by this Python process until it is asked for another key: processes outlive tasks and stages, and
     what an earlier stage has kept must not stay beside what a later one keeps."""
     if key not in _worker:
         _worker.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _worker[key] = make()
+        give_back()
     return _worker[key]

@@ -50,6 +50,8 @@ CLUSTER_SHINGLES = 2 << 20
 GRID = 24
 CHUNK = 2048
 OUT_ROWS = 2000
+#: Of each of a worker's two generations of words' hashes.
+WORDS_BYTES = 16 << 20
 
 _U = np.uint64
 
@@ -67,9 +69,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, cache_bytes: int = WORDS_BYTES) -> np.ndarray:
     """Sorted hashes of the distinct shingles of size words."""
-    known = only_in_worker("words", lambda: SegmentCache(xxhash.xxh3_64_intdigest, limit=16 << 20))
+    known = only_in_worker(("words", cache_bytes), lambda: SegmentCache(xxhash.xxh3_64_intdigest, cache_bytes))
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
@@ -127,7 +129,7 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, size: int, id_col: str, text_col: str, cache_bytes: int = WORDS_BYTES) -> DataFrame:
     """(doc_id, n_shingles, node, sig) of every row; node and sig are null for an empty set."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +138,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 part = b.slice(at, OUT_ROWS)
                 n, node, sig = [], [], []
                 for t in part.column(1):
-                    s = shingle_set(t.as_py(), size)
+                    s = shingle_set(t.as_py(), size, cache_bytes)
                     n.append(len(s))
                     node.append(_node(s) if len(s) else None)
                     sig.append(registers(s).astype("<u2").tobytes() if len(s) else None)
@@ -163,7 +165,7 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(test, "a long, b long, jaccard double")
 
 
-def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, scratch: Scratch, cache_bytes: int = WORDS_BYTES) -> DataFrame:
     """(node, members) of the nodes of wanted (node, rep), as a table in the shared folder."""
     # a filter of fixed size finds their texts without moving the others; the join below is exact
     texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).where(F.col("rep").isNotNull())
@@ -173,7 +175,7 @@ def full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_c
         for b in batches:
             for at in range(0, b.num_rows, OUT_ROWS):
                 part = b.slice(at, OUT_ROWS)
-                found = [shingle_set(t.as_py(), size) for t in part.column("text")]
+                found = [shingle_set(t.as_py(), size, cache_bytes) for t in part.column("text")]
                 node = [_node(s) if len(s) else None for s in found]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(node, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["rep", "node", "members"])
 
@@ -186,10 +188,10 @@ def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch, cache_bytes: int = WORDS_BYTES) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
-    full = full_sets(wanted, docs, size, id_col, text_col, scratch)
+    full = full_sets(wanted, docs, size, id_col, text_col, scratch, cache_bytes)
     # b's set is sent ahead of the sets to hold against it; one with many partners is sent to several places
     many = scratch.written(pairs.groupBy("b").agg(F.ceil(F.count("*") / 4096).cast("int").alias("places")))
     first = many.join(full, many.b == full.node).select("b", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("a"), "members")
@@ -236,13 +238,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = WORDS_BYTES) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs; documents whose shingle sets (size words) have a
     Jaccard index of at least percent / 100 are linked; component_id is the least id reachable, which is kept."""
     bound_batches(docs.sparkSession)
     threshold = percent / 100
     scratch = Scratch(docs.sparkSession)
-    rows = written(sketches(docs, size, id_col, text_col))
+    rows = written(sketches(docs, size, id_col, text_col, cache_bytes))
     known = rows.where("node is not null and doc_id is not null")
     nodes = scratch.written(known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     bands = [F.xxhash64(F.expr(f"substring(sig, {1 + 2 * BAND * k}, {2 * BAND})"), F.lit(k)) for k in range(BANDS)]
@@ -254,11 +256,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     pairs = dealt.where("node != b").select(F.col("node").alias("a"), "b").distinct()
     pairs = likely_pairs(pairs, nodes, threshold)
     pairs = scratch.written(pairs.groupBy("a").agg(F.min_by("b", F.struct(F.col("jaccard") < threshold + 0.03, "b")).alias("b")))
-    links = scratch.written(verified(pairs, nodes, docs, size, percent, id_col, text_col, scratch))
+    links = scratch.written(verified(pairs, nodes, docs, size, percent, id_col, text_col, scratch, cache_bytes))
     found = components(links, scratch)
 
     near = scratch.written(_likely_links(dealt, found, nodes, threshold, scratch))
-    links = links.union(_cluster_links(links, near, found, nodes, docs, size, percent, id_col, text_col, scratch))
+    links = links.union(_cluster_links(links, near, found, nodes, docs, size, percent, id_col, text_col, scratch, cache_bytes))
     found = components(links, scratch)
 
     # what a component, or a text, with many rows is joined with is a table each time
@@ -368,7 +370,7 @@ def _likely_links(dealt: DataFrame, found: DataFrame, nodes: DataFrame, threshol
     return _spread(tiles, "bucket", "x", "y").groupBy("bucket", "x", "y").applyInArrow(test, "a long, b long").distinct()
 
 
-def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, scratch: Scratch, cache_bytes: int) -> DataFrame:
     """(a, b): links that join all components that are linked within a cluster. Clusters are what links and likely
     links connect; each block of a cluster meets each other one with full sets."""
     threshold = percent / 100
@@ -380,7 +382,7 @@ def _cluster_links(links: DataFrame, near: DataFrame, found: DataFrame, nodes: D
     sizes = every.groupBy("cluster").agg(blocks.alias("blocks"), F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("cluster", "blocks")
     sizes = scratch.written(sizes)
     rows = every.join(sizes, "cluster")
-    rows = rows.join(full_sets(rows.select("node", "rep"), docs, size, id_col, text_col, scratch), "node")
+    rows = rows.join(full_sets(rows.select("node", "rep"), docs, size, id_col, text_col, scratch, cache_bytes), "node")
     tiles = _tiles(rows, "cluster", F.col("blocks"), "node", "component", "n_shingles", "sig", "members")
 
     def test(key, t):

@@ -23,6 +23,7 @@ toxic; other columns are not read (drop_toxic keeps them as they are); an empty
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SegmentCache, bound_batches, column_place, type_of, written
+from .common import CACHE_BYTES, SegmentCache, bound_batches, column_place, only_in_worker, type_of, written
 
 GRADES = 3
 WORD = re.compile(r"\w+")
@@ -70,12 +71,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    """features: hash -> column."""
+    """features: hash -> column. key: a name of its own, by which workers keep its cache from task to task."""
 
     features: dict[int, int]
     weights: np.ndarray
     thresholds: np.ndarray
     cut: float = 0.5
+    key: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False, compare=False)
     _cache: SegmentCache | None = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -85,10 +87,18 @@ class OrdinalModel:
         """P(severity >= k) for k = 1..GRADES, a column each."""
         return _sigmoid(np.asarray(margin)[:, None] - self.thresholds)
 
+    def cache(self, cache_bytes: int = CACHE_BYTES) -> SegmentCache:
+        known = self.features
+        return SegmentCache(lambda part: tuple(known[h] for h in features_of(part) if h in known), cache_bytes)
+
+    def in_worker(self, cache_bytes: int) -> OrdinalModel:
+        """The model with the cache of this worker."""
+        self._cache = only_in_worker(("toxicity", self.key, cache_bytes), lambda: self.cache(cache_bytes))
+        return self
+
     def margin(self, text: str | None) -> float:
         if self._cache is None:
-            known = self.features
-            self._cache = SegmentCache(lambda part: tuple(known[h] for h in features_of(part) if h in known))
+            self._cache = self.cache()
         found = counted(text, self._cache)
         return float(sum(self.weights[k] * np.log1p(n) for k, n in sorted(found.items())))
 
@@ -213,8 +223,8 @@ def telling(sample: DataFrame, least_z: float) -> list[list[int]]:
     return [[r["f"] for r in told if r[f"v{k}"]] for k in (*range(FOLDS), None)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
-    """A model of at most max_train labelled rows of each class."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, least_z: float = 5.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cache_bytes: int = CACHE_BYTES) -> OrdinalModel:
+    """A model of at most max_train labelled rows of each class. cache_bytes: of each of a worker's two generations."""
     bound_batches(docs.sparkSession)
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("y"))
     some = [named.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for k in (0, 1)]
@@ -223,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 3000, least_z: floa
     schema = "key long, y int, words int, features array<long>, counts array<int>"
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = SegmentCache(features_of)
+        cache = only_in_worker(("features", cache_bytes), lambda: SegmentCache(features_of, cache_bytes))
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 part = b.slice(at, TEXTS)
@@ -254,6 +264,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.in_worker(CACHE_BYTES)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(at, TEXTS)
@@ -264,13 +275,14 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return rows.mapInArrow(run, f"id {type_of(docs, id_col)}, expected_severity double, grade int, p_toxic double, toxic boolean, kept boolean").withColumnRenamed("id", id_col)
 
 
-def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """The rows of docs that are not toxic, with all their columns, whatever their names (they go through by place)."""
     bound_batches(docs.sparkSession)
     at = column_place(docs, text_col)
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.in_worker(cache_bytes)
         for whole in batches:
             for first in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(first, TEXTS)
